@@ -110,3 +110,63 @@ def components(edges: DataFrame) -> DataFrame:
             return after.select("node", F.col("c").alias("component"))
         labels = written(after.select("node", "c"))
         forget(after)
+
+
+# ---- words of many texts at once, on bytes -------------------------------------
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed_bits(h: np.ndarray) -> np.ndarray:
+    """The 64-bit finaliser of splitmix, so that every bit depends on all."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def chunks(bounds: np.ndarray, most: int = 1 << 21):
+    """Row ranges [a, b) of at most ``most`` bytes, or one row that is longer."""
+    n, a = len(bounds) - 1, 0
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + most, side="right")) - 1)
+        yield a, b
+        a = b
+
+
+def word_table(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of the texts data[bounds[i]:bounds[i+1]]: starts, ends, row, 64-bit hash.
+
+    A word is a run of bytes other than ASCII white space; a row's end also ends it.
+    The hash is a polynomial of the bytes and the length, finalised.
+    """
+    if not len(data):
+        none = np.zeros(0, np.int64)
+        return none, none, none, np.zeros(0, np.uint64)
+    if lower:
+        data = _LOWER[data]
+    inside = ~_SPACE[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    edges = bounds[:-1][(bounds[:-1] < len(data))]
+    first[edges] = inside[edges]
+    starts = np.flatnonzero(first)
+    last = inside.copy()
+    last[:-1] &= ~inside[1:]
+    rims = bounds[1:][bounds[1:] > 0] - 1
+    last[rims] = inside[rims]
+    ends = np.flatnonzero(last) + 1
+    if not len(starts):
+        none = np.zeros(0, np.int64)
+        return none, none, none, np.zeros(0, np.uint64)
+    lengths = ends - starts
+    power = np.ones(int(lengths.max()) + 1, np.uint64)
+    power[1:] = np.cumprod(np.full(int(lengths.max()), _BASE, np.uint64))
+    body = data[inside].astype(np.uint64) + np.uint64(1)
+    at = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    place = np.arange(len(body)) - np.repeat(at, lengths)
+    h = mixed_bits(np.add.reduceat(body * power[place], at) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return starts, ends, np.searchsorted(bounds, starts, side="right") - 1, h

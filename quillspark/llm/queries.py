@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.common import table
 from quillspark.llm.op1_exact_dedup import exact_dedup
+from quillspark.llm.op3_secrets import scan
 from quillspark.llm.op4_packing import pack_documents
 from quillspark.llm.op5_mixing import mix
+from quillspark.llm.op10_quality import quality
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -24,7 +30,11 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op4_best_fit_packing, op5_source_mixing)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_secret_scan, op4_best_fit_packing, op5_source_mixing, op10_quality_classifier)}
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": """
