@@ -11,6 +11,7 @@ from quillspark.llm.op1_exact_dedup import exact_dedup
 from quillspark.llm.op3_secrets import scan
 from quillspark.llm.op4_packing import pack_documents
 from quillspark.llm.op5_mixing import mix
+from quillspark.llm.op7_licenses import scan_licenses, scan_licenses_sql
 from quillspark.llm.op10_quality import quality
 
 
@@ -30,13 +31,18 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_secret_scan, op4_best_fit_packing, op5_source_mixing, op10_quality_classifier)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_secret_scan, op4_best_fit_packing, op5_source_mixing, op7_license_scan, op10_quality_classifier)}
 
 ORACLES: dict[str, str] = {
+    "op7_license_scan": scan_licenses_sql(),
     "op1_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER g AS keep_id,
