@@ -13,6 +13,7 @@ from quillspark.llm.op4_packing import pack_documents
 from quillspark.llm.op5_mixing import mix
 from quillspark.llm.op7_licenses import scan_licenses, scan_licenses_sql
 from quillspark.llm.op8_lm_score import lm_score
+from quillspark.llm.op9_html import extract
 from quillspark.llm.op10_quality import quality
 
 
@@ -40,11 +41,15 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_secret_scan, op4_best_fit_packing, op5_source_mixing, op7_license_scan, op8_lm_score, op10_quality_classifier)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_secret_scan, op4_best_fit_packing, op5_source_mixing, op7_license_scan, op8_lm_score, op9_html_extraction, op10_quality_classifier)}
 
 ORACLES: dict[str, str] = {
     "op7_license_scan": scan_licenses_sql(),
