@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.common import table
 from quillspark.llm.op1_exact_dedup import exact_dedup
+from quillspark.llm.op2_embedding_dedup import near_duplicates
 from quillspark.llm.op3_secrets import scan
 from quillspark.llm.op4_packing import pack_documents
 from quillspark.llm.op5_mixing import mix
@@ -21,6 +22,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
@@ -49,9 +54,21 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_secret_scan, op4_best_fit_packing, op5_source_mixing, op7_license_scan, op8_lm_score, op9_html_extraction, op10_quality_classifier)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_embedding_near_dedup, op3_secret_scan, op4_best_fit_packing, op5_source_mixing, op7_license_scan, op8_lm_score, op9_html_extraction, op10_quality_classifier)}
 
 ORACLES: dict[str, str] = {
+    "op2_embedding_near_dedup": """
+        WITH RECURSIVE fit AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM fit a JOIN fit b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+                 WHERE list_inner_product(a.e, b.e) / (a.l * b.l) >= 0.93::DOUBLE),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+        SELECT e.vec_id, (SELECT count(*) FROM link WHERE a = e.vec_id) AS n_links, min(r.b) AS component_id, e.vec_id = min(r.b) AS kept
+        FROM embeddings e JOIN reach r ON r.a = e.vec_id GROUP BY e.vec_id
+    """,
     "op7_license_scan": scan_licenses_sql(),
     "op1_exact_dedup": """
         SELECT doc_id,
