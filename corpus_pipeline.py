@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and reread."""
+"""The corpus pipeline: five stages over ``documents``.
+
+Each stage takes what its predecessor kept, written as Parquet and reread, and all
+but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -8,22 +12,45 @@ from quillspark.llm.common import table, written
 from quillspark.llm.op1_exact_dedup import without_copies
 from quillspark.llm.op4_packing import pack_documents
 from quillspark.llm.op5_mixing import mixed
+from quillspark.llm.op6_jaccard_join import one_of_each_group
+from quillspark.llm.op10_quality import good_documents
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts one document stays."""
     return without_copies(docs)
 
 
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies one document stays."""
+    return one_of_each_group(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: not at all, once or twice."""
     return mixed(docs)
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows, packed: a document taken twice is packed twice."""
     return pack_documents(docs)
 
 
-STAGES = [("exact dedup", exact_dedup), ("source mixing", mixing), ("best-fit packing", packing)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("exact dedup", exact_dedup),
+    ("n-gram Jaccard join", jaccard_join),
+    ("mixing sources to target weights", source_mixing),
+    ("best-fit packing", best_fit_packing),
+]
 
+#: The classifier and the packing cannot be expressed in SQL; tests compare the stages
+#: with brute-force versions.
 ORACLE_SQL = None
 
 
