@@ -50,6 +50,14 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts go to Python ``rows`` at a time, unless the session asks for fewer: a batch
+    of the default 10,000 can hold hundreds of megabytes of long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def text_of(name: str = "text") -> Column:
     """A null text counts as an empty one."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
