@@ -214,7 +214,11 @@ def defines_subject(query: Column | str, content: Column | str) -> Column:
     """Whether a passage holds what the question asks the definition of: the governed
     concept of a relation, an identifier, or any occurrence that reads on as a
     definition. True where the question asks for no definition."""
-    subject, body = definition_subject(query), normalized(text(content))
+    return subject_defined(definition_subject(query), normalized(text(content)))
+
+
+def subject_defined(subject: Column, body: Column) -> Column:
+    """``defines_subject`` for a subject and a normalised passage that are columns already."""
     governed = extract(subject, K.RELATIONAL)
     tail = F.when(F.contains(subject, F.lit("的")), F.substring_index(subject, "的", -1))
     latin = F.regexp_extract(subject, "^[a-z0-9_]+", 0)

@@ -201,11 +201,13 @@ def relevant(hits: DataFrame) -> DataFrame:
     """Add ``relevant`` (R11): the passage holds what is asked the definition of and the
     chapter matches, a third of the terms or a Latin term occurs, or any term does and
     the lexical score or two channels support it."""
-    chapter = T.requested_chapter("query")
-    cover = T.term_coverage("query", "title", "chapter", "section", "content")
-    latin = F.filter(T.core_terms("query"), lambda t: t.rlike("(?i)^[a-z0-9_]+$"))
-    where = T.normalized(F.concat_ws(" ", T.text("title"), T.text("content")))
+    h = hits.withColumns(
+        {"__chapter": T.requested_chapter("query"), "__cover": T.term_coverage("query", "title", "chapter", "section", "content"), "__subject": T.definition_subject("query"), "__terms": T.core_terms("query"),
+         "__where": T.normalized(F.concat_ws(" ", T.text("title"), T.text("content"))), "__body": T.normalized(T.text("content"))}
+    )
+    latin = F.filter("__terms", lambda t: t.rlike("(?i)^[a-z0-9_]+$"))
     agree = F.size(F.filter(F.array(*[F.col(f"{c}_rank") for c in WEIGHTS]), lambda x: x.isNotNull())) >= 2
-    support = (cover >= 0.3) | F.exists(latin, lambda t: F.contains(where, T.normalized(t))) | ((cover > 0) & ((F.coalesce("lexical_score", F.lit(0.0)) >= 0.18) | agree))
-    ok = T.defines_subject("query", "content") & (F.coalesce(chapter == F.col("chapter"), F.lit(False)) | support)
-    return hits.withColumn("relevant", ok)
+    cover = F.col("__cover")
+    support = (cover >= 0.3) | F.exists(latin, lambda t: F.contains(F.col("__where"), T.normalized(t))) | ((cover > 0) & ((F.coalesce("lexical_score", F.lit(0.0)) >= 0.18) | agree))
+    ok = T.subject_defined(F.col("__subject"), F.col("__body")) & (F.coalesce(F.col("__chapter") == F.col("chapter"), F.lit(False)) | support)
+    return h.withColumn("relevant", ok).drop("__chapter", "__cover", "__subject", "__terms", "__where", "__body")

@@ -35,9 +35,8 @@ def validated(f: DataFrame) -> DataFrame:
     return f.withColumns({"extension": ext, "mime": F.element_at(F.create_map(*[F.lit(x) for kv in MIME.items() for x in kv]), ext), "problem": bad})
 
 
-@F.pandas_udf("string")
-def decoded(content: pd.Series) -> pd.Series:
-    """Bytes as UTF-8, else as GB 18030, both strictly; null if neither fits."""
+def decoded(content: str):
+    """A column of bytes as UTF-8, else as GB 18030, both strictly; null if neither fits."""
 
     def one(b: bytes) -> str | None:
         for name in ("utf-8-sig", "gb18030"):
@@ -47,7 +46,11 @@ def decoded(content: pd.Series) -> pd.Series:
                 pass
         return None
 
-    return content.map(one, na_action="ignore")
+    @F.pandas_udf("string")
+    def read(values: pd.Series) -> pd.Series:
+        return values.map(one, na_action="ignore")
+
+    return read(content)
 
 
 def text_pages(f: DataFrame) -> DataFrame:
