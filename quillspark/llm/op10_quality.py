@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import chunks, text_of, utf8_batch, word_table, written
+from quillspark.llm.common import chunks, small_batches, text_of, utf8_batch, word_table, written
 
 # Byte classes of the statistics.
 _CLASSES = ("lower", "upper", "digit", "space", "newline", "stop", "bang", "bar", "symbol", "high")
@@ -179,6 +179,7 @@ def fit(stats: DataFrame, labels: DataFrame, waves: int = 256, ridge: float = 1.
 
 def with_statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, stats) of every whole text, by a map without a shuffle."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

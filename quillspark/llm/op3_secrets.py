@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import text_of
+from quillspark.llm.common import small_batches, text_of
 
 # The base expressions and the lengths below which a match is dropped.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -124,4 +124,5 @@ def scan(docs: DataFrame) -> DataFrame:
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(run, SCHEMA)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import partitions, text_of, written
+from quillspark.llm.common import partitions, small_batches, text_of, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -52,6 +52,7 @@ def tokenised(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocabulary
     32-bit little-endian form; ``with_ids`` adds the ids themselves.
     """
     vocabulary = vocabulary or default_vocabulary()
+    small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(vocabulary)
