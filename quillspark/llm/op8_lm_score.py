@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import chunks, forget, partitions, text_of, utf8_batch, written
+from quillspark.llm.common import chunks, forget, partitions, small_batches, text_of, utf8_batch, written
 
 #: Tokens are the bytes of the UTF-8 text; one more stands beyond either end of a text.
 EDGE, TOKENS, REACH = 256, 257, 2
@@ -97,15 +97,16 @@ def count_windows(docs: DataFrame) -> DataFrame:
 
 
 def local_pass(net: Network, keys: np.ndarray, counts: np.ndarray, rate: float, block: int, seed: int) -> Network:
-    """One pass of Adam over windows weighted by their counts."""
+    """A pass of Adam over windows weighted by their counts, or as many as make 64 steps."""
     around, token = unpacked(keys)
     weight = np.sqrt(counts / counts.mean()).astype(np.float32)  # damped: the tail of windows also teaches
-    order = np.random.default_rng(seed).permutation(len(keys))
+    rng = np.random.default_rng(seed)
+    passes = max(1, -(-64 // -(-len(keys) // block)))
+    order = [rng.permutation(len(keys)) for _ in range(passes)]
     first = [np.zeros_like(p) for p in net.parts()]
     second = [np.zeros_like(p) for p in net.parts()]
     net = net.filled(net.flat())
-    for step, a in enumerate(range(0, len(order), block), 1):
-        rows = order[a : a + block]
+    for step, rows in enumerate((o[a : a + block] for o in order for a in range(0, len(o), block)), 1):
         x, y, w = around[rows], token[rows], weight[rows] / weight[rows].sum()
         h, logp = net.forward(x)
         d = np.exp(logp)
@@ -200,6 +201,7 @@ def lm_score(docs: DataFrame, **options) -> DataFrame:
     columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     counts = written(count_windows(docs).repartition(partitions(spark), "key"))
     net = train(counts, **options)
     forget(counts)
