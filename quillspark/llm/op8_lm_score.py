@@ -171,7 +171,8 @@ def score_documents(docs: DataFrame, net: Network | None) -> DataFrame:
                 known[inside] = seen[place[inside]] == keys[inside]
                 got = np.empty(len(keys), np.float32)
                 got[known] = logs[place[known]]
-                got[~known] = net.log_probs(*unpacked(keys[~known]))
+                if not known.all():
+                    got[~known] = net.log_probs(*unpacked(keys[~known]))
                 if len(seen) < 1 << 21:
                     seen = np.concatenate([seen, keys[~known]])
                     logs = np.concatenate([logs, got[~known]])
