@@ -373,11 +373,31 @@ def day_of(ts: Column | str) -> Column:
 
 
 def byte_size(c: Column | str) -> Column:
-    """A size in B, KB, MB or GB with one decimal from KB on."""
+    """A size in B, KB or MB, with one decimal from KB on."""
     n = col(c)
-    return (
-        F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < 1024**2, F.concat(F.format_number(n / 1024, 1), F.lit(" KB")))
-        .when(n < 1024**3, F.concat(F.format_number(n / 1024**2, 1), F.lit(" MB")))
-        .otherwise(F.concat(F.format_number(n / 1024**3, 1), F.lit(" GB")))
-    )
+    return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1024**2, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%.1f MB", n / 1024**2))
+
+
+def labelled(c: Column | str, kind: str) -> Column:
+    """The display name of a role, share status or visibility."""
+    names = K.LABELS[kind]
+    return F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), col(c))
+
+
+# ---- refining an answer (X17) ------------------------------------------------------
+
+
+def refinement_valid(answer: Column | str, n: Column | int) -> Column:
+    """Whether a refined answer cites what the first one cited, or admits there is nothing."""
+    refs, n = references(answer), F.lit(n) if isinstance(n, int) else n
+    return F.when(n <= 0, ~F.contains(text(answer), F.lit("现有资料没有提供相关信息"))).otherwise((F.size(refs) > 0) & F.forall(refs, lambda r: F.coalesce((r >= 1) & (r <= n), F.lit(False))))
+
+
+def refined(instruction: Column | str, answer: Column | str) -> Column:
+    """A shorter answer without a model: its first sentence if one is asked for, the first
+    half of its lines if it should be shorter, else the answer."""
+    lines = F.filter(F.transform(F.split(text(answer), "\n+"), trimmed), lambda x: x != "")
+    flat = F.regexp_replace(text(answer), r"(?U)\s*\n+\s*", " ")
+    one = F.coalesce(F.nullif(F.regexp_extract(flat, r"^.*?[。！？!?](?:(?U:\s)*\[[0-9]+\])*", 0), F.lit("")), F.try_element_at(lines, F.lit(1)), trimmed(answer))
+    half = F.array_join(F.slice(lines, F.lit(1), F.greatest(F.lit(1), F.ceil(F.size(lines) / 2)).cast("int")), "\n")
+    return F.when(~col(instruction).rlike(K.SHORTEN), trimmed(answer)).when(col(instruction).rlike(K.ONE_SENTENCE), one).otherwise(half)

@@ -174,3 +174,29 @@ def test_daily_searches(spark, tmp_path):
     q = maintenance.daily_searches(stream).writeStream.outputMode("complete").format("memory").queryName("daily").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.day, r.value) for r in spark.sql("select * from daily").collect()) == [("2024-01-01", 2), ("2024-01-02", 1)]
+
+
+def test_scopes(spark):
+    from quillspark.plans import api
+
+    docs = spark.createDataFrame([(1,), (2,)], "id long")
+    q = spark.createDataFrame([("a", "x", "local"), ("b", "x", "local"), ("c", "到底是谁", "local"), ("d", "目录", "overview"), ("e", "x", "local"), ("f", "总结全部文档", "overview")], "query_id string, query string, query_type string")
+    rows = lambda *r: spark.createDataFrame(list(r), "query_id string, document_id long")
+    got = api.resolved_scopes(q, docs, rows(("a", 2)), rows(("b", 1), ("a", 1), ("c", 9)), rows(("c", 1), ("e", 2)), rows(("d", 1)), in_base=True)
+    assert {r.query_id: (r.document_ids, r.scope_source) for r in got.collect()} == {"a": ([2], "query"), "b": ([1], "history"), "c": (None, "knowledge_base"), "d": ([1], "dominant"), "e": ([2], "dominant"), "f": (None, "knowledge_base")}
+
+
+def test_api(spark):
+    from quillspark.plans import api
+
+    chunks = spark.createDataFrame([(1, 3, "private"), (2, 4, "shared"), (3, 4, "private")], "chunk_id long, owner_id long, share_status string")
+    assert [r.chunk_id for r in api.stored_contexts(chunks, User(3), [2, 3, 1], 1, 1).collect()] == [2, 1]
+    assert api.stored_contexts(chunks, User(3), [2], 1, 2).count() == 0
+    trend = spark.createDataFrame([("a", 1), ("b", 2)], "day string, value int")
+    assert [(r.x, r.y) for r in api.chart_points(trend).orderBy("day").collect()] == [(0.0, 53.0), (100.0, 14.0)]
+    users = spark.createDataFrame([(1, "abc@x.y", "13800001111"), (2, "d@x.y", "1")], "id long, email string, phone string")
+    owned = spark.createDataFrame([(1, 1)], "id long, owner_id long")
+    got = {r.id: r for r in api.admin_users(users, owned, User(1, "department_admin")).collect()}
+    assert got[1].email == "abc@x.y" and got[2].email == "d***@x.y" and (got[1].documents, got[2].documents) == (1, 0)
+    bases = spark.createDataFrame([(1, 3, "private"), (2, 4, "public"), (3, 4, "private")], "id long, owner_id long, visibility string")
+    assert [r.documents for r in api.list_bases(bases, spark.createDataFrame([(2, 7)], "kb_id long, document_id long"), User(3)).collect()] == [0, 1]

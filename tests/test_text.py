@@ -86,6 +86,13 @@ CASES = [
     (C.asks_for_bases, ["有哪些知识库"], True),
     (C.asks_for_profile, ["知识库简介"], True),
     (lambda c: C.ordinal(c), ["第三点"], 3),
+    (lambda c: T.byte_size(c.cast("long")), ["123456"], "120.6 KB"),
+    (lambda c: T.labelled(c, "share"), ["pending"], "待审核"),
+    (T.refined, ["一句话总结", "甲。乙。[1]\n丙"], "甲。"),
+    (T.refined, ["精简", "a\nb\nc"], "a\nb"),
+    (T.refined, ["展开", " a\nb "], "a\nb"),
+    (lambda a: T.refinement_valid(a, 1), ["x [1]"], True),
+    (lambda a: T.refinement_valid(a, 1), ["x [2]"], False),
 ]
 
 
