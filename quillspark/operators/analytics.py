@@ -59,9 +59,12 @@ def base_counts(bases: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def base_inventory(docs: DataFrame) -> DataFrame:
-    """Per base its documents' titles, in the order of their ids, as one text."""
-    got = docs.groupBy("kb").agg(F.count(F.lit(1)).alias("documents"), F.array_sort(F.collect_list(F.struct("id", "title"))).alias("t"))
-    return got.select("kb", "documents", F.array_join(F.transform("t", lambda x: F.concat_ws(". ", x["id"].cast("string"), x["title"])), "\n").alias("inventory"))
+    """Per base its documents as numbered lines, latest first, and their number (C8). A row
+    a line: a base may hold a third of all documents, so its list is never one value;
+    ``"\\n".join`` of a page of lines is what a reader is shown."""
+    w = Window.partitionBy("kb")
+    place = F.row_number().over(w.orderBy(F.desc("created_at"), F.desc("id")))
+    return docs.select("kb", F.col("id").alias("document_id"), F.count(F.lit(1)).over(w).alias("documents"), place.alias("place"), F.concat_ws(". ", place.cast("string"), "title").alias("line"))
 
 
 def chunk_coverage(chunks: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import catalogue as K
 from quillspark.functions import text as T
-from quillspark.operators.retrieval import cosine
+from quillspark.operators.retrieval import cosine, in_blocks
 
 LEANING = ("contextual_query", "follow_up", "explain_previous", "continue_previous")
 
@@ -87,10 +87,10 @@ def referenced_point(query: Column | str, answers: Column) -> Column:
     return F.when(n.isNotNull(), F.regexp_replace(F.try_element_at(F.filter(points, lambda p: p.isNotNull()), F.lit(1)), K.BULLET_MARK, ""))
 
 
-def with_history(turns: DataFrame) -> DataFrame:
-    """User turns (conv_id, turn, text as query) with the last question before and all
-    answers before, oldest first."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+def with_history(turns: DataFrame, history: int = 8) -> DataFrame:
+    """User turns (conv_id, turn, text as query) with the last question and the answers,
+    oldest first, among the ``history`` messages before."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-history, -1)
     t = turns.withColumn("previous_question", F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(w))
     t = t.withColumn("answers", F.collect_list(F.when(F.col("role") == "assistant", F.col("text"))).over(w))
     return t.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("query"), "previous_question", "answers")
@@ -132,13 +132,13 @@ def rewritten(turns: DataFrame) -> DataFrame:
 def named_documents(queries: DataFrame, docs: DataFrame, user_id: int) -> DataFrame:
     """Documents that a question names (J9): a subject's name in question and title, or
     the title's core (4 characters or more) in the question; the user's own where any is.
-    (query_id, document_id). The questions are the broadcast side."""
+    (query_id, document_id). Questions are broadcast a thousand at a time."""
     q = queries.select("query_id", T.normalized("query").alias("__q"))
     d = docs.select(F.col("id").alias("document_id"), "owner_id", T.normalized("title").alias("__t"), T.core_title("title").alias("__c"))
     hit = (F.length("__c") >= 4) & F.contains(F.col("__q"), F.col("__c"))
     for name in ("计算机网络", "计算机组成原理", "操作系统", "数据结构"):
         hit |= F.contains(F.col("__q"), F.lit(name)) & F.contains(F.col("__t"), F.lit(name))
-    got = d.join(F.broadcast(q), hit)
+    got = in_blocks(q, 1000, lambda some: d.join(some, hit))
     own = F.max((F.col("owner_id") == user_id).cast("int")).over(Window.partitionBy("query_id")) == 1
     return got.withColumn("__own", own).where(~F.col("__own") | (F.col("owner_id") == user_id)).select("query_id", "document_id")
 

@@ -134,7 +134,8 @@ def kb_document_counts(spark, sf):
     return analytics.base_counts(d.select("kb").distinct(), d.select("kb", F.col("id").alias("document_id")))
 
 
-@registered("SELECT kb, count(*) AS documents, string_agg(id || '. ' || title, chr(10) ORDER BY id) AS inventory FROM docs WHERE kb IS NOT NULL GROUP BY 1")
+@registered("""SELECT kb, id AS document_id, count(*) OVER (PARTITION BY kb) AS documents, (row_number() OVER w)::INT AS place, (row_number() OVER w) || '. ' || title AS line
+    FROM docs WHERE kb IS NOT NULL WINDOW w AS (PARTITION BY kb ORDER BY created_at DESC, id DESC)""")
 def kb_inventory(spark, sf):
     return analytics.base_inventory(tables.documents(spark, sf).where(F.col("kb").isNotNull()))
 
