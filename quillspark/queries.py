@@ -228,7 +228,7 @@ def vector_topk(spark, sf):
     return retrieval.vector_channel(e.select(F.col("vec_id").alias("chunk_id"), "embedding"), q, retrieval.candidate_limit(12))
 
 
-@registered()
+@registered("SELECT id AS chunk_id, sha256(title) AS content_hash, 64 AS dims FROM docs")
 def embedding_backfill(spark, sf):
     chunks = tables.documents(spark, sf).select(F.col("id").alias("chunk_id"), F.col("version").alias("document_version"), F.col("title").alias("content"))
     return vectors.embedded(chunks, vectors.hashing_embedder(), SPACE).select("chunk_id", "content_hash", F.size("embedding").alias("dims"))
@@ -411,7 +411,9 @@ def quality_score(spark, sf):
     return tables.documents(spark, sf).select("id", F.round(T.quality_score("text"), 6).alias("score"))
 
 
-@registered()
+@registered(f""", {QUALITY}, u AS (SELECT id, unnest([trim(regexp_replace(x, '[ \\t]+', ' ', 'g')) FOR x IN string_split_regex(text, '\\r?\\n')]) AS line FROM docs),
+    v AS (SELECT id, coalesce(sum(length(line)) FILTER (NOT regexp_matches(line, '(?i)taobao\\.com|bilibili|https?://|www\\.|\\.com\\b|\\.cn\\b|扫码|二维码|QQ群')), 0) AS useful FROM u GROUP BY 1)
+    SELECT id, m >= 48 AND score >= 0.62::DOUBLE AND useful >= 40 AS reliable FROM s JOIN v USING (id)""")
 def reliable_text(spark, sf):
     return tables.documents(spark, sf).select("id", T.is_reliable("text").alias("reliable"))
 
@@ -469,13 +471,17 @@ def question_numbers(spark, sf):
     return c.select("conv_id", "turn", F.regexp_count("text", F.lit("[0-9]+")).alias("n"))
 
 
-@registered()
+@registered(""", q AS (SELECT id, lower(u) AS u, v FROM (SELECT id, unnest(regexp_extract_all(text, p, 1)) AS v, unnest(regexp_extract_all(text, p, 2)) AS u
+        FROM docs, (SELECT '(?i)(-?[0-9]+(?:\\.[0-9]+)?)\\s*(毫秒|秒|分钟|小时|天|日|%|％|MiB|MB|GB)' AS p))),
+    g AS (SELECT id, u FROM q GROUP BY 1, 2 HAVING count(DISTINCT v) > 1),
+    f AS (SELECT id, list_sort(list(DISTINCT v || u)) AS found FROM q JOIN g USING (id, u) GROUP BY 1)
+    SELECT docs.id, coalesce(found, []) AS found FROM docs LEFT JOIN f ON docs.id = f.id""")
 def conflict_values(spark, sf):
-    c = tables.read(spark, sf, "conversations")
-    return c.select("conv_id", "turn", T.conflict_values(F.lit("到底是多少"), "text").alias("found"))
+    d = tables.documents(spark, sf)
+    return d.select("id", F.array_sort(T.conflict_values(F.lit("到底是多少"), "text")).alias("found"))
 
 
-@registered()
+@registered("SELECT id, title || ' [1] and [' || CASE WHEN id % 5 = id % 3 THEN 1 ELSE 2 END || '].' AS answer, true AS valid FROM docs")
 def citation_remap(spark, sf):
     d = tables.documents(spark, sf).select("id", F.concat("title", F.lit(" ["), (F.col("id") % 5 + 1).cast("string"), F.lit("] and ["), (F.col("id") % 3 + 1).cast("string"), F.lit("].")).alias("answer"))
     return d.select("id", T.renumbered("answer", 5).alias("answer"), T.citations_valid("answer", 5).alias("valid"))
