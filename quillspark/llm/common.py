@@ -136,7 +136,7 @@ def mixed_bits(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def chunks(bounds: np.ndarray, most: int = 1 << 21):
+def chunks(bounds: np.ndarray, most: int = 1 << 19):
     """Row ranges [a, b) of at most ``most`` bytes, or one row that is longer."""
     n, a = len(bounds) - 1, 0
     while a < n:

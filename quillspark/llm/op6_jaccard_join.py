@@ -185,7 +185,7 @@ def index(docs: DataFrame, k: int, num: int, den: int, bits: int) -> DataFrame:
     mean = max(1.0, float(heats.mean()))
     shared = spark.sparkContext.broadcast(np.floor(np.log2(np.maximum(heats, 1) / mean + 1)).astype(np.uint8))
     frequent = 3  # seven times the mean load of a class, or more
-    mask, buckets, flush_at = np.uint64((1 << bits) - 1), 4 * partitions(spark), 1 << 20
+    mask, buckets, flush_at = np.uint64((1 << bits) - 1), 4 * partitions(spark), 1 << 18
 
     def packed(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         """Rows (slot, kind, token, d1, n, most, id) by bucket, each bucket's as bytes."""
