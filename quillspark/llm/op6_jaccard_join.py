@@ -110,12 +110,11 @@ def signatures(s: np.ndarray, heat: np.ndarray, frequent: int, num: int, den: in
     at = np.flatnonzero(~hot[:p])
     keys, kinds, sizes = [s[at]], [np.zeros(len(at), bool)], [most(at)]
     for c in classes(n, p, num, den) if hot[: p + 1].any() else ():
-        if c + 1 > o:  # too small a set to share so many: its frequent tokens alone
+        if c + 1 > o:  # so small a set may share fewer: its frequent tokens alone, too
             at = np.flatnonzero(hot[:p])
             keys.append(mixed_bits(s[at] + np.uint64(1)))
             sizes.append(most(at))
             kinds.append(np.ones(len(at), bool))
-            continue
         at = np.flatnonzero(hot[: p + c])
         klass = (s[at] >> np.uint64(20)).astype(np.int64) % c
         at = at[np.argsort(klass, kind="stable")]

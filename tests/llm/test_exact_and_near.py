@@ -144,3 +144,32 @@ def test_recall_at_the_threshold(spark):
         rows += [(2 * i, 0, a.tolist()), (2 * i + 1, 0, (c * a + np.sqrt(1 - c * c) * b).tolist())]
     got = near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"))
     assert got.agg(F.sum("n_links")).first()[0] >= 2 * 400 * 0.99
+
+
+def test_signatures_miss_no_pair():
+    """Any two sets of enough overlap share a key that allows both sizes, for all shares
+    of frequent tokens and several thresholds."""
+    from quillspark.llm.op6_jaccard_join import signatures
+
+    rnd = np.random.default_rng(11)
+    for trial in range(3000):
+        num, den = [(75, 100), (1, 2), (9, 10), (3, 10)][trial % 4]
+        pool = rnd.choice(2**60, 80, replace=False).astype(np.uint64)
+        heat_of = dict(zip(pool.tolist(), rnd.choice([0, 1, 3, 5], 80, p=[[0.1, 0, 0.4, 0.5], [0.5, 0.3, 0.2, 0], [0, 0, 0, 1]][trial % 3]).tolist()))
+        n = int(rnd.integers(1, 60))
+        x = set(rnd.choice(pool, n, replace=False).tolist())
+        y = set(x)
+        for t in rnd.permutation(sorted(x)).tolist()[: int(rnd.integers(0, max(1, n // 3) + 1))]:
+            y.discard(t)
+        y |= set(rnd.choice(pool, int(rnd.integers(0, max(1, n // 3) + 1)), replace=False).tolist())
+        if not y or den * len(x & y) < num * len(x | y):
+            continue
+        found = []
+        for s in (x, y):
+            a = np.array(sorted(s), np.uint64)
+            k, kind, most = signatures(a, np.array([heat_of[t] for t in a.tolist()]), 3, num, den)
+            best = {}
+            for key, m in zip(zip(k.tolist(), kind.tolist()), most.tolist()):
+                best[key] = max(best.get(key, 0), m)
+            found.append(best)
+        assert any(found[0][k] >= len(y) and found[1][k] >= len(x) for k in found[0].keys() & found[1].keys()), (len(x), len(y), num, den)
