@@ -180,31 +180,35 @@ def word_table(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tupl
     return starts, ends, np.searchsorted(bounds, starts, side="right") - 1, h
 
 
+def bit_field(df: DataFrame, places: list[Column], bits: int) -> np.ndarray:
+    """2^``bits`` bits, those at the ``places`` (columns of 0 to 2^bits - 1) of any row set:
+    at most 2^bits / 8 bytes, whatever the rows."""
+    at = df.select(F.explode(F.array(*[p.cast("long") for p in places])).alias("at"))
+    word = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(31).cast("int"))
+    found = at.groupBy(F.shiftright("at", 5).alias("w")).agg(F.bit_or(word).alias("m")).toArrow()
+    field = np.zeros(1 << bits >> 5, np.uint32)
+    field[found["w"].to_numpy()] = found["m"].to_numpy().astype(np.uint32)
+    return field
+
+
+def bits_at(field: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (field[place >> 5] >> (place & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+
+
 def id_filter(ids: DataFrame, bits: int = 26):
-    """A pandas UDF on a long column: whether an id may be among ``ids`` (one long column).
+    """A function of a long column: whether an id may be among ``ids`` (one long column).
 
-    A Bloom filter of 2^``bits`` bits with two hashes, at most 2^bits / 8 bytes on the
-    driver and each executor whatever the number of ids. It never misses an id; past
-    some 2^bits / 4 ids it lets most others pass, so use it only before an exact join.
+    A Bloom filter of 2^``bits`` bits with two hashes. It never misses an id; past some
+    2^bits / 4 ids it lets most others pass, so use it only before an exact join.
     """
     size = 1 << bits
-    at = F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(k), F.col(ids.columns[0])), F.lit(size)) for k in (1, 2)]))
-    found = ids.select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(31).cast("int"))).alias("m")).toArrow()
-    field = np.zeros(size >> 5, np.uint32)
-    field[found["w"].to_numpy()] = found["m"].to_numpy().astype(np.uint32)
-    shared = ids.sparkSession.sparkContext.broadcast(field)
+    places = lambda c: [F.pmod(F.xxhash64(F.lit(k), c), F.lit(size)) for k in (1, 2)]
+    shared = ids.sparkSession.sparkContext.broadcast(bit_field(ids, places(F.col(ids.columns[0])), bits))
 
     @F.pandas_udf("boolean")
     def may_hold(a, b):
         import pandas as pd
 
-        f, out = shared.value, np.ones(len(a), bool)
-        for x in (a, b):
-            i = x.to_numpy(np.int64)
-            out &= (f[i >> 5] >> (i & 31).astype(np.uint32) & 1).astype(bool)
-        return pd.Series(out)
-
-    def test(column: Column) -> Column:
-        return may_hold(*[F.pmod(F.xxhash64(F.lit(k), column), F.lit(size)) for k in (1, 2)])
+        return pd.Series(bits_at(shared.value, a.to_numpy(np.int64)) & bits_at(shared.value, b.to_numpy(np.int64)))
 
-    return test
+    return lambda column: may_hold(*places(column))

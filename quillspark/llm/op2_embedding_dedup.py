@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import components, mixed_bits, partitions, written
+from quillspark.llm.common import bit_field, bits_at, components, forget, mixed_bits, partitions, written
 
 
 @lru_cache(maxsize=1)
@@ -125,7 +125,7 @@ def smallest_reachable(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndar
         label = new
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = 4, probes: int = 4, scale: float = 1.4, block: int = 512, seed: int = 0) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = 4, probes: int = 4, scale: float = 1.4, block: int = 512, seed: int = 0, filter_bits: int = 26, broadcast_rows: int = 100_000) -> DataFrame:
     """Links between vectors of one label by cosine: vec_id, n_links, component_id, kept.
 
     A unit vector is projected to 8 dimensions once a table, decoded to the nearest
@@ -146,27 +146,40 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = 4
     result; other columns are ignored.
     """
     opts = (tables, probes, scale, seed)
-    n = partitions(vectors.sparkSession)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    spark, n = vectors.sparkSession, partitions(vectors.sparkSession)
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"  # floats move at half the size
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast(kind).alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    length = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
+    length = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     fit = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & (length > 0) & (length < float("inf")), F.lit(False))
     groups = rows.where(fit).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"))
     groups = written(groups)
 
+    slim_rows = groups.select(F.col("label").cast("long").alias("label"), "embedding", "rep", "mult")
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, x in by_length(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array(cell_keys(unit_rows(x, len(x)), np.asarray(batch.column(0)).astype(np.int64)[at], *opts).ravel())], names=["key"])
+
+    sizes = written(slim_rows.mapInArrow(keys_of, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    # a cell of one vector links nothing; a field of bits at two places of a key tells most such cells
+    mask = (1 << filter_bits) - 1
+    held = spark.sparkContext.broadcast(bit_field(sizes, [F.col("key").bitwiseAND(F.lit(mask)), F.shiftright("key", 32).bitwiseAND(F.lit(mask))], filter_bits))
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label = np.asarray(batch.column(0)).astype(np.int64)
             for at, x in by_length(batch.column(1)):
                 keys = cell_keys(unit_rows(x, len(x)), label[at], *opts).reshape(len(at), -1)
-                again = pa.array(np.repeat(at, keys.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *[batch.column(c).take(again) for c in range(4)]], names=["key", "label", "embedding", "rep", "mult"])
-
-    dealt = groups.select(F.col("label").cast("long").alias("label"), "embedding", "rep", "mult").mapInArrow(deal, "key long, label long, embedding array<double>, rep long, mult long")
-    slim = groups.select(F.col("label").cast("long").alias("label"), "embedding", "rep", "mult").mapInArrow(
-        lambda batches: (pa.RecordBatch.from_arrays([b.column(0)], names=["key"]) for b in deal(batches)), "key long"
-    )
-    full = slim.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block).withColumn("cut", F.ceil(F.col("size") / block).cast("int")).drop("size")
+                r, c = np.nonzero(bits_at(held.value, keys & mask) & bits_at(held.value, keys >> 32 & mask))
+                again = pa.array(at[r])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[r, c]), *[batch.column(k).take(again) for k in range(4)]], names=["key", "label", "embedding", "rep", "mult"])
+
+    dealt = slim_rows.mapInArrow(deal, f"key long, label long, embedding {kind}, rep long, mult long")
+    full = sizes.where(F.col("size") > block).select("key", F.ceil(F.col("size") / block).cast("int").alias("cut"))
+    if full.count() <= broadcast_rows:  # else an equi-join that shuffles the rows once more
+        full = F.broadcast(full)
     cut = F.coalesce("cut", F.lit(1))
     own = F.pmod(F.xxhash64("rep"), cut).cast("int")
     placed = (
@@ -188,7 +201,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = 4
             lists = t.column("embedding").combine_chunks()
             lengths = np.asarray(lists.value_lengths())
             starts = np.concatenate(([0], np.cumsum(lengths)))
-            flat = np.asarray(lists.flatten())
+            flat = np.asarray(lists.flatten()).astype(np.float64)
             edge = np.flatnonzero(np.r_[True, (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0), True])
             for a, b in zip(edge, edge[1:], strict=False):
                 if b - a < 2 or len({*lengths[a:b]}) > 1:
