@@ -36,6 +36,17 @@ def replace_all(c: Column, words: list[str], by: str) -> Column:
     return reduce(lambda a, w: F.replace(a, F.lit(w), F.lit(by)), words, c)
 
 
+def let(values: dict[str, Column], f) -> Column:
+    """``f`` of a struct of values, each of which is evaluated once however often ``f``
+    names it: Spark does not share repeated parts of conditional expressions."""
+    return F.element_at(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), f), 1)
+
+
+def count_chars(c: Column | str, kind: str) -> Column:
+    """How many characters are of a kind, a character class without its brackets."""
+    return F.length(col(c)) - F.length(F.regexp_replace(col(c), f"[{kind}]+", ""))
+
+
 def extract(c: Column | str, pattern: str, group: int = 1) -> Column:
     """The group of the first match, null where nothing matches."""
     found = F.regexp_extract(col(c), pattern, group)
@@ -64,18 +75,20 @@ def is_noise_line(c: Column | str) -> Column:
 
 
 def meaningful(c: Column | str) -> Column:
-    return F.regexp_count(col(c), F.lit(r"[\p{IsHan}A-Za-z0-9]"))
+    return count_chars(c, r"\p{IsHan}A-Za-z0-9")
 
 
 def quality_score(c: Column | str) -> Column:
     """Share of meaningful characters, less four times the share of damaged ones, less
     up to 0.7 for letters that stand alone; from 0 to 1."""
-    size = F.length(compact(c))
-    letters = meaningful(c)
     alone = F.regexp_count(col(c), F.lit(r"(?<![\p{L}\p{N}])[A-Za-z](?![\p{L}\p{N}])"))
-    damaged = F.regexp_count(col(c), F.lit(K.DAMAGED)) / size
-    penalty = F.when(letters > 0, F.least(F.lit(0.7), alone / letters * 0.8)).otherwise(0.0)
-    return F.when(size == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), letters / size - damaged * 4 - penalty)))
+    damaged = count_chars(c, K.DAMAGED[1:-1])
+
+    def score(x: Column) -> Column:
+        penalty = F.when(x["letters"] > 0, F.least(F.lit(0.7), x["alone"] / x["letters"] * 0.8)).otherwise(0.0)
+        return F.when(x["size"] == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x["letters"] / x["size"] - x["damaged"] / x["size"] * 4 - penalty)))
+
+    return let({"size": F.length(compact(c)), "letters": meaningful(c), "alone": alone, "damaged": damaged}, score)
 
 
 def lines_of(c: Column | str) -> Column:
@@ -115,12 +128,16 @@ def requested_chapter(c: Column | str) -> Column:
 
 
 def looks_like_toc(c: Column | str) -> Column:
-    lines = lines_of(c)
-    n = F.size(lines)
-    leaders = F.size(F.filter(lines, lambda x: x.rlike(K.LEADER)))
-    outline = F.size(F.filter(lines, lambda x: x.rlike(K.OUTLINE)))
-    prose = F.size(F.filter(lines, lambda x: (F.length(x) >= 36) & x.rlike(K.PROSE_END)))
-    return F.when(n < 4, False).otherwise((leaders >= 2) | ((outline / n >= 0.45) & (prose / n < 0.2)))
+    count = lambda lines, test: F.size(F.filter(lines, test))
+
+    def judged(x: Column) -> Column:
+        n = F.size(x["lines"])
+        leaders = count(x["lines"], lambda y: y.rlike(K.LEADER))
+        outline = count(x["lines"], lambda y: y.rlike(K.OUTLINE))
+        prose = count(x["lines"], lambda y: (F.length(y) >= 36) & y.rlike(K.PROSE_END))
+        return F.when(n < 4, False).otherwise((leaders >= 2) | ((outline / n >= 0.45) & (prose / n < 0.2)))
+
+    return let({"lines": lines_of(c)}, judged)
 
 
 # ---- questions (R1, R8, R9, R18, X22) --------------------------------------------
@@ -194,8 +211,7 @@ def lexical_score(query: Column | str, content: Column | str, title: Column | st
 
 
 def estimated_tokens(c: Column | str) -> Column:
-    han = F.regexp_count(text(c), F.lit(r"\p{IsHan}"))
-    return (han + F.ceil((F.length(text(c)) - han) / 4)).cast("long")
+    return let({"han": count_chars(text(c), r"\p{IsHan}"), "n": F.length(text(c))}, lambda x: x["han"] + F.ceil((x["n"] - x["han"]) / 4)).cast("long")
 
 
 def core_title(c: Column | str) -> Column:

@@ -115,8 +115,8 @@ def evidence_prompt(evidence: DataFrame) -> DataFrame:
 def representative_rank() -> Column:
     """How well a chunk stands for its surroundings."""
     body = T.compact(T.text("content"))
-    letters = F.regexp_count(body, F.lit(r"[\p{L}\p{N}]"))
-    han = F.when(letters > 0, F.regexp_count(body, F.lit(r"\p{IsHan}")) / letters).otherwise(0.0)
+    letters = T.count_chars(body, r"\p{L}\p{N}")
+    han = F.when(letters > 0, T.count_chars(body, r"\p{IsHan}") / letters).otherwise(0.0)
     kind = F.when(F.col("content_type") == "content", 3.0).when(F.col("content_type") == "heading", 1.0).otherwise(0.0)
     exercise = F.when(F.concat_ws(" ", F.coalesce("section", F.lit("")), "content").rlike(K.EXERCISES), 2.0).otherwise(0.0)
     named = F.when(F.coalesce("section", F.lit("")) != "", 0.8).otherwise(0.0)

@@ -29,11 +29,25 @@ def grams(c: Column | str) -> Column:
     return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(r"^[\x{4e00}-\x{9fff}]{2,}$"), pairs(r)).otherwise(F.array(r))))
 
 
-def postings(chunks: DataFrame, *fields: str) -> DataFrame:
-    """(term, chunk_id, tf): the inverted index of the fields' text. Repeats within a
-    chunk combine before the shuffle."""
-    body = F.concat_ws(" ", *[T.text(F.array_join(f, " ") if dict(chunks.dtypes)[f].startswith("array") else f) for f in fields])
-    return chunks.select("chunk_id", F.explode(grams(body)).alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
+def broadcast_if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``rows`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def index_terms(chunks: DataFrame, *fields: str) -> DataFrame:
+    """(chunk_id, term) of the fields' text, a row per occurrence."""
+    kinds = dict(chunks.dtypes)
+    body = F.concat_ws(" ", *[T.text(F.array_join(f, " ") if kinds[f].startswith("array") else f) for f in fields])
+    return chunks.select("chunk_id", F.explode(grams(body)).alias("term"))
+
+
+def postings(chunks: DataFrame, *fields: str, only: DataFrame | None = None) -> DataFrame:
+    """(term, chunk_id, tf): the inverted index of the fields' text, of the terms ``only``
+    if given, which are filtered before anything is shuffled. Repeats within a chunk
+    combine before the shuffle."""
+    terms = index_terms(chunks, *fields)
+    terms = terms if only is None else terms.join(broadcast_if_small(only), "term", "left_semi")
+    return terms.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def in_blocks(queries: DataFrame, size: int, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -62,13 +76,12 @@ def lexical_channel(chunks: DataFrame, queries: DataFrame, fields: Sequence[str]
     """(query_id, chunk_id, score, rank) by the sum of tf x idf squared over the query's
     terms, idf = log10(chunks / chunks with the term).
 
-    The index is filtered by the queries' terms before anything is aggregated: the
-    query side is the small one and adaptive execution may broadcast it.
+    Terms that no query has are dropped where they are read, so what is shuffled grows
+    with the queries' hits, not with the index.
     """
     terms = query_grams(queries)
     total = chunks.agg(F.count(F.lit(1)).alias("total"))
-    wanted = terms.select("term").distinct()
-    found = postings(chunks, *fields).join(wanted, "term", "left_semi")
+    found = postings(chunks, *fields, only=terms.select("term").distinct())
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.crossJoin(total).select("term", F.pow(F.log10(F.col("total") / F.col("df")), F.lit(2)).alias("idf2"))  # total is one row
     scored = terms.join(idf, "term").join(found, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("tf") * F.col("idf2")), 8).alias("score"))
