@@ -120,6 +120,18 @@ def components(edges: DataFrame) -> DataFrame:
         forget(after)
 
 
+def smallest_reachable(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each row the smallest id reachable by the links a-b among these rows."""
+    label = ids.copy()
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        if (new == label).all():
+            return label
+        label = new
+
+
 # ---- words of many texts at once, on bytes -------------------------------------
 
 _SPACE = np.zeros(256, bool)

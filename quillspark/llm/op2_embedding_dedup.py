@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bit_field, bits_at, components, forget, mixed_bits, partitions, written
+from quillspark.llm.common import bit_field, bits_at, components, forget, mixed_bits, partitions, smallest_reachable, written
 
 
 @lru_cache(maxsize=1)
@@ -113,18 +113,6 @@ def block_links(unit: np.ndarray, label: np.ndarray, left: np.ndarray, right: np
     return left[a[fine]], right[b[fine]]
 
 
-def smallest_reachable(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each row the smallest id reachable by the links a-b among these rows."""
-    label = ids.copy()
-    while True:
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
-        np.minimum.at(new, b, label[a])
-        if (new == label).all():
-            return label
-        label = new
-
-
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = 4, probes: int = 4, scale: float = 1.4, block: int = 512, seed: int = 0, filter_bits: int = 26, broadcast_rows: int = 100_000) -> DataFrame:
     """Links between vectors of one label by cosine: vec_id, n_links, component_id, kept.
 
@@ -232,6 +220,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = 4
             yield from cells(rest)
 
     found = written(placed.mapInArrow(link, "rep long, n long, low long"))
+    forget(sizes)
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     parts = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "rep")
     known = rows.select("vec_id", "label", "embedding", fit.alias("fit")).withColumns({"label": F.when(F.col("fit"), F.col("label")), "embedding": F.when(F.col("fit"), F.col("embedding"))})

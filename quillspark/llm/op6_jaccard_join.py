@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import chunks, components, forget, id_filter, mixed_bits, partitions, small_batches, text_of, utf8_batch, word_table, written
+from quillspark.llm.common import chunks, components, forget, id_filter, mixed_bits, partitions, small_batches, smallest_reachable, text_of, utf8_batch, word_table, written
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 BASE, RARE, FREQUENT = 0, 1, 2
@@ -131,18 +131,6 @@ def signatures(s: np.ndarray, heat: np.ndarray, frequent: int, num: int, den: in
     return np.concatenate(keys), np.concatenate(kinds), np.concatenate(sizes)
 
 
-def smallest_reachable(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each row the smallest id reachable by the links a-b among these rows."""
-    label = ids.copy()
-    while True:
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
-        np.minimum.at(new, b, label[a])
-        if (new == label).all():
-            return label
-        label = new
-
-
 def size_classes(n: np.ndarray, num: int, den: int) -> np.ndarray:
     """Sizes by powers of den/num: partners are of one class or of neighbouring ones."""
     return np.floor(np.log(np.maximum(n, 1)) / np.log(den / num) + 1e-9).astype(np.int32)
