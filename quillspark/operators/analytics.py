@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.operators.access import User, accessible
+from quillspark.operators.access import User, accessible, accessible_base
 
 SORTS = {
     "updated": lambda: [F.col("updated_at").desc(), F.col("id").desc()],
@@ -133,6 +133,20 @@ def last_messages(messages: DataFrame, k: int = 8, chars: int | None = None) ->
     return out.withColumn("text", F.right("text", F.lit(chars))) if chars else out
 
 
+def model_history(messages: DataFrame, k: int = 6, chars: int = 1000) -> DataFrame:
+    """What a model is shown of each session: of the last ``k`` (2 to 10) messages that are
+    not blank, the last ``chars`` characters, in order."""
+    if not 2 <= k <= 10:
+        raise ValueError("k is 2 to 10")
+    return last_messages(messages.where(F.trim(F.coalesce("text", F.lit(""))) != ""), k, chars)
+
+
+def visible_counts(bases: DataFrame, logs: DataFrame, user: User) -> DataFrame:
+    """How many bases the user may see, and how often they searched (A2), in one row."""
+    seen = bases.where(accessible_base(user)).agg(F.count(F.lit(1)).alias("bases"))
+    return seen.crossJoin(logs.where(F.col("user_id") == user.id).agg(F.count(F.lit(1)).alias("searches")))  # one row each
+
+
 def dashboard(docs: DataFrame, logs: DataFrame, user: User) -> dict[str, DataFrame]:
     """Everything on a user's dashboard, lazily; ``docs`` has counters and popularity."""
     seen = docs.where(accessible(user))

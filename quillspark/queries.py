@@ -179,6 +179,27 @@ def chat_sessions(spark, sf):
     return analytics.sessions_of(tables.read(spark, sf, "conversations"))
 
 
+@registered("""SELECT conv_id, turn, right(text, 1000) AS text FROM (SELECT * FROM conversations WHERE trim(coalesce(text, '')) <> '')
+    QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6""", views=False)
+def model_history(spark, sf):
+    return analytics.model_history(tables.read(spark, sf, "conversations")).select("conv_id", "turn", "text")
+
+
+@registered("""SELECT (SELECT count(*) FROM region r WHERE r_regionkey = 3 OR r_regionkey % 3 > 0) AS bases, (SELECT count(*) FROM events WHERE user_id = 3) AS searches""", views=False)
+def visible_counts(spark, sf):
+    r = tables.read(spark, sf, "region")
+    kind = F.when(F.col("r_regionkey") % 3 == 0, "private").when(F.col("r_regionkey") % 3 == 1, "shared").otherwise("public")
+    return analytics.visible_counts(r.select(F.col("r_regionkey").alias("owner_id"), kind.alias("visibility")), tables.events(spark, sf), ME)
+
+
+@registered()
+def share_state(spark, sf):
+    """Orders as requests: their priority stands for what was asked of the document."""
+    o = tables.read(spark, sf, "orders")
+    action = F.element_at(F.create_map(*[F.lit(x) for kv in zip("12345", ("request", "approve", "reject", "withdraw", "request")) for x in kv]), F.substring("o_orderpriority", 1, 1))
+    return analytics.share_state(o.select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("seq"), action.alias("action")))
+
+
 @registered("SELECT 'documents' AS \"table\", count(*) AS rows FROM docs UNION ALL SELECT 'events', count(*) FROM ev UNION ALL SELECT 'chunks', count(*) FROM chunks")
 def table_counts(spark, sf):
     return analytics.table_counts({"documents": tables.documents(spark, sf), "events": tables.events(spark, sf), "chunks": tables.line_chunks(spark, sf)})
