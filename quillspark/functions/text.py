@@ -19,7 +19,8 @@ def text(c: Column | str) -> Column:
 
 
 def any_match(c: Column | str, patterns: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [col(c).rlike(p) for p in patterns])
+    """Whether one of the patterns is found, as one expression: the text is decoded once."""
+    return col(c).rlike("|".join(f"(?:{p})" for p in patterns))
 
 
 def trimmed(c: Column | str) -> Column:
