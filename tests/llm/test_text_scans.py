@@ -94,6 +94,27 @@ def test_license_scan(spark, prose):
     assert "Exchange" not in plan and "Python" not in plan
 
 
+LINES = [
+    ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+    ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0-only"),
+    ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+    ("Released under the MIT License.", "MIT"),
+    ("This page is licensed under CC BY-NC-ND 4.0.", "CC-BY-NC-ND-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License", "CC-BY-NC-SA-3.0"),
+    ("The text is licensed under the GNU General Public License, version 2.", "GPL-2.0-only"),
+    ("This file is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0-only"),
+    ("This work is licensed under the GNU Lesser General Public License, version 2.1 or later.", "LGPL-2.1-or-later"),
+    ("Licensed under the Eclipse Public License - v 2.0", "EPL-2.0"),
+    ("Licensed under the BSD 2-Clause license", "BSD-2-Clause"),
+    ("The licence of the driver is void.", None),
+]
+
+
+def test_license_lines_that_are_not_templates(spark):
+    got = {r.doc_id: r.license for r in licenses.scan_licenses(documents(spark, [f"one two\n{t}\nthree" for t, _ in LINES])).collect()}
+    assert got == {i: name for i, (_, name) in enumerate(LINES)}
+
+
 # ---- pages -------------------------------------------------------------------------
 
 PAGES = "page_id long, url string, html string, text string, host string"
