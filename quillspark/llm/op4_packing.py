@@ -23,12 +23,13 @@ def default_vocabulary() -> str:
 
 
 @lru_cache(maxsize=2)
-def encoder(vocabulary: str):
+def encoder(vocabulary: str, added: bool = False):
     """Text -> ids of the byte-level BPE in ``vocabulary`` (a tokenizers JSON file).
 
     The vocabulary and merges of that file are run by tiktoken, which gives the same
     ids (tests compare the two libraries) at four times the speed. The rank of a
-    token is its id; strings of special tokens in a text are ordinary text.
+    token is its id. With ``added`` the file's added tokens in a text are one id each,
+    as the library has it by default; without, their strings are ordinary text.
     """
     import json
 
@@ -36,12 +37,14 @@ def encoder(vocabulary: str):
     from public_tokenizers import PATTERN
 
     with open(vocabulary, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        file = json.load(f)
+    model, special = file["model"], {t["content"]: t["id"] for t in file["added_tokens"]} if added else {}
     # byte-level BPE writes byte b as a printable character: itself where printable, else 256, 257, ...
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if all(c in byte_of for c in token) and not (token.startswith("<|") and token.endswith("|>"))}
-    return tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    both = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return (lambda text: both.encode(text, allowed_special="all")) if added else both.encode_ordinary
 
 
 def tokenised(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -55,7 +58,7 @@ def tokenised(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocabulary
     small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, added=True)
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):

@@ -35,6 +35,17 @@ def test_encoder_gives_the_ids_of_the_tokenizer(library, prose):
         assert ours(t) == want.ids
 
 
+def test_added_tokens_have_the_ids_of_the_library_at_its_defaults(spark):
+    from tokenizers import Tokenizer
+
+    default = Tokenizer.from_file(default_vocabulary())
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "  <|endoftext|> \n x", "<|endoftext|><|endoftext|>", "<|endoftext|", "é <|endoftext|>'s", "<|im_start|>x"]
+    assert default.encode(texts[0], add_special_tokens=False).ids == [64, 50256, 65]
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in pack_documents(documents(spark, texts)).collect()}
+    want = [[*default.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert got == {i: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in enumerate(want)}
+
+
 def test_pieces_and_places(spark, library, prose):
     texts = [*prose, *prose[:20]]
     docs = documents(spark, texts).unionByName(documents(spark, ["z"]).withColumn("doc_id", F.lit(None).cast("long")))
