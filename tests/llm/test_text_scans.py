@@ -130,6 +130,16 @@ def test_blocks():
     assert html.blocks("<article><p>a < b &nbsp; c") == [(True, "a < b c")]
 
 
+def test_embedded_elements_end_with_what_is_around_them():
+    inside = lambda page: [t for c, t in html.blocks(page) if c]
+    assert inside('<article><p>one <svg width="1"/> two</p><p>three</p></article>') == ["one two", "three"]
+    assert inside("<article><p>one <math/> two</p><p>three <svg><path d=''/></svg>four</p></article>") == ["one two", "three four"]
+    assert inside("<article><p>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be</p></article>") == ["let x=2 be"]
+    assert inside("<article><p>one <svg><text>icon</text></p><p>two</p></article>") == ["one", "two"]
+    assert inside("<article><p>one</p><iframe src=a>old</iframe><p>two</p></article>") == ["one", "two"]
+    assert inside("<article><p>one</p><script>var a = '<p>x</p>'</article>") == ["one"]
+
+
 def test_suffix_array():
     rnd = np.random.default_rng(0)
     for n in (0, 1, 2, 50, 300):
