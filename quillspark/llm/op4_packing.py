@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import partitions, small_batches, text_of, written
 
+#: Unicode white space, as the tokenizer's expression knows it.
+LONG_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{10000,}")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -44,7 +47,22 @@ def encoder(vocabulary: str, added: bool = False):
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if all(c in byte_of for c in token) and not (token.startswith("<|") and token.endswith("|>"))}
     both = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return (lambda text: both.encode(text, allowed_special="all")) if added else both.encode_ordinary
+    short = (lambda text: both.encode(text, allowed_special="all")) if added else both.encode_ordinary
+
+    def encode(text: str) -> list[int]:
+        """The expression that cuts text into words recurses on long white space; such a
+        run is a piece by itself, but for its last character where a word follows it."""
+        ids, at = [], 0
+        for run in LONG_SPACE.finditer(text):
+            end = run.end()
+            if end < len(text) and not any(text.startswith(s, end) for s in special):
+                end -= 1
+            ids += short(text[at : run.start()])
+            ids += both._encode_single_piece(text[run.start() : end])
+            at = end
+        return ids + short(text[at:]) if at else short(text)
+
+    return encode
 
 
 def tokenised(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:

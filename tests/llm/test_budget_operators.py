@@ -20,9 +20,7 @@ from .helpers import documents
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(default_vocabulary())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(default_vocabulary())
 
 
 def test_encoder_gives_the_ids_of_the_tokenizer(library, prose):
@@ -30,7 +28,9 @@ def test_encoder_gives_the_ids_of_the_tokenizer(library, prose):
     odd = ["<|endoftext|>", "a<|endoftext|>b", "\x00\x01", "é́ñ", "漢字かな", "🙂👍🏽", "  \n\t  x", "​﻿", "it's I'LL", "１２３ ٣", "a b", "\r\n\r\n", "x" * 5000]
     odd += ["".join(chr(rnd.choice([rnd.randrange(32, 127), rnd.randrange(160, 1000), rnd.randrange(0x3000, 0x9FFF), rnd.randrange(0x1F300, 0x1F600)])) for _ in range(60)) for _ in range(300)]
     texts = [t for t in prose if t] + odd
-    ours = encoder(default_vocabulary())
+    space = ["a" + " " * 20000, " " * 20000 + "b", "\n" * 15000 + "\u3000" * 9000 + "é", "x" + "\t" * 12000 + "\n's", " " * 30000 + "<|endoftext|>" + " " * 11000 + "<|endoftext", "\x1c" * 12000, " " * 12000 + "\x1c"]
+    texts += space
+    ours = encoder(default_vocabulary(), added=True)
     for t, want in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
         assert ours(t) == want.ids
 
@@ -46,6 +46,14 @@ def test_added_tokens_have_the_ids_of_the_library_at_its_defaults(spark):
     assert got == {i: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in enumerate(want)}
 
 
+def test_very_long_white_space(spark, library):
+    texts = [" " * 5_000_000, "a" + "\n" * 1_200_000 + "b", "z" * 1_000_000]
+    got = {}
+    for r in pack_documents(documents(spark, texts)).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+    assert got == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+
+
 def test_pieces_and_places(spark, library, prose):
     texts = [*prose, *prose[:20]]
     docs = documents(spark, texts).unionByName(documents(spark, ["z"]).withColumn("doc_id", F.lit(None).cast("long")))
