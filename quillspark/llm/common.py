@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 import numpy as np
@@ -18,20 +18,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; set here only where the session names none."""
+    """The folder all executors share, ``spark.checkpoint.dir``. Where the session names
+    none, a local session (one machine, as in tests) takes one in its warehouse; on a
+    cluster that is an error, since a folder of one machine is not shared."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    if where:
+        return where
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+
+
+def _stored(spark: SparkSession, path: str):
+    """A path of the shared folder and its file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and
-    survives lost executors, since no block lives on one machine."""
+    survives lost executors, since no block lives on one machine. What ``forget`` does
+    not delete before is deleted when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
+    target, store = _stored(spark, path)
+    store.deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
@@ -41,23 +53,15 @@ def forget(df: DataFrame) -> None:
     """Delete what ``written`` stored for ``df``, once nothing reads it any more."""
     path = getattr(df, "_written_at", None)
     if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        target, store = _stored(df.sparkSession, path)
+        store.delete(target, True)
+        store.cancelDeleteOnExit(target)
 
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts go to Python ``rows`` at a time, unless the session asks for fewer: a batch
-    of the default 10,000 can hold hundreds of megabytes of long texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows:
-        spark.conf.set(name, str(rows))
-
-
 def text_of(name: str = "text") -> Column:
     """A null text counts as an empty one."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -192,6 +196,47 @@ def word_table(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tupl
     return starts, ends, np.searchsorted(bounds, starts, side="right") - 1, h
 
 
+def sketch(docs: DataFrame, hashes, bits: int) -> np.ndarray:
+    """How often the hashes (``hashes`` of bytes and bounds: one 64-bit number each) of
+    each of 2^``bits`` classes occur in all texts: an upper bound of one's frequency.
+    Tasks add their texts into one array each and send it in slices, which are summed;
+    the driver gets 4 bytes a class."""
+    import pandas as pd
+    import pyarrow as pa
+
+    size, slices, most = 1 << bits, 64, 2**31 - 1
+
+    def run(batches):
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            data, bounds = utf8_batch(batch.column(0))
+            for a, b in chunks(bounds):
+                h = hashes(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
+                total += np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size)
+        parts = np.minimum(total, most).astype(np.int32).reshape(slices, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(slices, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["at", "part"])
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(size // slices, np.int64)
+        for part in group["part"]:
+            total += np.frombuffer(part, np.int32)
+        return pd.DataFrame({"at": [group["at"].iloc[0]], "part": [np.minimum(total, most).astype(np.int32).tobytes()]})
+
+    tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism
+    parts = docs.select(text_of().alias("text")).coalesce(tasks).mapInArrow(run, "at int, part binary").groupBy("at").applyInPandas(add, "at int, part binary").collect()
+    out = np.zeros(size, np.int32).reshape(slices, -1)
+    for r in parts:
+        out[r["at"]] = np.frombuffer(r["part"], np.int32)
+    return out.ravel()
+
+
+def sketch_size(docs: DataFrame) -> int:
+    """Bits of a sketch of the words of all texts: some 32 words a class, within 16 and
+    24 bits (16 MB at one byte a class). Past that the classes fill up evenly."""
+    chars = docs.select(F.sum(F.length(text_of())).alias("n")).first()["n"] or 0
+    return min(24, max(16, int(np.ceil(np.log2(max(chars / 6, 1)))) - 5))
+
+
 def bit_field(df: DataFrame, places: list[Column], bits: int) -> np.ndarray:
     """2^``bits`` bits, those at the ``places`` (columns of 0 to 2^bits - 1) of any row set:
     at most 2^bits / 8 bytes, whatever the rows."""

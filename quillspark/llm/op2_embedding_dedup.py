@@ -4,7 +4,9 @@ tables, neighbouring cells probed, cosine verified."""
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -50,22 +52,80 @@ def projection(dims: int, table: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, table, dims]).normal(size=(dims, 8))
 
 
-def cell_keys(unit: np.ndarray, label: np.ndarray, tables: int, probes: int, scale: float, seed: int) -> np.ndarray:
-    """For unit vectors, tables x (1 + probes) keys: the cell of the projected point in
-    each table and the ``probes`` cells nearest to it. A key covers the label, the
-    number of dimensions, the table and the lattice point."""
+@dataclass(frozen=True)
+class Cells:
+    """How vectors are dealt to cells: ``tables`` times, each by ``lattices`` independent
+    projections to 8 dimensions over ``scale``, each in its cell and ``probes`` more."""
+
+    tables: int
+    scale: float
+    lattices: int = 1
+    probes: int = 4
+    seed: int = 0
+
+    @property
+    def width(self) -> int:
+        return (1 + self.probes) ** self.lattices
+
+
+def meeting_share(scale: float, probes: int, threshold: float, trials: int = 4000) -> float:
+    """How many pairs of vectors at the threshold have a cell of one lattice in common, by
+    simulation: projections of such a pair are normal and correlated by the cosine."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(trials, 8))
+    y = threshold * x + math.sqrt(1 - threshold * threshold) * rng.normal(size=(trials, 8))
+    near, far = (nearest_cells(v / scale, probes) for v in (x, y))
+    return float((near[:, :, None, :] == far[:, None, :, :]).all(axis=3).any(axis=(1, 2)).mean())
+
+
+def planned(n: int, threshold: float, recall: float = 0.9999, probes: int = 4, seed: int = 0) -> Cells:
+    """The cheapest way to deal out ``n`` vectors of one label such that ``recall`` of the
+    pairs at the threshold meet.
+
+    The finer the cells (smaller ``scale``, or two lattices to a key), the fewer vectors
+    that are not near meet and the more tables are needed. Of n vectors in no order, a
+    vector meets at most n * (1+probes)^2 * (scale^2/4pi)^4 in a lattice's cells (the
+    density of the projections times the cells' volume, 1). Its cost is that and its keys.
+    """
+    best = None
+    for scale in SCALES:
+        share, met = meeting_share(scale, probes, threshold), (1 + probes) ** 2 * (scale * scale / (4 * math.pi)) ** 4
+        for lattices in (1, 2):
+            found = min(share**lattices, 1 - 1e-9)
+            if found < 0.02:
+                continue
+            cells = Cells(max(1, math.ceil(math.log(1 - recall) / math.log(1 - found))), scale, lattices, probes, seed)
+            cost = cells.tables * (n * met**lattices + KEY_COST * cells.width)
+            if best is None or cost < best[0]:
+                best = cost, cells
+    return best[1]
+
+
+#: Scales that ``planned`` tries, and what a key costs against a cosine.
+SCALES, KEY_COST = (1.6, 1.4, 1.2, 1.0, 0.85, 0.7), 20
+
+
+def nearest_cells(x: np.ndarray, probes: int) -> np.ndarray:
+    """The lattice points of each row's own cell and of the ``probes`` nearest to it."""
+    home, step = nearest_e8(x), shortest()
+    distance = -2 * (x - home) @ step.T  # all steps are of one length
+    near = np.argpartition(distance, probes - 1, axis=1)[:, :probes] if probes else np.zeros((len(x), 0), int)
+    return np.concatenate([home[:, None, :], home[:, None, :] + step[near]], axis=1)
+
+
+def cell_keys(unit: np.ndarray, label: np.ndarray, cells: Cells) -> np.ndarray:
+    """For unit vectors, tables x width keys. A key covers the label, the number of
+    dimensions, the table and a lattice point of each of its lattices."""
     n, dims = unit.shape
-    keys = np.empty((n, tables, 1 + probes), np.int64)
-    for t in range(tables):
-        x = unit @ projection(dims, t, seed) / scale
-        home = nearest_e8(x)
-        step = shortest()
-        distance = -2 * (x - home) @ step.T  # all steps are of one length
-        near = np.argpartition(distance, probes - 1, axis=1)[:, :probes] if probes else np.zeros((n, 0), int)
-        points = np.concatenate([home[:, None, :], home[:, None, :] + step[near]], axis=1)
-        h = np.broadcast_to((mixed_bits(label.astype(np.int64).astype(np.uint64)) + np.uint64(dims * 1000 + t))[:, None], (n, 1 + probes))
-        for c in range(8):
-            h = mixed_bits(h * np.uint64(0x9E3779B97F4A7C15) + (2 * points[:, :, c]).astype(np.int64).astype(np.uint64))
+    keys = np.empty((n, cells.tables, cells.width), np.int64)
+    for t in range(cells.tables):
+        h = (mixed_bits(label.astype(np.int64).astype(np.uint64)) + np.uint64(dims * 1000003 + t))[:, None]
+        for j in range(cells.lattices):
+            points = nearest_cells(unit @ projection(dims, t * cells.lattices + j, cells.seed) / cells.scale, cells.probes)
+            h = np.repeat(h, 1 + cells.probes, axis=1)
+            part = np.tile(points, (1, h.shape[1] // (1 + cells.probes), 1))
+            for c in range(8):
+                h = mixed_bits(h * np.uint64(0x9E3779B97F4A7C15) + (2 * part[:, :, c]).astype(np.int64).astype(np.uint64))
         keys[:, t, :] = h.astype(np.int64)
     return keys
 
@@ -85,7 +145,7 @@ def by_length(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, flat[starts[rows][:, None] + np.arange(d)]
 
 
-def block_links(unit: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, key: int, threshold: float, opts: tuple) -> tuple[np.ndarray, np.ndarray]:
+def block_links(unit: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, key: int, threshold: float, cells: Cells) -> tuple[np.ndarray, np.ndarray]:
     """Links of one cell, as index pairs, between ``left`` and ``right`` rows (or within
     ``left`` where they are one array), without those met in a cell of a smaller key:
     so each link counts in one cell only, and no pair leaves the task."""
@@ -96,14 +156,14 @@ def block_links(unit: np.ndarray, label: np.ndarray, left: np.ndarray, right: np
     if not len(a):
         return a, b
     both = np.unique(np.concatenate([left[a], right[b]]))
-    keys = np.full((len(unit), opts[0], 1 + opts[1]), 0, np.int64)
-    keys[both] = np.sort(cell_keys(unit[both], label[both], *opts), axis=2)
+    keys = np.full((len(unit), cells.tables, cells.width), 0, np.int64)
+    keys[both] = np.sort(cell_keys(unit[both], label[both], cells), axis=2)
     # rows of equal key lists are alike here: compare lists once a pair of classes
     lists, of = np.unique(keys[both].reshape(len(both), -1), axis=0, return_inverse=True)
     klass = np.zeros(len(unit), np.int64)
     klass[both] = of.ravel()
     code, at = np.unique(klass[left[a]] * len(lists) + klass[right[b]], return_inverse=True)
-    lists = lists.reshape(len(lists), opts[0], -1)
+    lists = lists.reshape(len(lists), cells.tables, -1)
     earlier = np.zeros(len(code), bool)
     for c in range(0, len(code), 1 << 16):
         p, q = lists[code[c : c + (1 << 16)] // len(lists)], lists[code[c : c + (1 << 16)] % len(lists)]
@@ -113,14 +173,15 @@ def block_links(unit: np.ndarray, label: np.ndarray, left: np.ndarray, right: np
     return left[a[fine]], right[b[fine]]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = 4, probes: int = 4, scale: float = 1.4, block: int = 512, seed: int = 0, filter_bits: int = 26, broadcast_rows: int = 100_000) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, cells: Cells | None = None, recall: float = 0.9999, block: int = 512, filter_bits: int = 26, broadcast_rows: int = 100_000) -> DataFrame:
     """Links between vectors of one label by cosine: vec_id, n_links, component_id, kept.
 
-    A unit vector is projected to 8 dimensions once a table, decoded to the nearest
-    E8 point and put in that cell and in the ``probes`` nearest ones, so two vectors
-    meet where any of their cells agree. With the defaults 99.9 % of pairs at the
-    threshold meet, and all but none above 0.95 (tests measure it against brute
-    force); a smaller ``scale`` and more ``tables`` suit larger tables.
+    A unit vector is projected to 8 dimensions, decoded to the nearest E8 point and put
+    in that cell and in the nearest ones, in several tables, so two vectors meet where
+    any of their cells agree. How fine the cells are and how many tables there are
+    follows from the vectors of the largest label (``planned``), so that cells stay
+    small and ``recall`` of the pairs at the threshold meet (tests measure it against
+    brute force); pairs above it meet more often.
 
     Equal vectors are one, with a count. A cell of more than ``block`` vectors is cut
     into blocks by a hash, and each pair of blocks is a task's matrix product; cells
@@ -129,26 +190,28 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = 4
 
     Cases: vectors that are null, empty, zero or hold null or non-finite numbers, and
     rows with a null label or id, link with nothing; vectors of different numbers of
-    dimensions never link; rows with equal vectors link with each other; rows that
-    repeat a vec_id with another vector are one node; an empty table gives an empty
-    result; other columns are ignored.
+    dimensions never link; labels of any type are compared by a 64-bit hash; rows with
+    equal vectors link with each other; rows that repeat a vec_id with another vector
+    are one node; an empty table gives an empty result; other columns are ignored.
     """
-    opts = (tables, probes, scale, seed)
     spark, n = vectors.sparkSession, partitions(vectors.sparkSession)
     kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"  # floats move at half the size
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast(kind).alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.col("label").isNotNull(), F.xxhash64("label")).alias("label"), F.col("embedding").cast(kind).alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     length = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     fit = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & (length > 0) & (length < float("inf")), F.lit(False))
     groups = rows.where(fit).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"))
     groups = written(groups)
+    if cells is None:
+        largest = groups.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        cells = planned(largest or 1, threshold, recall)
 
-    slim_rows = groups.select(F.col("label").cast("long").alias("label"), "embedding", "rep", "mult")
+    slim_rows = groups.select("label", "embedding", "rep", "mult")
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, x in by_length(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([pa.array(cell_keys(unit_rows(x, len(x)), np.asarray(batch.column(0)).astype(np.int64)[at], *opts).ravel())], names=["key"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell_keys(unit_rows(x, len(x)), np.asarray(batch.column(0)).astype(np.int64)[at], cells).ravel())], names=["key"])
 
     sizes = written(slim_rows.mapInArrow(keys_of, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     # a cell of one vector links nothing; a field of bits at two places of a key tells most such cells
@@ -159,7 +222,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = 4
         for batch in batches:
             label = np.asarray(batch.column(0)).astype(np.int64)
             for at, x in by_length(batch.column(1)):
-                keys = cell_keys(unit_rows(x, len(x)), label[at], *opts).reshape(len(at), -1)
+                keys = cell_keys(unit_rows(x, len(x)), label[at], cells).reshape(len(at), -1)
                 r, c = np.nonzero(bits_at(held.value, keys & mask) & bits_at(held.value, keys >> 32 & mask))
                 again = pa.array(at[r])
                 yield pa.RecordBatch.from_arrays([pa.array(keys[r, c]), *[batch.column(k).take(again) for k in range(4)]], names=["key", "label", "embedding", "rep", "mult"])
@@ -184,7 +247,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = 4
         names = ["rep", "n", "low"]
         rest: pa.Table | None = None
 
-        def cells(t: pa.Table):
+        def met_in(t: pa.Table):
             key, i, j, own, label, rep, mult = (t.column(c).to_numpy() for c in ("key", "i", "j", "own", "label", "rep", "mult"))
             lists = t.column("embedding").combine_chunks()
             lengths = np.asarray(lists.value_lengths())
@@ -199,7 +262,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = 4
                     left = right = np.arange(b - a)
                 else:
                     left, right = np.flatnonzero(own[a:b] == i[a]), np.flatnonzero(own[a:b] == j[a])
-                p, q = block_links(unit, label[a:b], left, right, key[a], threshold, opts)
+                p, q = block_links(unit, label[a:b], left, right, key[a], threshold, cells)
                 if len(p):
                     m = mult[a:b]
                     count = np.bincount(p, m[q], b - a) + np.bincount(q, m[p], b - a)
@@ -215,19 +278,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = 4
             key, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
             open_at = int(np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1]))[-1]) + 1 if (key[0], i[0], j[0]) != (key[-1], i[-1], j[-1]) else 0
             rest = t.slice(open_at)
-            yield from cells(t.slice(0, open_at)) if open_at else ()
+            yield from met_in(t.slice(0, open_at)) if open_at else ()
         if rest is not None and rest.num_rows:
-            yield from cells(rest)
+            yield from met_in(rest)
 
     found = written(placed.mapInArrow(link, "rep long, n long, low long"))
     forget(sizes)
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     parts = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "rep")
-    known = rows.select("vec_id", "label", "embedding", fit.alias("fit")).withColumns({"label": F.when(F.col("fit"), F.col("label")), "embedding": F.when(F.col("fit"), F.col("embedding"))})
-    copies = groups.where("mult > 1")
-    rows = known.join(copies, ["label", "embedding"], "left").select("vec_id", F.coalesce("rep", "vec_id").alias("rep"), F.coalesce("mult", F.lit(1)).alias("mult"), "fit")
-    linked = rows.join(counts, "rep", "left").join(parts, "rep", "left")
-    component = F.when(F.col("fit"), F.coalesce("component", "rep")).otherwise(F.col("vec_id"))
-    return linked.select(
-        "vec_id", F.when(F.col("fit"), F.coalesce("n", F.lit(0)) + F.col("mult") - 1).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept")
-    )
+    linked = written(counts.join(parts, "rep", "left"))
+    forget(found)
+    # rows that link with nothing stay out of the joins
+    fitting, copies = rows.where(fit), groups.where("mult > 1")
+    nodes = fitting.join(copies, ["label", "embedding"], "left").select("vec_id", F.coalesce("rep", "vec_id").alias("rep"), F.coalesce("mult", F.lit(1)).alias("mult"))
+    nodes = nodes.join(linked, "rep", "left").select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    alone = rows.where(~fit).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return nodes.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import chunks, components, forget, id_filter, mixed_bits, partitions, small_batches, smallest_reachable, text_of, utf8_batch, word_table, written
+from quillspark.llm.common import chunks, components, forget, id_filter, mixed_bits, partitions, sketch, sketch_size, smallest_reachable, text_of, utf8_batch, word_table, written
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 BASE, RARE, FREQUENT = 0, 1, 2
@@ -48,36 +48,6 @@ def distinct_sets(data: np.ndarray, bounds: np.ndarray, k: int = 5) -> tuple[np.
     return row[fresh], s[fresh]
 
 
-def sketch(docs: DataFrame, k: int, bits: int) -> np.ndarray:
-    """How often the shingles of each of 2^``bits`` hash classes occur in all texts: an
-    upper bound of a shingle's frequency. Tasks add their texts into one array each and
-    send it in slices, which are summed; the driver gets 4 bytes a class."""
-    size, slices = 1 << bits, 64
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            data, bounds = utf8_batch(batch.column(0))
-            for a, b in chunks(bounds):
-                _, s = shingles(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], k)
-                total += np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size)
-        parts = np.minimum(total, 2**31 - 1).astype(np.int32).reshape(slices, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(slices, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["at", "part"])
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(size // slices, np.int64)
-        for part in group["part"]:
-            total += np.frombuffer(part, np.int32)
-        return pd.DataFrame({"at": [group["at"].iloc[0]], "part": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
-
-    tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism
-    parts = docs.select(text_of().alias("text")).coalesce(tasks).mapInArrow(run, "at int, part binary").groupBy("at").applyInPandas(add, "at int, part binary").collect()
-    out = np.zeros(size, np.int32).reshape(slices, -1)
-    for r in parts:
-        out[r["at"]] = np.frombuffer(r["part"], np.int32)
-    return out.ravel()
-
-
 def classes(n: int, p: int, num: int, den: int) -> list[int]:
     """The numbers of classes over which a set of size ``n`` deals its frequent tokens:
     powers of two near the prefix length, one for each length that a partner can have."""
@@ -167,8 +137,7 @@ def index(docs: DataFrame, k: int, num: int, den: int, bits: int) -> DataFrame:
     once however many copies it reads.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    heats = sketch(docs, k, bits)
+    heats = sketch(docs, lambda data, bounds: shingles(data, bounds, k)[1], bits)
     mean = max(1.0, float(heats.mean()))
     shared = spark.sparkContext.broadcast(np.floor(np.log2(np.maximum(heats, 1) / mean + 1)).astype(np.uint8))
     frequent = 3  # seven times the mean load of a class, or more
@@ -306,7 +275,7 @@ def links_within(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, nu
     return left[p], right[q]
 
 
-def jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, sketch_bits: int = 22, filter_bits: int = 26, block: int = 512, block_size: int = 1 << 19) -> DataFrame:
+def jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, sketch_bits: int | None = None, filter_bits: int = 26, block: int = 512, block_size: int = 1 << 19) -> DataFrame:
     """Link texts whose sets of ``k``-word shingles have Jaccard >= num/den: doc_id,
     n_shingles, component_id (the least doc_id reachable by links).
 
@@ -319,16 +288,18 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, ske
     into blocks by a hash and each pair of blocks is compared by itself.
 
     Cases: a null or empty text, or one without words, has no shingles and links with
-    nothing; a null id links with nothing and has a null component_id; rows that repeat an id are
-    one node; an empty
-    table gives an empty result; other columns are ignored. Shingles are compared by
-    64-bit hashes.
+    nothing; a null id links with nothing and has a null component_id; rows that repeat
+    an id are one node, which links as each of their texts does; an empty table gives
+    an empty result; other columns are ignored. Shingles are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
-    found = index(docs, k, num, den, sketch_bits)
+    found = index(docs, k, num, den, sketch_size(docs) if sketch_bits is None else sketch_bits)
     base = found.where(F.col("kind") == BASE).select("doc_id", "n", "d1", F.col("token").alias("d2"))
     groups = base.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     rows = base.join(groups, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
+    # an id that stands for several sets links the groups of all of them
+    several = base.where("n > 0").groupBy("doc_id").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a <> b").select("doc_id")
+    bridges = rows.where("doc_id <> rep").join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     rank = lambda c: F.xxhash64(c)
     keyed = found.where(F.col("kind") == FREQUENT).groupBy("token", "d1", "n", "size_class").agg(F.min("doc_id").alias("id"), F.max("most").alias("most"))
@@ -340,13 +311,14 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, ske
     rare = found.where(F.col("kind") == RARE).select(F.col("token").alias("leader"), "size_class", F.col("doc_id").alias("id"), "n")
     member = written(rare.unionByName(hot).distinct())
     forget(able)
-    size = member.groupBy("leader", "size_class").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("total")).where("c > 1")
+    # written, so that the join below is one of two tables and a large group of it can be split
+    size = written(member.groupBy("leader", "size_class").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("total")).where("c > 1"))
     cut = F.greatest(F.ceil(F.col("c") / block), F.ceil(F.col("total") / block_size)).cast("int")
     member = member.join(size.select("leader", "size_class", cut.alias("cut")), ["leader", "size_class"])
     ids = member.select("id").distinct()
     may = id_filter(ids, filter_bits)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text")).where(F.col("id").isNotNull())
-    texts = texts.where(may(F.col("id"))).join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    texts = texts.where(may(F.col("id"))).join(ids, "id", "left_semi").select("id", "text").distinct()
     own = F.pmod(F.xxhash64("id"), F.col("cut")).cast("int")
     placed = (
         member.withColumn("own", own)
@@ -403,8 +375,10 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, ske
         if rest is not None and rest.num_rows:
             yield within(rest)
 
-    links = written(placed.mapInArrow(compare, "a long, b long"))
+    links = written(placed.mapInArrow(compare, "a long, b long").unionByName(bridges))
     labels = components(links)
+    forget(size)
+    forget(links)
     final = rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     return final.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import components
 from quillspark.llm.op1_exact_dedup import exact_dedup, without_copies
-from quillspark.llm.op2_embedding_dedup import near_duplicates, nearest_e8, shortest
+from quillspark.llm.op2_embedding_dedup import Cells, cell_keys, near_duplicates, nearest_e8, planned, shortest
 from quillspark.llm.op6_jaccard_join import jaccard_join, one_of_each_group
 
 from .helpers import documents, smallest
@@ -83,6 +83,17 @@ def test_jaccard_join_edges(spark, prose):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, c in component.items() if i == c)
 
 
+def test_an_id_of_several_texts_links_as_each_of_them(spark):
+    rnd = np.random.default_rng(9)
+    w = lambda n: [f"w{x}" for x in rnd.integers(0, 9999, n)]
+    a, b, c = w(60), w(80), w(70)
+    near = lambda x: " ".join([*x[:-1], "z"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (0, " ".join(c)), (7, " ".join(c)), (7, " ".join(w(50))), (7, " ".join(c)), (8, near(c))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x", "y") for i, t in rows], documents(spark, []).schema)
+    got = jaccard_join(docs).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (0, 0), (7, 0), (8, 0)} and len(got) == len(rows)
+
+
 def test_components(spark):
     rnd = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in rnd.integers(0, 400, (300, 2))] + [(1000 + i, 1001 + i) for i in range(70)]
@@ -128,6 +139,32 @@ def test_embedding_near_dedup(spark):
     if found == sum(n.values()):
         assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()} == {r[0]: (n[r[0]], component[r[0]], component[r[0]] == r[0]) for r in rows}
     assert near_duplicates(df.where("vec_id < 0")).count() == 0
+    two = {r.vec_id: r.n_links for r in near_duplicates(df, cells=Cells(12, 1.6, lattices=2)).collect()}
+    assert sum(two.values()) >= 0.99 * sum(n.values()) and all(two[i] <= n[i] for i in two)
+    nulls = df.selectExpr("vec_id", "cast(null as string) as label", "embedding").union(df.selectExpr("cast(null as long)", "'a'", "embedding"))
+    assert {(r.n_links, r.component_id == r.vec_id) for r in near_duplicates(nulls).where("vec_id is not null").collect()} == {(0, True)}
+    words = df.selectExpr("vec_id", "case label when 0 then 'x' when 1 then 'y' when 2 then '0.5' end as label", "embedding", "label as component_id")
+    assert {r.vec_id: r.n_links for r in near_duplicates(words).collect()} == {i: r.n_links for i, r in got.items()}
+
+
+def test_vectors_that_meet_grow_slower_than_their_number():
+    """Eight times the vectors of one label: each meets less than four times as many in its cells,
+    and nearly all pairs at the threshold still meet."""
+    rnd = np.random.default_rng(4)
+    met = []
+    for n in (8000, 64000):
+        x = rnd.normal(size=(n, 64))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        cells = planned(n, 0.93)
+        keys = cell_keys(x, np.zeros(n), cells).ravel()
+        _, count = np.unique(keys, return_counts=True)
+        met.append((count.astype(float) ** 2).sum() / n)
+        y = rnd.normal(size=(2000, 64))
+        y -= (y * x[:2000]).sum(1)[:, None] * x[:2000]
+        y = 0.93 * x[:2000] + np.sqrt(1 - 0.93**2) * y / np.linalg.norm(y, axis=1)[:, None]
+        a, b = (np.sort(cell_keys(v, np.zeros(2000), cells).reshape(2000, -1), axis=1) for v in (x[:2000], y))
+        assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=True)]) > 0.99
+    assert met[1] < 4 * met[0]
 
 
 def test_recall_at_the_threshold(spark):
