@@ -6,6 +6,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -382,17 +383,56 @@ def test_windows():
     assert around.tolist() == [[e, e, 98, 99], [e, 97, 99, e], [97, 98, e, e], [e, e, e, e]]
 
 
-def test_lm_score_is_the_sum_over_positions(spark):
-    texts = ["banana band", "", None, "é", "ban" * 2000]
+def plain_scores(texts, net, decay):
+    """Sums over bytes and words by loops: (tokens, log-probability) of each text."""
+    data = [(t or "").encode() for t in texts]
+    seen, out = Counter(), []
+    window = lambda w, k: tuple(w[j] if 0 <= j < len(w) else None for j in range(k - 2, k + 3))
+    split = [re.findall(rb"[^\x20\x09-\x0D]+", b) for b in data]
+    for w in split:
+        seen.update(window(w, k) for k in range(len(w)))
+    for b, w in zip(data, split, strict=True):
+        wide = [lm.EDGE] * 2 + list(b) + [lm.EDGE] * 2
+        around = np.array([[wide[k - 2], wide[k - 1], wide[k + 1], wide[k + 2]] for k in range(2, len(wide) - 2)]).reshape(-1, 4)
+        log = [float(row[x]) for row, x in zip(net.forward(around)[1] if len(around) else [], b, strict=True)]
+        total = sum(log)
+        for k, m in enumerate(re.finditer(rb"[^\x20\x09-\x0D]+", b)):
+            low = -round(-sum(log[m.start() : m.end()]) * lm.STEPS) / lm.STEPS
+            n = seen[window(w, k)]
+            best = max((n * (z - np.logaddexp(0, z)) - decay / 2 * x * x, x) for x in np.linspace(0, n / decay, 20001) for z in [min(low, -1e-6) - np.log(-np.expm1(min(low, -1e-6))) + x])[1]
+            z = min(low, -1e-6) - np.log(-np.expm1(min(low, -1e-6))) + best
+            total += z - np.logaddexp(0, z) - min(low, -1e-6)
+        out.append((len(w) + sum(c in b" \t\n\r\v\f" for c in b), total))
+    return out
+
+
+def test_lm_score_is_the_sum_over_words(spark):
+    texts = ["banana band", "", None, "é", "a banana band is a band of bananas", "a banana band is a band of bananas", "one two\tthree  four five", "two three four", "x"]
     net = lm.Network.start(8, 1)
-    got = {r.doc_id: r for r in lm.score_documents(documents(spark, texts), net).collect()}
-    for i, t in enumerate(texts):
-        b = [lm.EDGE] * 2 + list((t or "").encode()) + [lm.EDGE] * 2
-        around = np.array([[b[k - 2], b[k - 1], b[k + 1], b[k + 2]] for k in range(2, len(b) - 2)]).reshape(-1, 4)
-        log = net.forward(around)[1] if len(around) else np.zeros((0, 256))
-        want = sum(float(log[k, b[k + 2]]) for k in range(len(around)))
-        assert got[i].n_tokens == len(around) and got[i].log_prob == pytest.approx(want, rel=1e-4, abs=1e-4)
-        assert (got[i].mean_log_prob is None) == (not len(around))
+    for hot in (1000, 2):  # as counted by key, and from the sketch
+        got = {r.doc_id: r for r in lm.score_documents(documents(spark, texts), net, decay=0.5, hot=hot).collect()}
+        for i, (n, want) in enumerate(plain_scores(texts, net, 0.5)):
+            assert got[i].n_tokens == n and got[i].log_prob == pytest.approx(want, rel=2e-3, abs=2e-2)
+            assert (got[i].mean_log_prob is None) == (n == 0)
+
+
+def test_gradients_by_differences():
+    rnd = np.random.default_rng(0)
+    net = lm.Network.start(5, 3).filled(rnd.normal(0, 0.3, lm.Network.start(5, 3).flat().size))
+    net = lm.Network(*[p.astype(float) for p in net.parts()])
+    x, y, w = rnd.integers(0, 257, (6, 4)), rnd.integers(0, 256, 6), rnd.uniform(0.5, 2, 6)
+    x[1] = x[0]
+    loss = lambda: -(w * net.forward(x)[1][np.arange(6), y]).sum()
+    for part, g in zip(net.parts(), lm.gradients(net, x, y, w), strict=True):
+        some = [i for i in np.ndindex(part.shape) if g[i] != 0][:: max(1, np.count_nonzero(g) // 25)] + [next(np.ndindex(part.shape))]
+        for i in some:
+            was = part[i]
+            part[i] = was + 1e-5
+            up = loss()
+            part[i] = was - 1e-5
+            down = loss()
+            part[i] = was
+            assert g[i] == pytest.approx((up - down) / 2e-5, rel=1e-4, abs=1e-6)
 
 
 def test_training_counts_all_texts_and_learns(spark):
@@ -400,9 +440,28 @@ def test_training_counts_all_texts_and_learns(spark):
     docs = documents(spark, texts)
     counts = {r.key: r.n for r in lm.count_windows(docs).collect()}
     assert sum(counts.values()) == sum(map(len, texts))
-    got = [r.mean_log_prob for r in lm.lm_score(docs, block=16).collect()]
-    untrained = [r.mean_log_prob for r in lm.score_documents(docs, lm.Network.start(24, 0)).collect()]
-    assert min(got) > -1.5 and max(untrained) < -5
-    assert lm.lm_score(documents(spark, [])).count() == 0
-    assert lm.lm_score(documents(spark, ["", None])).count() == 2
-    assert json.dumps(sorted(lm.lm_score(docs).toPandas().log_prob.round(6))) == json.dumps(sorted(lm.lm_score(docs).toPandas().log_prob.round(6)))
+    net = lm.train(lm.count_windows(docs), block=16, passes=32)
+    trained, untrained = ([r.log_prob for r in lm.score_documents(docs, n).collect()] for n in (net, lm.Network.start(24, 0)))
+    assert max(untrained) < min(trained)
+    for empty in ([], ["", None]):
+        assert [(r.n_tokens, r.log_prob, r.mean_log_prob) for r in lm.lm_score(documents(spark, empty)).collect()] == [(0, 0.0, None)] * len(empty)
+
+
+def test_scores_do_not_depend_on_partitions_and_tell_what_occurs_twice(spark):
+    rnd = random.Random(8)
+    vocabulary = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 8))) for _ in range(300)]
+    texts = [" ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(20, 60))) for _ in range(150)]
+    docs = documents(spark, texts + texts[:15] + [None, ""])
+    docs = docs.unionByName(documents(spark, ["null id"]).withColumn("doc_id", F.lit(None).cast("long")))
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (2, 4, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append({r.doc_id: r.mean_log_prob for r in lm.lm_score(docs.repartition(n), shard_windows=500).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for other in got[1:]:
+        assert other.keys() == got[0].keys()
+        assert all((v is None) == (other[k] is None) and (v is None or abs(v - other[k]) < 1e-4) for k, v in got[0].items())
+    twice = [got[0][i] for i in [*range(15), *range(150, 165)]]
+    assert np.median(twice) > np.quantile([got[0][i] for i in range(15, 150)], 0.95)
