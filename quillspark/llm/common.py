@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -205,28 +206,34 @@ def sketch(docs: DataFrame, hashes, bits: int) -> np.ndarray:
     import pyarrow as pa
 
     size, slices, most = 1 << bits, 64, 2**31 - 1
+    schema = "at int, salt int, part binary"
+    pack = lambda counts: zlib.compress(np.minimum(counts, most).astype(np.int32).tobytes(), 1)
 
     def run(batches):
+        from pyspark import TaskContext
+
         total = np.zeros(size, np.int64)
         for batch in batches:
             data, bounds = utf8_batch(batch.column(0))
             for a, b in chunks(bounds):
                 h = hashes(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
                 total += np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size)
-        parts = np.minimum(total, most).astype(np.int32).reshape(slices, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(slices, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["at", "part"])
+        parts, salt = total.reshape(slices, -1), np.full(slices, TaskContext.get().partitionId() % 128, np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(slices, dtype=np.int32)), pa.array(salt), pa.array([pack(p) for p in parts], pa.binary())], names=["at", "salt", "part"])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(size // slices, np.int64)
         for part in group["part"]:
-            total += np.frombuffer(part, np.int32)
-        return pd.DataFrame({"at": [group["at"].iloc[0]], "part": [np.minimum(total, most).astype(np.int32).tobytes()]})
+            total += np.frombuffer(zlib.decompress(part), np.int32)
+        return pd.DataFrame({"at": [group["at"].iloc[0]], "salt": [0], "part": [pack(total)]})
 
-    tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism
-    parts = docs.select(text_of().alias("text")).coalesce(tasks).mapInArrow(run, "at int, part binary").groupBy("at").applyInPandas(add, "at int, part binary").collect()
+    # in two steps, so that no group holds the arrays of all tasks of a large cluster
+    tasks = 4 * docs.sparkSession.sparkContext.defaultParallelism
+    parts = docs.select(text_of().alias("text")).coalesce(tasks).mapInArrow(run, schema)
+    parts = parts.groupBy("at", "salt").applyInPandas(add, schema).groupBy("at").applyInPandas(add, schema).collect()
     out = np.zeros(size, np.int32).reshape(slices, -1)
     for r in parts:
-        out[r["at"]] = np.frombuffer(r["part"], np.int32)
+        out[r["at"]] = np.frombuffer(zlib.decompress(r["part"]), np.int32)
     return out.ravel()
 
 

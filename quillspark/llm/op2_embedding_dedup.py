@@ -55,7 +55,8 @@ def projection(dims: int, table: int, seed: int) -> np.ndarray:
 @dataclass(frozen=True)
 class Cells:
     """How vectors are dealt to cells: ``tables`` times, each by ``lattices`` independent
-    projections to 8 dimensions over ``scale``, each in its cell and ``probes`` more."""
+    projections to 8 dimensions over ``scale``, at home in its cell and a guest in
+    ``probes`` more. Two vectors meet in a cell where one of them is at home."""
 
     tables: int
     scale: float
@@ -69,13 +70,13 @@ class Cells:
 
 
 def meeting_share(scale: float, probes: int, threshold: float, trials: int = 4000) -> float:
-    """How many pairs of vectors at the threshold have a cell of one lattice in common, by
+    """How many pairs of vectors at the threshold meet in a cell of one lattice, by
     simulation: projections of such a pair are normal and correlated by the cosine."""
     rng = np.random.default_rng(7)
     x = rng.normal(size=(trials, 8))
     y = threshold * x + math.sqrt(1 - threshold * threshold) * rng.normal(size=(trials, 8))
     near, far = (nearest_cells(v / scale, probes) for v in (x, y))
-    return float((near[:, :, None, :] == far[:, None, :, :]).all(axis=3).any(axis=(1, 2)).mean())
+    return float(((near[:, :1] == far).all(axis=2).any(axis=1) | (near == far[:, :1]).all(axis=2).any(axis=1)).mean())
 
 
 def planned(n: int, threshold: float, recall: float = 0.9999, probes: int = 4, seed: int = 0) -> Cells:
@@ -84,12 +85,12 @@ def planned(n: int, threshold: float, recall: float = 0.9999, probes: int = 4, s
 
     The finer the cells (smaller ``scale``, or two lattices to a key), the fewer vectors
     that are not near meet and the more tables are needed. Of n vectors in no order, a
-    vector meets at most n * (1+probes)^2 * (scale^2/4pi)^4 in a lattice's cells (the
+    vector meets at most n * (1+2*probes) * (scale^2/4pi)^4 in a lattice's cells (the
     density of the projections times the cells' volume, 1). Its cost is that and its keys.
     """
     best = None
     for scale in SCALES:
-        share, met = meeting_share(scale, probes, threshold), (1 + probes) ** 2 * (scale * scale / (4 * math.pi)) ** 4
+        share, met = meeting_share(scale, probes, threshold), (1 + 2 * probes) * (scale * scale / (4 * math.pi)) ** 4
         for lattices in (1, 2):
             found = min(share**lattices, 1 - 1e-9)
             if found < 0.02:
@@ -102,7 +103,7 @@ def planned(n: int, threshold: float, recall: float = 0.9999, probes: int = 4, s
 
 
 #: Scales that ``planned`` tries, and what a key costs against a cosine.
-SCALES, KEY_COST = (1.6, 1.4, 1.2, 1.0, 0.85, 0.7), 20
+SCALES, KEY_COST = (1.6, 1.4, 1.2, 1.0, 0.85, 0.7), 50
 
 
 def nearest_cells(x: np.ndarray, probes: int) -> np.ndarray:
@@ -114,8 +115,9 @@ def nearest_cells(x: np.ndarray, probes: int) -> np.ndarray:
 
 
 def cell_keys(unit: np.ndarray, label: np.ndarray, cells: Cells) -> np.ndarray:
-    """For unit vectors, tables x width keys. A key covers the label, the number of
-    dimensions, the table and a lattice point of each of its lattices."""
+    """For unit vectors, tables x width keys, the first of each table's that of its home. A
+    key covers the label, the number of dimensions, the table and a lattice point of each
+    of its lattices."""
     n, dims = unit.shape
     keys = np.empty((n, cells.tables, cells.width), np.int64)
     for t in range(cells.tables):
@@ -145,48 +147,47 @@ def by_length(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, flat[starts[rows][:, None] + np.arange(d)]
 
 
-def block_links(unit: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, key: int, threshold: float, cells: Cells) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one cell, as index pairs, between ``left`` and ``right`` rows (or within
-    ``left`` where they are one array), without those met in a cell of a smaller key:
-    so each link counts in one cell only, and no pair leaves the task."""
-    near = unit[left] @ unit[right].T >= threshold
+def near_pairs(unit: np.ndarray, home: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one cell between ``left`` and ``right`` (or within ``left`` where
+    they are one array) that are near and of which one at least is at home there."""
+    near = (unit[left] @ unit[right].T >= threshold) & (home[left][:, None] | home[right][None, :])
     if left is right:
         near = np.triu(near, 1)
     a, b = np.nonzero(near)
-    if not len(a):
-        return a, b
-    both = np.unique(np.concatenate([left[a], right[b]]))
-    keys = np.full((len(unit), cells.tables, cells.width), 0, np.int64)
-    keys[both] = np.sort(cell_keys(unit[both], label[both], cells), axis=2)
-    # rows of equal key lists are alike here: compare lists once a pair of classes
-    lists, of = np.unique(keys[both].reshape(len(both), -1), axis=0, return_inverse=True)
-    klass = np.zeros(len(unit), np.int64)
-    klass[both] = of.ravel()
-    code, at = np.unique(klass[left[a]] * len(lists) + klass[right[b]], return_inverse=True)
-    lists = lists.reshape(len(lists), cells.tables, -1)
-    earlier = np.zeros(len(code), bool)
-    for c in range(0, len(code), 1 << 16):
-        p, q = lists[code[c : c + (1 << 16)] // len(lists)], lists[code[c : c + (1 << 16)] % len(lists)]
-        for i, j in itertools.product(range(p.shape[2]), repeat=2):
-            earlier[c : c + (1 << 16)] |= ((p[:, :, i] == q[:, :, j]) & (p[:, :, i] < key)).any(axis=1)
-    fine = ~earlier[at]
-    return left[a[fine]], right[b[fine]]
+    return left[a], right[b]
+
+
+def met_first(keys: np.ndarray, a: np.ndarray, b: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Which of the pairs (a, b), found in the cells ``cell``, count there: in the first
+    table in which the two meet, in the lesser key if they meet in two cells of it. So
+    each link counts once, and no pair leaves the task."""
+    fine, left, most = np.zeros(len(a), bool), np.arange(len(a)), np.iinfo(np.int64).max
+    for t in range(keys.shape[1]):
+        x, y = keys[a[left], t], keys[b[left], t]
+        first = np.where((x[:, :1] == y).any(axis=1), x[:, 0], most)
+        second = np.where((y[:, :1] == x).any(axis=1), y[:, 0], most)
+        met = np.minimum(first, second)
+        fine[left] = met == cell[left]
+        left = left[met == most]
+        if not len(left):
+            break
+    return fine
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, cells: Cells | None = None, recall: float = 0.9999, block: int = 512, filter_bits: int = 26, broadcast_rows: int = 100_000) -> DataFrame:
     """Links between vectors of one label by cosine: vec_id, n_links, component_id, kept.
 
-    A unit vector is projected to 8 dimensions, decoded to the nearest E8 point and put
-    in that cell and in the nearest ones, in several tables, so two vectors meet where
-    any of their cells agree. How fine the cells are and how many tables there are
+    A unit vector is projected to 8 dimensions, decoded to the nearest E8 point, at home
+    in that cell and a guest in the nearest ones, in several tables, so two vectors meet
+    where one is at home in a cell of the other. How fine the cells are and how many tables there are
     follows from the vectors of the largest label (``planned``), so that cells stay
     small and ``recall`` of the pairs at the threshold meet (tests measure it against
     brute force); pairs above it meet more often.
 
     Equal vectors are one, with a count. A cell of more than ``block`` vectors is cut
     into blocks by a hash, and each pair of blocks is a task's matrix product; cells
-    return a count and a label per vector, never pairs. A link counts in the smallest
-    of the keys its two vectors share, which each task finds by itself.
+    return a count and a label per vector, never pairs. A link counts in the first cell
+    in which its two vectors meet, which each task finds by itself.
 
     Cases: vectors that are null, empty, zero or hold null or non-finite numbers, and
     rows with a null label or id, link with nothing; vectors of different numbers of
@@ -211,10 +212,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, cells: Cells |
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, x in by_length(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([pa.array(cell_keys(unit_rows(x, len(x)), np.asarray(batch.column(0)).astype(np.int64)[at], cells).ravel())], names=["key"])
+                keys = cell_keys(unit_rows(x, len(x)), np.asarray(batch.column(0)).astype(np.int64)[at], cells).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.arange(len(keys)) % cells.width == 0)], names=["key", "home"])
 
-    sizes = written(slim_rows.mapInArrow(keys_of, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    # a cell of one vector links nothing; a field of bits at two places of a key tells most such cells
+    counted = slim_rows.mapInArrow(keys_of, "key long, home boolean").groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("home").alias("home"))
+    sizes = written(counted.where("size > 1 and home").drop("home"))
+    # a cell of one vector, or of guests only, links nothing; a field of bits at two places of a key tells most such cells
     mask = (1 << filter_bits) - 1
     held = spark.sparkContext.broadcast(bit_field(sizes, [F.col("key").bitwiseAND(F.lit(mask)), F.shiftright("key", 32).bitwiseAND(F.lit(mask))], filter_bits))
 
@@ -225,9 +228,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, cells: Cells |
                 keys = cell_keys(unit_rows(x, len(x)), label[at], cells).reshape(len(at), -1)
                 r, c = np.nonzero(bits_at(held.value, keys & mask) & bits_at(held.value, keys >> 32 & mask))
                 again = pa.array(at[r])
-                yield pa.RecordBatch.from_arrays([pa.array(keys[r, c]), *[batch.column(k).take(again) for k in range(4)]], names=["key", "label", "embedding", "rep", "mult"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[r, c]), pa.array(c % cells.width == 0), *[batch.column(k).take(again) for k in range(4)]], names=["key", "home", "label", "embedding", "rep", "mult"])
 
-    dealt = slim_rows.mapInArrow(deal, f"key long, label long, embedding {kind}, rep long, mult long")
+    dealt = slim_rows.mapInArrow(deal, f"key long, home boolean, label long, embedding {kind}, rep long, mult long")
     full = sizes.where(F.col("size") > block).select("key", F.ceil(F.col("size") / block).cast("int").alias("cut"))
     if full.count() <= broadcast_rows:  # else an equi-join that shuffles the rows once more
         full = F.broadcast(full)
@@ -238,7 +241,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, cells: Cells |
         .withColumn("cut", cut)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "label", "embedding", "rep", "mult")
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "home", "label", "embedding", "rep", "mult")
         .repartition(n, "key", "i", "j")
         .sortWithinPartitions("key", "i", "j")
     )
@@ -247,28 +250,45 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, cells: Cells |
         names = ["rep", "n", "low"]
         rest: pa.Table | None = None
 
+        def counted(unit: np.ndarray, label: np.ndarray, rep: np.ndarray, mult: np.ndarray, found: list[tuple]) -> pa.RecordBatch:
+            a, b, cell = (np.concatenate(x) for x in zip(*found, strict=True))
+            ids, of = np.unique(rep, return_inverse=True)  # a vector has a row in each of its cells
+            some = np.unique(of[np.concatenate([a, b])])
+            row = np.zeros(len(ids), np.int64)
+            row[of] = np.arange(len(rep))
+            keys = cell_keys(unit[row[some]], label[row[some]], cells)
+            p, q = np.searchsorted(some, of[a]), np.searchsorted(some, of[b])
+            fine = met_first(keys, p, q, cell)
+            p, q, m = p[fine], q[fine], mult[row[some]]
+            count = np.bincount(p, m[q], len(some)) + np.bincount(q, m[p], len(some))
+            low = smallest_reachable(ids[some], p, q)
+            met = np.flatnonzero(count)
+            return pa.RecordBatch.from_arrays([pa.array(ids[some][met]), pa.array(count[met].astype(np.int64)), pa.array(low[met])], names=names)
+
         def met_in(t: pa.Table):
-            key, i, j, own, label, rep, mult = (t.column(c).to_numpy() for c in ("key", "i", "j", "own", "label", "rep", "mult"))
             lists = t.column("embedding").combine_chunks()
-            lengths = np.asarray(lists.value_lengths())
-            starts = np.concatenate(([0], np.cumsum(lengths)))
-            flat = np.asarray(lists.flatten()).astype(np.float64)
-            edge = np.flatnonzero(np.r_[True, (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0), True])
-            for a, b in zip(edge, edge[1:], strict=False):
-                if b - a < 2 or len({*lengths[a:b]}) > 1:
-                    continue
-                unit = unit_rows(flat[starts[a] : starts[b]], b - a)
-                if i[a] == j[a]:
-                    left = right = np.arange(b - a)
-                else:
-                    left, right = np.flatnonzero(own[a:b] == i[a]), np.flatnonzero(own[a:b] == j[a])
-                p, q = block_links(unit, label[a:b], left, right, key[a], threshold, cells)
-                if len(p):
-                    m = mult[a:b]
-                    count = np.bincount(p, m[q], b - a) + np.bincount(q, m[p], b - a)
-                    low = smallest_reachable(rep[a:b], p, q)
-                    met = np.flatnonzero(count)
-                    yield pa.RecordBatch.from_arrays([pa.array(rep[a:b][met]), pa.array(count[met].astype(np.int64)), pa.array(low[met])], names=names)
+            columns = [t.column(c).to_numpy() for c in ("key", "i", "j", "own", "home", "label", "rep", "mult")]
+            for rows, flat in by_length(lists):  # cells are of one length
+                key, i, j, own, home, label, rep, mult = (c[rows] for c in columns)
+                unit = unit_rows(flat, len(rows))
+                edge = np.flatnonzero(np.r_[True, (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0), True])
+                homes = np.add.reduceat(home.astype(np.int64), edge[:-1])
+                found, held = [], 0
+                for k in np.flatnonzero((np.diff(edge) > 1) & (homes > 0)):
+                    a, b = edge[k], edge[k + 1]
+                    if i[a] == j[a]:
+                        left = right = np.arange(a, b)
+                    else:
+                        left, right = a + np.flatnonzero(own[a:b] == i[a]), a + np.flatnonzero(own[a:b] == j[a])
+                    p, q = near_pairs(unit, home, left, right, threshold)
+                    if len(p):
+                        found.append((p, q, np.full(len(p), key[a])))
+                        held += len(p)
+                    if held > 1 << 19:
+                        yield counted(unit, label, rep, mult, found)
+                        found, held = [], 0
+                if held:
+                    yield counted(unit, label, rep, mult, found)
 
         for batch in batches:
             t = pa.Table.from_batches([batch])

@@ -295,7 +295,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, ske
     spark = docs.sparkSession
     found = index(docs, k, num, den, sketch_size(docs) if sketch_bits is None else sketch_bits)
     base = found.where(F.col("kind") == BASE).select("doc_id", "n", "d1", F.col("token").alias("d2"))
-    groups = base.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    # what is joined is written before, here and below: a frequent key is then rows of a plain join, which can be split
+    groups = written(base.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
     rows = base.join(groups, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
     # an id that stands for several sets links the groups of all of them
     several = base.where("n > 0").groupBy("doc_id").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a <> b").select("doc_id")
@@ -303,15 +304,15 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, ske
 
     rank = lambda c: F.xxhash64(c)
     keyed = found.where(F.col("kind") == FREQUENT).groupBy("token", "d1", "n", "size_class").agg(F.min("doc_id").alias("id"), F.max("most").alias("most"))
-    bounds = keyed.groupBy("token").agg(F.min("n").alias("least"), F.max("most").alias("allowed"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    bounds = written(keyed.groupBy("token").agg(F.min("n").alias("least"), F.max("most").alias("allowed"), F.count(F.lit(1)).alias("c")).where("c > 1"))
     able = keyed.join(bounds, "token").where("most >= least and n <= allowed").select("token", "id", "n", F.explode(F.array("size_class", F.col("size_class") - 1)).alias("size_class"))
     able = written(able)
-    leads = able.groupBy("token", "size_class").agg(F.min_by("id", F.struct(rank("id"), "id")).alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    leads = written(able.groupBy("token", "size_class").agg(F.min_by("id", F.struct(rank("id"), "id")).alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
     hot = able.join(leads, ["token", "size_class"]).select("leader", "size_class", "id", "n")
     rare = found.where(F.col("kind") == RARE).select(F.col("token").alias("leader"), "size_class", F.col("doc_id").alias("id"), "n")
     member = written(rare.unionByName(hot).distinct())
-    forget(able)
-    # written, so that the join below is one of two tables and a large group of it can be split
+    for done in (able, leads, bounds):
+        forget(done)
     size = written(member.groupBy("leader", "size_class").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("total")).where("c > 1"))
     cut = F.greatest(F.ceil(F.col("c") / block), F.ceil(F.col("total") / block_size)).cast("int")
     member = member.join(size.select("leader", "size_class", cut.alias("cut")), ["leader", "size_class"])
