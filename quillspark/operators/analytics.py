@@ -58,13 +58,22 @@ def base_counts(bases: DataFrame, links: DataFrame) -> DataFrame:
     return bases.join(counted, "kb", "left").fillna(0, ["documents"])
 
 
-def base_inventory(docs: DataFrame) -> DataFrame:
+def base_inventory(docs: DataFrame, days: int = 30) -> DataFrame:
     """Per base its documents as numbered lines, latest first, and their number (C8). A row
     a line: a base may hold a third of all documents, so its list is never one value;
-    ``"\\n".join`` of a page of lines is what a reader is shown."""
-    w = Window.partitionBy("kb")
-    place = F.row_number().over(w.orderBy(F.desc("created_at"), F.desc("id")))
-    return docs.select("kb", F.col("id").alias("document_id"), F.count(F.lit(1)).over(w).alias("documents"), place.alias("place"), F.concat_ws(". ", place.cast("string"), "title").alias("line"))
+    ``"\n".join`` of a page of lines is what a reader is shown.
+
+    A line's place is its rank in a stretch of ``days`` plus the documents of the base in
+    later stretches, so no task holds a base. Documents without a time come last.
+    """
+    part = F.floor(F.unix_timestamp("created_at") / (86400 * days))
+    d = docs.withColumn("__part", F.coalesce(part, F.lit(-(1 << 40))))
+    sizes = d.groupBy("kb", "__part").agg(F.count(F.lit(1)).alias("__n"))
+    later = Window.partitionBy("kb").orderBy(F.desc("__part"))
+    sizes = sizes.select("kb", "__part", (F.sum("__n").over(later) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy("kb")).alias("documents"))
+    inside = F.row_number().over(Window.partitionBy("kb", "__part").orderBy(F.col("created_at").desc_nulls_last(), F.desc("id")))
+    j = d.withColumn("__rn", inside).join(sizes, ["kb", "__part"]).withColumn("place", (F.col("__rn") + F.col("__before")).cast("int"))
+    return j.select("kb", F.col("id").alias("document_id"), "documents", "place", F.concat_ws(". ", F.col("place").cast("string"), "title").alias("line"))
 
 
 def chunk_coverage(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -96,20 +105,23 @@ def last_set(events: DataFrame) -> DataFrame:
 
 def share_state(requests: DataFrame) -> DataFrame:
     """Per document, the state after its requests (document_id, seq, action): request
-    makes private or rejected pending; approve, reject and withdraw act on pending only (S19)."""
-    steps = requests.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("seq", "action"))).alias("s"))
-
-    def step(state, x):
-        a, pending = x["action"], state == "pending"
-        return (
-            F.when((a == "request") & state.isin("private", "rejected"), "pending")
-            .when((a == "approve") & pending, "shared")
-            .when((a == "reject") & pending, "rejected")
-            .when((a == "withdraw") & pending, "private")
-            .otherwise(state)
-        )
-
-    return steps.select("document_id", F.aggregate("s", F.lit("private"), step).alias("state"))
+    makes private or rejected pending; approve, reject and withdraw act on pending only (S19).
+
+    Approval ends it: nothing acts on what is shared. Until then a document is pending
+    where the last of its requests, rejections and withdrawals is a request, so what
+    matters of each step is the last such one before it; no list of steps is gathered.
+    """
+    order = Window.partitionBy("document_id").orderBy("seq")
+    turn = F.when(F.col("action").isin("request", "reject", "withdraw"), F.col("action"))
+    r = requests.withColumn("__before", F.last(turn, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    acts = (F.col("__before") == "request") & F.col("action").isin("approve", "reject", "withdraw")
+    got = r.groupBy("document_id").agg(
+        F.bool_or(F.coalesce(acts, F.lit(False)) & (F.col("action") == "approve")).alias("shared"),
+        F.max_by("action", F.when(F.col("action").isin("request", "reject", "withdraw"), F.col("seq"))).alias("last"),
+        F.max_by("action", F.when(F.coalesce(acts, F.lit(False)) & (F.col("action") != "approve"), F.col("seq"))).alias("ended"),
+    )
+    state = F.when(F.col("shared"), "shared").when(F.col("last") == "request", "pending").when(F.col("ended") == "reject", "rejected").otherwise("private")
+    return got.select("document_id", state.alias("state"))
 
 
 def share_queue(docs: DataFrame, users: DataFrame) -> DataFrame:

@@ -34,17 +34,36 @@ def percentile(values: Column, p: float) -> Column:
     return F.when(n > 0, F.element_at(F.array_sort(values), F.least(n, F.floor(n * F.lit(p)).cast("int") + 1)))
 
 
-def latency_report(requests: DataFrame, seconds: float, p: float = 0.95) -> DataFrame:
+def latency_report(requests: DataFrame, seconds: float, p: float = 0.95, buckets: int = 256) -> DataFrame:
     """Per endpoint: requests, errors, error rate, throughput and the p-th percentile
-    (A18). The percentile's place is found by rank, so no list of latencies is gathered."""
-    w = Window.partitionBy("endpoint")
-    n = F.count("ms").over(w)
-    place = F.least(n, F.floor(n * F.lit(p)) + 1)
-    r = requests.withColumn("__rn", F.row_number().over(w.orderBy(F.col("ms").asc_nulls_last()))).withColumn("__at", F.col("__rn") == place)
-    return r.groupBy("endpoint").agg(
-        F.count(F.lit(1)).alias("requests"), F.count_if(~F.col("ok")).alias("errors"), (F.count_if(~F.col("ok")) / F.count(F.lit(1))).alias("error_rate"),
-        (F.count(F.lit(1)) / F.lit(float(seconds))).alias("per_second"), F.max(F.when(F.col("__at"), F.col("ms"))).alias("p95"),
-    )
+    (A18).
+
+    The percentile's place is found over counts of equal latencies, by ranges of the
+    latency: an endpoint's ranges hold what is below them, and only the range with the
+    place is looked into. So no window holds an endpoint's requests, whatever it gets.
+    """
+    of = requests.groupBy("endpoint").agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if(~F.col("ok")).alias("errors"), F.count("ms").alias("__n"), F.min("ms").alias("__low"), F.max("ms").alias("__high")
+    )
+    counted = requests.where(F.col("ms").isNotNull()).groupBy("endpoint", "ms").agg(F.count(F.lit(1)).alias("c"))
+    width = F.greatest(F.col("__high") - F.col("__low"), F.lit(1e-300))
+    place = F.least("__n", F.floor(F.col("__n") * F.lit(p)) + 1)
+    c = counted.join(of.select("endpoint", "__low", "__high", place.alias("__place")), "endpoint").withColumn("__range", F.least(F.lit(buckets - 1), F.floor((F.col("ms") - F.col("__low")) / width * buckets)).cast("int"))
+    w = Window.partitionBy("endpoint").orderBy("__range")
+    ranges = c.groupBy("endpoint", "__range", "__place").agg(F.sum("c").alias("__c")).withColumn("__upto", F.sum("__c").over(w))
+    ranges = ranges.where((F.col("__upto") >= F.col("__place")) & (F.col("__upto") - F.col("__c") < F.col("__place"))).select("endpoint", "__range", (F.col("__place") - F.col("__upto") + F.col("__c")).alias("__in"))
+    inside = c.join(ranges, ["endpoint", "__range"]).withColumn("__at", F.sum("c").over(Window.partitionBy("endpoint").orderBy("ms")))
+    found = inside.where(F.col("__at") >= F.col("__in")).groupBy("endpoint").agg(F.min("ms").alias("p95"))
+    return of.join(found, "endpoint", "left").select(
+        "endpoint", "requests", "errors", (F.col("errors") / F.col("requests")).alias("error_rate"), (F.col("requests") / F.lit(float(seconds))).alias("per_second"), "p95"
+    )
+
+
+def next_chapter(proposed: list[int | None], now: int, most: int) -> int | None:
+    """The first proposal that a document at chapter ``now`` can be at: the same or the
+    next one; the first chapter at the beginning."""
+    allowed = {1} if now == 0 else {now, now + 1}
+    return next((n for n in proposed if n in allowed and 1 <= n <= most), None)
 
 
 def repaired_chapters(chunks: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -52,25 +71,26 @@ def repaired_chapters(chunks: DataFrame, chapters: DataFrame) -> DataFrame:
     chapters (W10). ``chunks``: document_id, chunk_index, content, section, content_type;
     ``chapters``: document_id, n.
 
-    What a chunk proposes is a column; only the walk along a document is a fold.
+    A chunk proposes the chapter that a line at its beginning (180 characters) announces
+    in digits, else the major number of its section; a section of another chapter is
+    dropped. Proposals are columns; the walk along a document moves three numbers a chunk.
     """
-    named = T.numeral(F.regexp_extract(F.substring("content", 1, 180), K.CHAPTER, 1))
-    major = F.regexp_extract(F.coalesce("section", F.lit("")), r"^([0-9]+)\.", 1).try_cast("int")
-    c = chunks.join(chapters, "document_id").select("document_id", "chunk_index", "section", F.col("n").alias("most"), (F.col("content_type") == "toc").alias("toc"), named.alias("named"), major.alias("major"))
+    number = lambda c, pattern: F.regexp_extract(c, pattern, 1).try_cast("int")
+    told = number(F.substring("content", 1, 180), K.CHAPTER_LINE)
+    major = number(F.coalesce("section", F.lit("")), r"^([0-9]{1,2})\.")
+    c = chunks.join(chapters, "document_id").select("document_id", "chunk_index", "section", F.col("n").alias("most"), (F.col("content_type") == "toc").alias("toc"), told.alias("told"), major.alias("major"))
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("chunk_index")
-        now, out = 0, []
-        for toc, named, major, section, most in zip(group["toc"], group["named"], group["major"], group["section"], group["most"], strict=True):
-            fits = lambda n: not pd.isna(n) and 1 <= n <= most and (n == 1 if now == 0 else n in (now, now + 1))  # noqa: B023, E731
+        now, labels = 0, []
+        for toc, told, major, section, most in group[["toc", "told", "major", "section", "most"]].astype(object).where(group.notna(), None).itertuples(index=False):
             if toc:
-                out.append((None, None))
+                labels.append((None, None))
                 continue
-            proposed = major if pd.isna(named) else named
-            if fits(proposed):
-                now = int(proposed)
-            out.append((f"第{now}章" if now else None, section if pd.isna(major) or fits(major) else None))
-        return pd.DataFrame({"document_id": group["document_id"], "chunk_index": group["chunk_index"], "chapter": [a for a, _ in out], "section": [b for _, b in out]})
+            now = next_chapter([told, major], now, most) or now
+            fits = not major or next_chapter([major], now, most) is not None
+            labels.append((f"第{int(now)}章" if now else None, section if fits else None))
+        return pd.DataFrame({"document_id": group["document_id"], "chunk_index": group["chunk_index"], "chapter": [a for a, _ in labels], "section": [b for _, b in labels]})
 
     return c.groupBy("document_id").applyInPandas(walk, "document_id long, chunk_index long, chapter string, section string")
 

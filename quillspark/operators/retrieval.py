@@ -34,20 +34,23 @@ def broadcast_if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def index_terms(chunks: DataFrame, *fields: str) -> DataFrame:
-    """(chunk_id, term) of the fields' text, a row per occurrence."""
+def index_terms(chunks: DataFrame, fields: dict[str, Sequence[str]]) -> DataFrame:
+    """(channel, term, chunk_id) of each channel's fields, a row per occurrence, in one
+    pass over the chunks."""
     kinds = dict(chunks.dtypes)
-    body = F.concat_ws(" ", *[T.text(F.array_join(f, " ") if kinds[f].startswith("array") else f) for f in fields])
-    return chunks.select("chunk_id", F.explode(grams(body)).alias("term"))
+    body = lambda names: F.concat_ws(" ", *[T.text(F.array_join(f, " ") if kinds[f].startswith("array") else f) for f in names])
+    found = F.array(*[F.struct(F.lit(name).alias("channel"), grams(body(names)).alias("terms")) for name, names in fields.items()])
+    one = chunks.select("chunk_id", F.explode(found).alias("f"))
+    return one.select("f.channel", F.explode("f.terms").alias("term"), "chunk_id")
 
 
-def postings(chunks: DataFrame, *fields: str, only: DataFrame | None = None) -> DataFrame:
-    """(term, chunk_id, tf): the inverted index of the fields' text, of the terms ``only``
-    if given, which are filtered before anything is shuffled. Repeats within a chunk
-    combine before the shuffle."""
-    terms = index_terms(chunks, *fields)
+def postings(chunks: DataFrame, fields: dict[str, Sequence[str]], only: DataFrame | None = None) -> DataFrame:
+    """(channel, term, chunk_id, tf): the inverted index of the channels' fields, of the
+    terms ``only`` if given, which are filtered before anything is shuffled. Repeats
+    within a chunk combine before the shuffle."""
+    terms = index_terms(chunks, fields)
     terms = terms if only is None else terms.join(broadcast_if_small(only), "term", "left_semi")
-    return terms.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
+    return terms.groupBy("channel", "term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def in_blocks(queries: DataFrame, size: int, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -66,26 +69,37 @@ def query_grams(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform(T.query_terms("query"), grams)))).alias("term"))
 
 
-def ranked(hits: DataFrame, limit: int) -> DataFrame:
-    """The best ``limit`` hits of each query with their ranks, ties by chunk."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+def ranked(hits: DataFrame, limit: int, *by: str) -> DataFrame:
+    """The best ``limit`` hits of each query (and of ``by``) with their ranks, ties by chunk."""
+    w = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "chunk_id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def lexical_channel(chunks: DataFrame, queries: DataFrame, fields: Sequence[str], limit: int) -> DataFrame:
-    """(query_id, chunk_id, score, rank) by the sum of tf x idf squared over the query's
-    terms, idf = log10(chunks / chunks with the term).
+def lexical_channels(chunks: DataFrame, queries: DataFrame, fields: dict[str, Sequence[str]], limit: int) -> DataFrame:
+    """(channel, query_id, chunk_id, score, rank) by the sum of tf x idf squared over the
+    query's terms in a channel's fields, idf = log10(chunks / chunks with the term).
 
     Terms that no query has are dropped where they are read, so what is shuffled grows
-    with the queries' hits, not with the index.
+    with the queries' hits, not with the index. The postings are shuffled once: document
+    frequencies count the same rows (of the column that scores need, so that the plan
+    reuses the exchange).
     """
     terms = query_grams(queries)
     total = chunks.agg(F.count(F.lit(1)).alias("total"))
-    found = postings(chunks, *fields, only=terms.select("term").distinct())
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.crossJoin(total).select("term", F.pow(F.log10(F.col("total") / F.col("df")), F.lit(2)).alias("idf2"))  # total is one row
-    scored = terms.join(idf, "term").join(found, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("tf") * F.col("idf2")), 8).alias("score"))
-    return ranked(scored.where("score > 0"), limit)
+    found = postings(chunks, fields, only=terms.select("term").distinct())
+    df = found.groupBy("channel", "term").agg(F.count("tf").alias("df"))
+    idf = df.crossJoin(total).select("channel", "term", F.pow(F.log10(F.col("total") / F.col("df")), F.lit(2)).alias("idf2"))  # total is one row
+    scored = terms.join(idf, "term").join(found, ["channel", "term"]).groupBy("channel", "query_id", "chunk_id").agg(F.round(F.sum(F.col("tf") * F.col("idf2")), 8).alias("score"))
+    return ranked(scored.where("score > 0"), limit, "channel")
+
+
+def lexical_channel(chunks: DataFrame, queries: DataFrame, fields: Sequence[str], limit: int) -> DataFrame:
+    """One of ``lexical_channels``: (query_id, chunk_id, score, rank)."""
+    return lexical_channels(chunks, queries, {"content": fields}, limit).drop("channel")
+
+
+#: What the two lexical channels of a search read.
+LEXICAL = {"content": ("content", "chapter", "section"), "metadata": ("title", "filename", "tags")}
 
 
 def exact_channel(chunks: DataFrame, queries: DataFrame, limit: int, terms: int = 8) -> DataFrame:
@@ -118,12 +132,15 @@ def vector_channel(vectors: DataFrame, queries: DataFrame, limit: int, least: fl
     return ranked(scored.select("query_id", "chunk_id", F.round("c", 4).alias("score")), limit)
 
 
-def fuse(channels: dict[str, DataFrame], weights: dict[str, float] = WEIGHTS, k: int = RRF_K) -> DataFrame:
+def fuse(channels: dict[str | None, DataFrame], weights: dict[str, float] = WEIGHTS, k: int = RRF_K) -> DataFrame:
     """Weighted reciprocal ranks: rows (query_id, chunk_id, rrf, score = rrf over the
-    query's largest, a rank per channel, lexical_score, semantic_score, rank)."""
+    query's largest, a rank per channel, lexical_score, semantic_score, rank). Hits under
+    the name None tell their channel in a column of it."""
     rows = None
     for name, hits in channels.items():
-        one = hits.select("query_id", "chunk_id", F.lit(name).alias("channel"), (F.lit(weights[name]) / (k + F.col("rank"))).alias("part"), "rank", F.col("score").alias("s"))
+        channel = F.col("channel") if name is None else F.lit(name)
+        weight = F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), channel)
+        one = hits.select("query_id", "chunk_id", channel.alias("channel"), (weight / (k + F.col("rank"))).alias("part"), "rank", F.col("score").alias("s"))
         rows = one if rows is None else rows.unionByName(one)
     got = rows.groupBy("query_id", "chunk_id").agg(
         F.round(F.sum("part"), 12).alias("rrf"),

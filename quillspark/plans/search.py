@@ -30,13 +30,11 @@ def search(corpus: Corpus, user: User, queries: DataFrame, limit: int = 12, cap:
     four channels are fused by weighted reciprocal ranks and capped a document. Without
     vectors the search is lexical.
     """
+    if not 1 <= limit <= 50:
+        raise ValueError("limit is 1 to 50")
     chunks = corpus.chunks.where(accessible(user) & matching(**{"id_col": "document_id", **corpus.filters}))
     n = R.candidate_limit(limit)
-    channels = {
-        "content": R.lexical_channel(chunks, queries, ["content", "chapter", "section"], n),
-        "metadata": R.lexical_channel(chunks, queries, ["title", "filename", "tags"], n),
-        "exact": R.exact_channel(chunks, queries, n),
-    }
+    channels = {None: R.lexical_channels(chunks, queries, R.LEXICAL, n), "exact": R.exact_channel(chunks, queries, n)}
     if corpus.vectors is not None and "vector" in queries.columns:
         channels["vector"] = R.vector_channel(corpus.vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi"), queries, n)
     fused = R.fuse(channels).join(chunks, "chunk_id")

@@ -28,7 +28,7 @@ def registered(sql: str | None = None, views: bool = True):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = f"WITH {tables.SQL} {sql}" if views else sql
+            ORACLES[f.__name__] = f"WITH RECURSIVE {tables.SQL} {sql}" if views else sql
         return f
 
     return add
@@ -192,7 +192,12 @@ def visible_counts(spark, sf):
     return analytics.visible_counts(r.select(F.col("r_regionkey").alias("owner_id"), kind.alias("visibility")), tables.events(spark, sf), ME)
 
 
-@registered()
+@registered("""WITH RECURSIVE o AS (SELECT o_custkey AS document_id, list_extract(['request', 'approve', 'reject', 'withdraw', 'request'], substr(o_orderpriority, 1, 1)::INT) AS action, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders),
+    w AS (SELECT document_id, 0::BIGINT AS rn, 'private' AS state FROM (SELECT DISTINCT document_id FROM o)
+          UNION ALL SELECT w.document_id, o.rn, CASE WHEN action = 'request' AND state IN ('private', 'rejected') THEN 'pending' WHEN state <> 'pending' THEN state
+                WHEN action = 'approve' THEN 'shared' WHEN action = 'reject' THEN 'rejected' WHEN action = 'withdraw' THEN 'private' ELSE state END
+          FROM w JOIN o ON o.document_id = w.document_id AND o.rn = w.rn + 1)
+    SELECT document_id, arg_max(state, rn) AS state FROM w GROUP BY 1""", views=False)
 def share_state(spark, sf):
     """Orders as requests: their priority stands for what was asked of the document."""
     o = tables.read(spark, sf, "orders")
@@ -242,17 +247,18 @@ def structure_counts(spark, sf):
 @registered("""SELECT query_id, chunk_id, score, rank FROM (
         SELECT 'v' || q.vec_id AS query_id, e.vec_id AS chunk_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS score,
                row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) DESC, e.vec_id) AS rank
-        FROM embeddings e, embeddings q WHERE q.vec_id < 3 AND list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) >= 0.35) WHERE rank <= 96""", views=False)
+        FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) >= 0.35) WHERE rank <= 96""", views=False)
 def vector_topk(spark, sf):
     e = tables.read(spark, sf, "embeddings")
-    q = e.where("vec_id < 3").select(F.concat(F.lit("v"), "vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    q = e.where("vec_id % 20 = 0").select(F.concat(F.lit("v"), "vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return retrieval.vector_channel(e.select(F.col("vec_id").alias("chunk_id"), "embedding"), q, retrieval.candidate_limit(12))
 
 
-@registered("SELECT id AS chunk_id, sha256(title) AS content_hash, 64 AS dims FROM docs")
+@registered("SELECT chunk_id, sha256(content) AS content_hash, 64 AS dims, true AS unit FROM chunks")
 def embedding_backfill(spark, sf):
-    chunks = tables.documents(spark, sf).select(F.col("id").alias("chunk_id"), F.col("version").alias("document_version"), F.col("title").alias("content"))
-    return vectors.embedded(chunks, vectors.hashing_embedder(), SPACE).select("chunk_id", "content_hash", F.size("embedding").alias("dims"))
+    v = vectors.embedded(tables.line_chunks(spark, sf), vectors.hashing_embedder(), SPACE)
+    length = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
+    return v.select("chunk_id", "content_hash", F.size("embedding").alias("dims"), ((F.abs(length - 1) < 1e-9) | (length == 0)).alias("unit"))
 
 
 # ---- search ------------------------------------------------------------------------
@@ -299,8 +305,7 @@ def exact_topk(spark, sf):
 def fused_hits(spark, sf):
     chunks = tables.line_chunks(spark, sf)
     q = questions(spark)
-    channels = {"content": retrieval.lexical_channel(chunks, q, ["content", "chapter", "section"], 96), "metadata": retrieval.lexical_channel(chunks, q, ["title", "filename", "tags"], 96), "exact": retrieval.exact_channel(chunks, q, 96)}
-    return retrieval.fuse(channels)
+    return retrieval.fuse({None: retrieval.lexical_channels(chunks, q, retrieval.LEXICAL, 96), "exact": retrieval.exact_channel(chunks, q, 96)})
 
 
 FUSED = (
@@ -341,18 +346,51 @@ def dominant_document(spark, sf):
     return retrieval.dominant_document(ranked_hits(spark, sf))
 
 
-@registered()
+#: The fold of a ranked list ``f``: at most three hits a document, one of each passage, twelve in all.
+CAPPED = """, s AS (SELECT f.*, c.document_id, substr(regexp_replace(lower(c.content), '[^\\p{L}\\p{N}]+', '', 'g'), 1, 180) AS signature FROM fused f JOIN chunks c USING (chunk_id)),
+    w AS (SELECT query_id, 0::BIGINT AS rank, []::BIGINT[] AS docs, []::VARCHAR[] AS known, []::BIGINT[] AS ranks FROM (SELECT DISTINCT query_id FROM s)
+          UNION ALL
+          SELECT query_id, rank, CASE WHEN t THEN list_append(docs, document_id) ELSE docs END, CASE WHEN t THEN list_append(known, signature) ELSE known END, CASE WHEN t THEN list_append(ranks, rank) ELSE ranks END
+          FROM (SELECT w.query_id, s.rank, s.document_id, s.signature, docs, known, ranks,
+                       len(ranks) < 12 AND len(list_filter(docs, lambda x: x = s.document_id)) < 3 AND NOT (s.signature <> '' AND list_contains(known, s.signature)) AS t
+                FROM w JOIN s ON s.query_id = w.query_id AND s.rank = w.rank + 1)),
+    taken AS (SELECT query_id, ranks FROM w QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) = 1)"""
+
+
+@registered(FUSED + CAPPED + " SELECT s.query_id, list_position(ranks, s.rank)::INT AS position, s.rank, document_id, signature, chunk_id FROM s JOIN taken ON s.query_id = taken.query_id AND list_contains(ranks, s.rank)")
 def dedupe_topk(spark, sf):
     h = ranked_hits(spark, sf).withColumn("signature", F.substring(T.signature_text("content"), 1, 180))
     return retrieval.capped(h, 12, carry=["chunk_id"])
 
 
-@registered()
+SEEN_FUSED = f", seen AS (SELECT * FROM chunks WHERE {SEEN})" + FUSED.replace("FROM chunks", "FROM seen")
+
+
+@registered(SEEN_FUSED + CAPPED + """ SELECT s.query_id, list_position(ranks, s.rank)::INT AS position, chunk_id, document_id, round(score, 8) AS score
+    FROM (SELECT *, rrf / greatest(max(rrf) OVER (PARTITION BY query_id), 1e-6) AS score FROM s) s JOIN taken ON s.query_id = taken.query_id AND list_contains(ranks, s.rank)""")
 def search(spark, sf):
     hits = plans.search(plans.Corpus(tables.line_chunks(spark, sf).withColumn("id", F.col("document_id"))), ME, questions(spark))
     return hits.select("query_id", "position", "chunk_id", "document_id", F.round("score", 8).alias("score"))
 
 
+def with_vectors(spark, sf):
+    """The line chunks with vectors, and every twentieth text of the benchmark as a question."""
+    embedder = vectors.hashing_embedder()
+    chunks = tables.line_chunks(spark, sf).withColumn("id", F.col("document_id"))
+    v = vectors.embedded(chunks, embedder, SPACE).select("chunk_id", "embedding")
+    b = tables.read(spark, sf, "benchmark").where(F.col("item_id") % 20 == 0).select(F.col("item_id").alias("chunk_id"), F.lit(1).alias("document_version"), F.substring("text", 1, 120).alias("content"))
+    q = vectors.embedded(b, embedder, SPACE).select(F.col("chunk_id"), F.col("embedding").alias("vector")).join(b, "chunk_id")
+    return plans.Corpus(chunks, v), q.select(F.col("chunk_id").cast("string").alias("query_id"), F.col("content").alias("query"), "vector")
+
+
+@registered()
+def hybrid_search(spark, sf):
+    """All four channels over all chunks: passages of the benchmark as questions."""
+    corpus, q = with_vectors(spark, sf)
+    hits = plans.search(corpus, User(1, "system_admin"), q)
+    return hits.select("query_id", "position", "chunk_id", "document_id", F.round("score", 8).alias("score"), F.round("semantic_score", 4).alias("semantic_score"))
+
+
 @registered()
 def extractive_answers(spark, sf):
     return plans.ask(plans.Corpus(tables.line_chunks(spark, sf).withColumn("id", F.col("document_id"))), User(1, "system_admin"), asked(spark))["answers"]
@@ -377,7 +415,7 @@ def marked(spark, sf):
 def neighbour_expansion(spark, sf):
     chunks, anchors = marked(spark, sf)
     n = evidence.neighbours(anchors, chunks)
-    return n.select("query_id", "document_id", "chunk_index", (F.col("anchor") % 100000).cast("int").alias("anchor_index"))
+    return n.select("query_id", "document_id", "chunk_index", (F.col("anchor") % tables.CHUNKS).cast("int").alias("anchor_index"))
 
 
 @registered("""SELECT document_id, chunk_index::INT AS chunk_index, min(chunk_id) OVER (PARTITION BY document_id, section, island) AS anchor
@@ -464,9 +502,19 @@ def repeated_margins(spark, sf):
     return chunking.repeated_margins(p).join(p.select("document_id", "kb").distinct(), "document_id").select("kb", "signature")
 
 
-@registered()
+@registered(""", p AS (SELECT kb, id, regexp_replace(text, '[\\x{FFFD}\\x{E000}-\\x{F8FF}]', '', 'g') AS t, len(regexp_extract_all(text, '[\\x{FFFD}\\x{E000}-\\x{F8FF}]')) AS damaged FROM docs WHERE kb IS NOT NULL),
+    l AS (SELECT kb, id, list_filter([trim(regexp_replace(x, '[ \\t]+', ' ', 'g')) FOR x IN string_split_regex(t, '\\r?\\n')], lambda x: x <> '') AS l FROM p),
+    e AS (SELECT DISTINCT kb, id, unnest([regexp_replace(lower(x), '[^\\p{L}\\p{N}]+', '', 'g') FOR x IN l[1:3] || l[-3:]]) AS signature FROM l),
+    n AS (SELECT kb, greatest(3, ceil(count(*) * 0.015)) AS need FROM p GROUP BY 1),
+    m AS (SELECT kb, signature FROM e JOIN n USING (kb) WHERE length(signature) BETWEEN 4 AND 100 GROUP BY kb, signature, need HAVING count(DISTINCT id) >= need),
+    u AS (SELECT kb, id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM l),
+    k AS (SELECT u.*, CASE WHEN regexp_matches(line, '^(?:第\\s*)?[-—–·. ]*[0-9]{1,4}[-—–·. ]*(?:页)?$') THEN 'n' WHEN regexp_matches(line, '(?i)taobao\\.com|bilibili|https?://|www\\.|\\.com\\b|\\.cn\\b|扫码|二维码|QQ群') THEN 'a' WHEN m.signature IS NOT NULL THEN 'm' END AS kind
+          FROM u LEFT JOIN m ON m.kb = u.kb AND m.signature = regexp_replace(lower(line), '[^\\p{L}\\p{N}]+', '', 'g')),
+    g AS (SELECT kb, id, string_agg(line, chr(10) ORDER BY pos) FILTER (kind IS NULL) AS text, count(*) FILTER (kind = 'n') AS numbers, count(*) FILTER (kind = 'a') AS advertisements, count(*) FILTER (kind = 'm') AS margins FROM k GROUP BY 1, 2)
+    SELECT p.kb, p.id::INT AS page, coalesce(g.text, '') AS text, damaged::INT AS damaged, coalesce(numbers, 0) AS numbers, coalesce(advertisements, 0) AS advertisements, coalesce(margins, 0) AS margins FROM p LEFT JOIN g USING (kb, id)""")
 def cleaned_pages(spark, sf):
-    return chunking.clean_pages(pages(spark, sf))
+    p = pages(spark, sf)
+    return chunking.clean_pages(p).join(p.select("document_id", "kb").distinct(), "document_id").drop("document_id")
 
 
 @registered()
@@ -533,10 +581,10 @@ def page_order_violations(spark, sf):
     return audit.order_violations(c, "l_orderkey", ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"), "page").select("l_orderkey", "l_linenumber", "previous_page")
 
 
-@registered("""SELECT event_type AS endpoint, count(*) AS requests, count(*) FILTER (event_type = 'error' OR value IS NULL) AS errors, list_sort(list(value))[least(count(value), floor(count(value) * 0.95)::BIGINT + 1)] AS p95 FROM events GROUP BY 1""", views=False)
+@registered("""SELECT event_type AS endpoint, count(*) AS requests, count(*) FILTER (event_type = 'error' OR value IS NULL) AS errors, round(count(*) FILTER (event_type = 'error' OR value IS NULL) / count(*), 10) AS error_rate, round(count(*) / 60.0::DOUBLE, 8) AS per_second, list_sort(list(value))[least(count(value), floor(count(value) * 0.95)::BIGINT + 1)] AS p95 FROM events GROUP BY 1""", views=False)
 def stress_percentile(spark, sf):
     e = tables.read(spark, sf, "events").select(F.col("event_type").alias("endpoint"), F.col("value").alias("ms"), (~((F.col("event_type") == "error") | F.col("value").isNull())).alias("ok"))
-    return audit.latency_report(e, 60.0).select("endpoint", "requests", "errors", "p95")
+    return audit.latency_report(e, 60.0).select("endpoint", "requests", "errors", F.round("error_rate", 10).alias("error_rate"), F.round("per_second", 8).alias("per_second"), "p95")
 
 
 @registered("SELECT document_id, chapter, count(*) AS chunks, count(*) FILTER (regexp_matches(content, '(?i)taobao|bilibili|QQ群|购买王道|下载网站|高清带书签|王道教育|\\x{FFFD}|[\\x{E000}-\\x{F8FF}]')) AS noise, count(*) FILTER (chunk_index % 3 = 0) AS missing FROM chunks GROUP BY 1, 2")
@@ -545,10 +593,21 @@ def chapter_summary(spark, sf):
     return audit.chapter_summary(c).select("document_id", "chapter", "chunks", "noise", "missing")
 
 
-@registered()
+@registered(""", c AS (SELECT document_id, chunk_index, section, TRY_CAST(regexp_extract(substr(CASE WHEN chunk_index % 3 = 0 THEN '第 ' || (chunk_index % 5 + 1) || ' 章 ' ELSE '见第1章 ' END || content, 1, 180), '(?:^|\\n)\\s*第\\s*([0-9]{1,2})\\s*章', 1) AS INT) AS told,
+          TRY_CAST(regexp_extract(section, '^([0-9]{1,2})\\.', 1) AS INT) AS major, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) AS rn FROM chunks),
+    w AS (SELECT document_id, 0::BIGINT AS rn, 0 AS now, 0::BIGINT AS chunk_index, NULL::VARCHAR AS section FROM (SELECT DISTINCT document_id FROM c)
+          UNION ALL
+          SELECT document_id, rn, now, chunk_index, CASE WHEN major IS NULL OR (major BETWEEN 1 AND 6 AND (now = 0 AND major = 1 OR now > 0 AND major IN (now, now + 1))) THEN section END
+          FROM (SELECT c.document_id, c.rn, c.chunk_index, c.section, c.major,
+                       CASE WHEN told BETWEEN 1 AND 6 AND (now = 0 AND told = 1 OR now > 0 AND told IN (now, now + 1)) THEN told
+                            WHEN major BETWEEN 1 AND 6 AND (now = 0 AND major = 1 OR now > 0 AND major IN (now, now + 1)) THEN major ELSE now END AS now
+                FROM w JOIN c ON c.document_id = w.document_id AND c.rn = w.rn + 1))
+    SELECT document_id, chunk_index, CASE WHEN now > 0 THEN '第' || now || '章' END AS chapter, section FROM w WHERE rn > 0""")
 def chapter_repair(spark, sf):
+    """Lines with a chapter before every third, and a mention that announces none before others."""
     c = tables.line_chunks(spark, sf)
-    return audit.repaired_chapters(c, c.select("document_id").distinct().withColumn("n", F.lit(6)))
+    told = F.when(F.col("chunk_index") % 3 == 0, F.concat(F.lit("第 "), (F.col("chunk_index") % 5 + 1).cast("string"), F.lit(" 章 "))).otherwise("见第1章 ")
+    return audit.repaired_chapters(c.withColumn("content", F.concat(told, "content")), c.select("document_id").distinct().withColumn("n", F.lit(6)))
 
 
 # ---- writes ------------------------------------------------------------------------

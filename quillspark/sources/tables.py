@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Ids of chunks are the document's times this, plus their place: more lines than a text
+#: of a gigabyte can have.
+CHUNKS = 1 << 30
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,7 +57,7 @@ def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir).select("id", "version", "title", "filename", "tags", "owner_id", "share_status", F.posexplode(F.split("text", "\n")).alias("chunk_index", "content"))
     number, within = F.floor(F.col("chunk_index") / 8) + 1, F.floor((F.col("chunk_index") % 8) / 3) + 1
     return d.where(F.trim("content") != "").select(
-        (F.col("id") * 100000 + F.col("chunk_index")).alias("chunk_id"),
+        (F.col("id") * CHUNKS + F.col("chunk_index")).alias("chunk_id"),
         F.col("id").alias("document_id"),
         F.col("version").alias("document_version"),
         "chunk_index", "content", "title", "filename", "tags", "owner_id", "share_status",
@@ -75,7 +80,7 @@ SQL = """
     likes AS (SELECT DISTINCT user_id, document_id FROM ev WHERE event_type = 'click' AND document_id IS NOT NULL),
     favorites AS (SELECT DISTINCT user_id, document_id FROM ev WHERE event_type = 'purchase' AND document_id IS NOT NULL),
     lines AS (SELECT id, title, filename, tags, owner_id, share_status, string_split(text, chr(10)) AS l FROM docs),
-    chunks AS (SELECT id * 100000 + i - 1 AS chunk_id, id AS document_id, i - 1 AS chunk_index, l[i] AS content, title, filename, tags, owner_id, share_status,
+    chunks AS (SELECT id * 1073741824 + i - 1 AS chunk_id, id AS document_id, i - 1 AS chunk_index, l[i] AS content, title, filename, tags, owner_id, share_status,
                       '第' || ((i - 1) // 8 + 1) || '章' AS chapter, ((i - 1) // 8 + 1) || '.' || (((i - 1) % 8) // 3 + 1) AS section
                FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM lines) WHERE trim(l[i], ' ') <> '')
 """

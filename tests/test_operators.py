@@ -90,6 +90,59 @@ def test_chapter_repair(spark):
     assert [(r.chapter, r.section) for r in got] == [(None, None), (None, None), ("第1章", "1.1 a"), ("第1章", None), ("第2章", "2.1 c"), ("第2章", None), ("第2章", None)]
 
 
+def test_chapter_repair_reads_lines_in_digits_and_falls_back_to_sections(spark):
+    rows = [(1, 0, "第9章 参考", "1.1 a", "content"), (1, 1, "如前文第2章所述", "1.2 b", "content"), (1, 2, "第 2 章 概述", "2.1 c", "content"), (1, 3, "前言\n 第3章", None, "content"), (1, 4, "第三章", "100.1 x", "content")]
+    c = spark.createDataFrame(rows, "document_id long, chunk_index long, content string, section string, content_type string")
+    got = audit.repaired_chapters(c, spark.createDataFrame([(1, 4)], "document_id long, n int")).orderBy("chunk_index").collect()
+    assert [(r.chapter, r.section) for r in got] == [("第1章", "1.1 a"), ("第1章", "1.2 b"), ("第2章", "2.1 c"), ("第3章", None), ("第3章", "100.1 x")]
+
+
+def test_latency_percentile_against_sorting(spark):
+    rnd = random.Random(4)
+    rows = [(f"e{rnd.randrange(4)}", rnd.choice([None, float(rnd.randrange(50)), rnd.uniform(0, 1e4)]), rnd.random() < 0.9) for _ in range(3000)] + [("same", 5.0, True)] * 40 + [("none", None, False)]
+    got = {r.endpoint: (r.requests, r.errors, r.p95) for r in audit.latency_report(spark.createDataFrame(rows, "endpoint string, ms double, ok boolean"), 60.0).collect()}
+    for e in {r[0] for r in rows}:
+        ms = sorted(m for x, m, _ in rows if x == e and m is not None)
+        want = ms[min(len(ms) - 1, int(len(ms) * 0.95))] if ms else None
+        assert got[e] == (sum(x == e for x, *_ in rows), sum(x == e and not ok for x, _, ok in rows), want)
+
+
+def test_plain_chunks_cover_the_text():
+    rnd = random.Random(6)
+    for _ in range(300):
+        word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.choice([5, 9, 60])))  # noqa: B023, E731
+        text = "".join(word() + rnd.choice([" ", "。", "! ", "\n\n", "\n", "  "]) for _ in range(rnd.randint(0, 60)))
+        size, overlap = rnd.randint(20, 80), rnd.randint(1, 10)
+        got = chunking.plain_chunks(text, size, overlap)
+        assert all(0 < len(c) <= size for c in got)
+        bare = lambda t: "".join(t.split())
+        whole, at = bare(text), 0
+        for c in got:  # in order, without gaps: each begins within what is already covered
+            start = whole.find(bare(c), max(0, at - overlap))
+            assert 0 <= start <= at
+            at = max(at, start + len(bare(c)))
+        assert at == len(whole)
+    assert chunking.plain_chunks("a" * 50, 20, 5) == ["a" * 20, "a" * 20, "a" * 20]
+
+
+def test_long_and_labelled_drafts(spark):
+    long_line = " ".join(["文字内容" * 3] * 90)
+    pages = [(1, 1, f"第一章 概述\n{'这是本章的正文内容。' * 12}"), (1, 2, f"{'正文继续进行说明。' * 12}\n2.1 小节\n{long_line}"), (1, 3, "第三页的正文内容也要足够长才能保留下来成为一个可以检索的片段。" * 3)]
+    got = chunking.chunk_structured(spark.createDataFrame(pages, "document_id long, page int, text string")).orderBy("chunk_index").collect()
+    assert [r.chunk_index for r in got] == list(range(len(got))) and all(len(r.content) <= 760 for r in got if r.page_start != 2)
+    assert {r.chapter for r in got if r.page_start == 1} == {"第1章"}
+    assert [r.section is None for r in got if r.page_start == 2][0] and [r for r in got if r.page_start == 3][0].chapter == "第2章"
+    assert got[-1].section.startswith("2.1")
+    audit_row = chunking.cleaning_audit(spark.createDataFrame([*pages, (1, 4, "12"), (1, 5, pages[2][2])], "document_id long, page int, text string")).first()
+    assert (audit_row.pages, audit_row.numbers, audit_row.duplicates, audit_row.chapters) == (5, 1, 1, 2)
+
+
+def test_share_states(spark):
+    rows = [(1, i, a) for i, a in enumerate(["approve", "request", "reject", "reject", "request", "withdraw"])] + [(2, 0, "request"), (2, 1, "request"), (2, 2, "approve"), (2, 3, "reject")] + [(3, 0, "request"), (3, 1, "reject"), (3, 2, "withdraw")] + [(4, 0, "withdraw")]
+    got = {r.document_id: r.state for r in analytics.share_state(spark.createDataFrame(rows, "document_id long, seq long, action string")).collect()}
+    assert got == {1: "private", 2: "shared", 3: "rejected", 4: "private"}
+
+
 def test_cosine(spark):
     rows = [(1, [], []), (2, [0.0, 0.0], [1.0, 1.0]), (3, [1.0], [1.0, 2.0]), (4, [1.0, 0.0], [1.0, 0.0]), (5, None, [1.0])]
     df = spark.createDataFrame(rows, "id int, a array<double>, b array<double>")
