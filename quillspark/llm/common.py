@@ -63,6 +63,16 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """Texts go to Python ``rows`` at a time in this session, unless it asks for fewer: a
+    batch of the default 10,000 can hold 64 MB, several times over in a worker. The
+    registered queries and the pipeline ask for it; operators leave the session alone."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+    return spark
+
+
 def text_of(name: str = "text") -> Column:
     """A null text counts as an empty one."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

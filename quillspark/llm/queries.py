@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm.common import table
+from quillspark.llm.common import small_batches, table
 from quillspark.llm.op1_exact_dedup import exact_dedup
 from quillspark.llm.op2_embedding_dedup import near_duplicates
 from quillspark.llm.op3_secrets import scan
@@ -20,43 +20,43 @@ from quillspark.llm.op10_quality import quality
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup(table(small_batches(spark), sf_dir, "documents"))
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "embeddings"))
+    return near_duplicates(table(small_batches(spark), sf_dir, "embeddings"))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(table(small_batches(spark), sf_dir, "documents"))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(table(small_batches(spark), sf_dir, "documents"))
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return mix(table(small_batches(spark), sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_join(table(small_batches(spark), sf_dir, "documents"))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return scan_licenses(table(small_batches(spark), sf_dir, "documents"))
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score(table(spark, sf_dir, "documents"))
+    return lm_score(table(small_batches(spark), sf_dir, "documents"))
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(table(spark, sf_dir, "pages"))
+    return extract(table(small_batches(spark), sf_dir, "pages"))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality(table(small_batches(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_embedding_near_dedup, op3_secret_scan, op4_best_fit_packing, op5_source_mixing, op6_ngram_jaccard_join, op7_license_scan, op8_lm_score, op9_html_extraction, op10_quality_classifier)}

@@ -196,3 +196,19 @@ def test_pipeline(spark):
     assert three == sorted(order[i] for i, c in component.items() if i == c)
     rows = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in rows} <= set(three) and rows
+
+
+def test_pipeline_stages_on_empty_tables_nulls_and_clashing_columns(spark, tmp_path):
+    texts = [None, "", "one two three four five six", "one two three four five six", "x" * 5000, None]
+    docs = documents(spark, texts)
+    odd = docs.unionByName(documents(spark, ["no id", "no id"]).withColumn("doc_id", F.lit(None).cast("long")))
+    odd = odd.withColumns({"__rn": F.lit(1), "id": F.lit("clash"), "size": F.lit(2), "sequence_id": F.lit(3), "score": F.lit(None).cast("double")})
+    spark.createDataFrame([(2, 1, 0), (4, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for start in (odd, odd.where("false")):
+        frame, n = start, start.count()
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            frame = stage(spark, frame, str(tmp_path))
+            assert k == 4 or frame.columns == start.columns
+        rows = frame.collect()
+        assert bool(rows) == bool(n)
+        assert {r.doc_id for r in rows} <= {0, 1, 2, 3, 4, 5, None}
