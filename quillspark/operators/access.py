@@ -89,3 +89,13 @@ def hidden_when_revoked(messages: DataFrame, accessible_ids: DataFrame) -> DataF
     hide = (F.col("role") == "assistant") & F.coalesce("lost", F.lit(False))
     out = messages.join(lost, "message_id", "left")
     return out.withColumn("content", F.when(hide, F.lit(None)).otherwise(F.col("content"))).withColumn("cited", F.when(hide, F.array().cast("array<long>")).otherwise(F.col("cited"))).withColumn("revoked", hide).drop("lost")
+
+
+def shown(docs: DataFrame) -> DataFrame:
+    """Documents as callers see them (F15): without the stored path and the text, tags as
+    an array (empty where they are malformed), favourite and liked as booleans."""
+    kinds = dict(docs.dtypes)
+    tags = F.coalesce(F.from_json("tags", "array<string>") if kinds.get("tags") == "string" else F.col("tags"), F.array().cast("array<string>")) if "tags" in kinds else None
+    out = docs.drop("stored_path", "text_content", "text")
+    out = out if tags is None else out.withColumn("tags", tags)
+    return out.withColumns({c: F.coalesce(F.col(c).cast("boolean"), F.lit(False)) for c in ("favorite", "liked") if c in kinds})

@@ -143,6 +143,25 @@ def named_documents(queries: DataFrame, docs: DataFrame, user_id: int) -> DataFr
     return got.withColumn("__own", own).where(~F.col("__own") | (F.col("owner_id") == user_id)).select("query_id", "document_id")
 
 
+def mentioned_bases(queries: DataFrame, bases: DataFrame) -> DataFrame:
+    """The base that a question names (T5): of those whose name it holds next to the word
+    for a base, the one of the longest name, then the latest; else the only one whose
+    name holds what the question calls a base. (query_id, kb_id). ``bases``: id, name,
+    those that the user may see."""
+    word = F.lit("知识库")
+    q = queries.select("query_id", T.compact("query").alias("__q"))
+    alias = F.coalesce(T.extract("__q", K.BASE_IN), T.extract("__q", K.BASE_FROM), T.extract("__q", K.BASE_LEADING))
+    q = q.withColumn("__alias", alias)
+    b = bases.select(F.col("id").alias("kb_id"), T.compact(T.text("name")).alias("__n")).where(F.col("__n") != "")
+    named = F.when(F.contains("__n", word), F.contains("__q", F.col("__n"))).otherwise(F.contains("__q", F.concat("__n", word)) | F.contains("__q", F.concat(word, "__n")))
+    called = (F.length("__alias") >= 2) & F.contains("__n", F.col("__alias"))
+    hit = in_blocks(q, 1000, lambda some: b.join(some, named | F.coalesce(called, F.lit(False))).withColumn("__named", named))
+    w = Window.partitionBy("query_id")
+    h = hit.withColumns({"__any": F.bool_or("__named").over(w), "__n_called": F.count(F.lit(1)).over(w)})
+    h = h.where(F.when(F.col("__any"), F.col("__named")).otherwise(F.col("__n_called") == 1))
+    return h.withColumn("__rn", F.row_number().over(w.orderBy(F.desc(F.length("__n")), F.desc("kb_id")))).where(F.col("__rn") == 1).select("query_id", "kb_id")
+
+
 STATE = "version int, originalQuery string, scope string, documentIds array<long>, generation int, evidence array<struct<chunk_id:long,content:string>>"
 
 

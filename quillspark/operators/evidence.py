@@ -102,6 +102,16 @@ def packed(hits: DataFrame, budget: int = 6000, overhead: int = 32, overlap: boo
     )
 
 
+def first_wins(current: DataFrame, historical: DataFrame, limit: int = 6) -> DataFrame:
+    """Hits of two lists (query_id, position, chunk_id, ...) as one of at most ``limit``
+    (U1): the current ones in order, then those of before that are not among them."""
+    both = current.withColumn("__source", F.lit(0)).unionByName(historical.withColumn("__source", F.lit(1)), allowMissingColumns=True)
+    order = (F.col("__source"), F.col("position"), F.col("chunk_id"))
+    first = both.withColumn("__rn", F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy(*order))).where(F.col("__rn") == 1)
+    merged = first.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    return merged.where(F.col("position") <= limit).drop("__source", "__rn")
+
+
 def evidence_prompt(evidence: DataFrame) -> DataFrame:
     """One text per query: numbered, escaped evidence in order."""
     place = F.concat_ws(" / ", T.escaped("title"), T.escaped("chapter"), T.escaped("section"))

@@ -69,14 +69,29 @@ def query_grams(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform(T.query_terms("query"), grams)))).alias("term"))
 
 
+def within(chunks: DataFrame, scopes: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """What keeps of hits (query_id, chunk_id, ...) those of the documents that their
+    question is about; ``scopes``: query_id, document_id. A question without a row there
+    is about all documents."""
+    s = scopes.select("query_id", "document_id").distinct()
+    asked = s.select("query_id").distinct().withColumn("__asked", F.lit(True))
+
+    def keep(hits: DataFrame) -> DataFrame:
+        h = hits.join(chunks.select("chunk_id", "document_id"), "chunk_id").join(broadcast_if_small(asked), "query_id", "left")
+        h = h.join(broadcast_if_small(s.withColumn("__in", F.lit(True))), ["query_id", "document_id"], "left")
+        return h.where(F.col("__asked").isNull() | F.col("__in")).select(*hits.columns)
+
+    return keep
+
+
 def ranked(hits: DataFrame, limit: int, *by: str) -> DataFrame:
     """The best ``limit`` hits of each query (and of ``by``) with their ranks, ties by chunk."""
     w = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "chunk_id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def lexical_channels(chunks: DataFrame, queries: DataFrame, fields: dict[str, Sequence[str]], limit: int) -> DataFrame:
-    """(channel, query_id, chunk_id, score, rank) by the sum of tf x idf squared over the
+def lexical_channels(chunks: DataFrame, queries: DataFrame, fields: dict[str, Sequence[str]], limit: int, keep: Callable[[DataFrame], DataFrame] = lambda hits: hits) -> DataFrame:
+    """(channel, query_id, chunk_id, score, rank) of the hits that ``keep`` keeps, by the sum of tf x idf squared over the
     query's terms in a channel's fields, idf = log10(chunks / chunks with the term).
 
     Terms that no query has are dropped where they are read, so what is shuffled grows
@@ -90,7 +105,7 @@ def lexical_channels(chunks: DataFrame, queries: DataFrame, fields: dict[str, Se
     df = found.groupBy("channel", "term").agg(F.count("tf").alias("df"))
     idf = df.crossJoin(total).select("channel", "term", F.pow(F.log10(F.col("total") / F.col("df")), F.lit(2)).alias("idf2"))  # total is one row
     scored = terms.join(idf, "term").join(found, ["channel", "term"]).groupBy("channel", "query_id", "chunk_id").agg(F.round(F.sum(F.col("tf") * F.col("idf2")), 8).alias("score"))
-    return ranked(scored.where("score > 0"), limit, "channel")
+    return ranked(keep(scored.where("score > 0")), limit, "channel")
 
 
 def lexical_channel(chunks: DataFrame, queries: DataFrame, fields: Sequence[str], limit: int) -> DataFrame:
@@ -102,7 +117,7 @@ def lexical_channel(chunks: DataFrame, queries: DataFrame, fields: Sequence[str]
 LEXICAL = {"content": ("content", "chapter", "section"), "metadata": ("title", "filename", "tags")}
 
 
-def exact_channel(chunks: DataFrame, queries: DataFrame, limit: int, terms: int = 8) -> DataFrame:
+def exact_channel(chunks: DataFrame, queries: DataFrame, limit: int, terms: int = 8, keep: Callable[[DataFrame], DataFrame] = lambda hits: hits) -> DataFrame:
     """Chunks that hold one of a query's first terms: of four characters or more
     anywhere, shorter ones in title, filename or tags only. Score 1, rank by chunk."""
     q = queries.select("query_id", F.slice(F.filter(T.query_terms("query"), lambda t: F.length(t) >= 2), 1, terms).alias("terms"))
@@ -110,7 +125,7 @@ def exact_channel(chunks: DataFrame, queries: DataFrame, limit: int, terms: int
     c = chunks.select("chunk_id", F.lower(T.text("content")).alias("__body"), meta.alias("__meta"))
     hit = F.exists("terms", lambda t: F.contains(F.col("__meta"), t) | ((F.length(t) >= 4) & F.contains(F.col("__body"), t)))
     found = in_blocks(q, 1000, lambda some: c.join(some, hit).select("query_id", "chunk_id", F.lit(1.0).alias("score")))
-    return ranked(found, limit)
+    return ranked(keep(found), limit)
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
@@ -122,14 +137,14 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.when(~F.coalesce(fine, F.lit(False)), -1.0).otherwise(F.when(F.coalesce(norm, F.lit(0.0)) == 0, -1.0).otherwise(dot(a, b) / norm))
 
 
-def vector_channel(vectors: DataFrame, queries: DataFrame, limit: int, least: float = MIN_COSINE) -> DataFrame:
+def vector_channel(vectors: DataFrame, queries: DataFrame, limit: int, least: float = MIN_COSINE, keep: Callable[[DataFrame], DataFrame] = lambda hits: hits) -> DataFrame:
     """Current vectors (chunk_id, embedding) by cosine with each query's (query_id,
     vector): the unrounded value decides, the rounded one ranks. Each query scans all
     vectors once; the queries, few and small, are the broadcast side."""
     near = cosine("embedding", "vector")
     search = lambda some: vectors.select("chunk_id", "embedding").join(some, near >= least).select("query_id", "chunk_id", near.alias("c"))
     scored = in_blocks(queries.select("query_id", "vector"), 1000, search)
-    return ranked(scored.select("query_id", "chunk_id", F.round("c", 4).alias("score")), limit)
+    return ranked(keep(scored.select("query_id", "chunk_id", F.round("c", 4).alias("score"))), limit)
 
 
 def fuse(channels: dict[str | None, DataFrame], weights: dict[str, float] = WEIGHTS, k: int = RRF_K) -> DataFrame:

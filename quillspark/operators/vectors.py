@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,6 +30,31 @@ def hashing_embedder(dims: int = 64) -> Embedder:
     return embed
 
 
+class ProviderError(Exception):
+    """A provider's failure; ``retryable`` for limits (429), its own errors (5xx) and timeouts."""
+
+    def __init__(self, message: str, status: int | None = None):
+        super().__init__(message)
+        self.retryable = status is None or status == 429 or status >= 500
+
+
+def retrying(embedder: Embedder, waits: tuple[float, ...] = (5, 15, 30), sleep: Callable[[float], None] = time.sleep) -> Embedder:
+    """``embedder`` called again after each of ``waits`` seconds while it fails in a way
+    that may pass (``ProviderError``, ``TimeoutError``); other failures are the task's."""
+
+    def embed(texts: list[str]) -> np.ndarray:
+        for wait in waits:
+            try:
+                return embedder(texts)
+            except (ProviderError, TimeoutError) as failure:
+                if not getattr(failure, "retryable", True):
+                    raise
+                sleep(wait)
+        return embedder(texts)
+
+    return embed
+
+
 def content_hash(c: str = "content"):
     return F.sha2(F.coalesce(F.col(c), F.lit("")).cast("binary"), 256)
 

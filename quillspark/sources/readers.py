@@ -86,6 +86,24 @@ def docx_text(f: DataFrame) -> DataFrame:
     return f.where(F.col("extension") == "docx").select("path", F.lit(None).cast("int").alias("page"), read("content").alias("text"))
 
 
+def pdf_pages(f: DataFrame, layer: Callable[[bytes], list[str]]) -> DataFrame:
+    """Pages of the text layer of PDF files (S3) by a function of a file's bytes that
+    returns a text per page; none is in the environment. A file that it fails on has no
+    pages, so that all of them are recognised."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for path, content in zip(b["path"], b["content"], strict=True):
+                try:
+                    rows += [(path, n, text) for n, text in enumerate(layer(bytes(content)), 1)]
+                except Exception:  # noqa: BLE001  whatever a parser makes of a broken file
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "page", "text"])
+
+    return f.where(F.col("extension") == "pdf").select("path", "content").mapInPandas(run, "path string, page int, text string")
+
+
 def with_recognised(pages: DataFrame, recognised: DataFrame) -> DataFrame:
     """Pages whose text layer is not reliable take the recognised text of (path, page,
     text); a file without pages takes all its recognised ones (S6)."""
@@ -104,9 +122,21 @@ def page_ranges(pages: DataFrame, batch: int) -> DataFrame:
     return p.groupBy("path", "run", "part").agg(F.min("page").alias("first"), F.max("page").alias("last")).select("path", "first", "last")
 
 
-def recognised_pages(ranges: DataFrame, recognise: Callable[[str, int, int], list[tuple[int, str]]]) -> DataFrame:
+def recognised_pages(ranges: DataFrame, recognise: Callable[[str, int, int], list[tuple[int, str]]], languages: tuple[str, ...] = (), available: tuple[str, ...] = (), most_pages: int | None = None) -> DataFrame:
     """Recognise ranges of pages (path, first, last) by a function of path, first and last
-    page that returns (page, text); blank pages go. Tasks are what runs at once (S8)."""
+    page that returns (page, text); blank pages go. Tasks are what runs at once (S8).
+
+    ``languages`` that are not ``available`` are an error before anything runs. A file of
+    which more than ``most_pages`` would be recognised is refused: a row without a page
+    tells its path.
+    """
+    if missing := sorted({*languages} - {*available}):
+        raise ValueError(f"languages that are not installed: {', '.join(missing)}")
+    if most_pages is not None:
+        size = ranges.groupBy("path").agg((F.sum(F.col("last") - F.col("first") + 1) > most_pages).alias("__refused"))
+        ranges = ranges.join(size, "path")
+        refused = size.where("__refused").select("path", F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("text"))
+        return recognised_pages(ranges.where("not __refused").drop("__refused"), recognise).unionByName(refused)
 
     def run(batches):
         for b in batches:

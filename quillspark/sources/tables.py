@@ -11,6 +11,19 @@ from pyspark.sql import functions as F
 CHUNKS = 1 << 30
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed and stored in the shared folder that ``spark.checkpoint.dir`` names
+    (in a local session without one, in the warehouse), as a plan that begins there."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(where or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+    return df.checkpoint()
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
