@@ -571,6 +571,38 @@ def rewritten_questions(spark, sf):
     return t.select("conv_id", "turn", "intent", "rewritten", "applied", "reason", "entities")
 
 
+# ---- worked examples: the tables hold no Chinese, which these operators are about ------
+
+
+def worked(name: str, of: Callable, cases: list[tuple]) -> None:
+    """Register ``of`` (a column of a column) over texts with what each should give: the
+    SQL states the results."""
+    told = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"{v}::DOUBLE" if isinstance(v, float) else str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
+
+    def run(spark, sf):
+        rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "example int, text string")
+        return rows.select("example", of(F.col("text")).alias("result"))
+
+    run.__name__ = name
+    registered("SELECT * FROM (VALUES " + ", ".join(f"({i}, {told(c[1])})" for i, c in enumerate(cases)) + ") v(example, result)", views=False)(run)
+
+
+worked("intents_after_answers", lambda c: conversation.intent(c, F.lit(True)), [
+    ("总结一下", "summarize_previous"), ("继续", "continue_previous"), ("为什么", "explain_previous"), ("换种说法", "refinement"), ("它的作用", "follow_up"), ("第三章", "contextual_query"),
+    ("概括全书的整体框架", "overview"), ("虚拟内存由哪些部分组成", "new_query"), ("", "new_query"),
+])
+worked("intents_of_first_questions", lambda c: conversation.intent(c, F.lit(False)), [("继续", "new_query"), ("这本书的目录", "overview"), ("为什么", "new_query")])
+worked("explicit_scopes", conversation.explicit_scope, [("第三章有哪些内容", "chapter_overview"), ("全书框架", "document_overview"), ("第2点", "local"), ("虚拟内存", None), ("资料中是否提到缓存", "local")])
+worked("document_inventories", conversation.asks_for_documents, [("列出全部文档", True), ("文档的内容", False), ("知识库里有多少份资料", True), ("你好", False)])
+worked("base_inventories", conversation.asks_for_bases, [("有哪些知识库", True), ("知识库简介", False), ("文档清单", False)])
+worked("base_profiles", conversation.asks_for_profile, [("知识库简介", True), ("有哪些知识库", False)])
+worked("numerals", T.numeral, [("二十三", 23), ("十", 10), ("百", None), ("7", 7), ("九十九", 99), ("零", 0)])
+worked("chapter_headings", T.chapter_heading, [(" 第 三 章 内存", "第3章"), ("第一百章", "第一百章"), ("章节", None), ("第12章", "第12章")])
+worked("section_headings", T.section_heading, [("3.1.2  虚拟内存 概念", "3.1.2 虚拟内存 概念"), ("3 虚拟", None)])
+worked("contents_pages", T.looks_like_toc, [("第1章 a....12\n1.1 b....3\nc\nd", True), ("a\nb\nc", False)])
+worked("quality_of_short_texts", lambda c: F.round(T.quality_score(c), 6), [("", 0.0), ("内存管理", 1.0)])
+
+
 # ---- audits ------------------------------------------------------------------------
 
 
