@@ -268,7 +268,7 @@ def score_documents(docs: DataFrame, net: Network | None, decay: float = 0.1, ho
         for batch in batches:
             data, bounds = utf8_batch(batch.column(1))
             ids, known = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            for a, b in chunks(bounds, 1 << 22):
+            for a, b in chunks(bounds, 1 << 21):
                 part, at = data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
                 if held and (docs_held + b - a > most_docs or words_held >= flush_at):
                     yield from told(held, base)
