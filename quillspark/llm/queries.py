@@ -17,6 +17,7 @@ from quillspark.llm.op7_licenses import scan_licenses, scan_licenses_sql
 from quillspark.llm.op8_lm_score import lm_score
 from quillspark.llm.op9_html import extract
 from quillspark.llm.op10_quality import quality
+from quillspark.llm.op13_merkle import audited
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,9 +60,53 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(small_batches(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_embedding_near_dedup, op3_secret_scan, op4_best_fit_packing, op5_source_mixing, op6_ngram_jaccard_join, op7_license_scan, op8_lm_score, op9_html_extraction, op10_quality_classifier)}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audited(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_embedding_near_dedup, op3_secret_scan, op4_best_fit_packing, op5_source_mixing, op6_ngram_jaccard_join, op7_license_scan, op8_lm_score, op9_html_extraction, op10_quality_classifier, op13_merkle_manifest)}
 
 ORACLES: dict[str, str] = {
+    "op13_merkle_manifest": """
+        WITH RECURSIVE
+        f AS (
+            SELECT doc_id, coalesce('=' || source, '') AS t, text,
+                   concat(CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END,
+                          CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END,
+                          CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END,
+                          CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END) AS head,
+                   list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                               lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda r, i: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)) AS crc
+            FROM documents),
+        g AS (SELECT *, CASE WHEN xor(crc, 4294967295) % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS shown FROM f),
+        l AS (SELECT doc_id, t, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+                     sha256(head || CASE WHEN shown IS NULL THEN '-' ELSE strlen(shown) || ':' || shown END) AS shown FROM g),
+        p AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY t) AS m FROM l),
+        node AS (
+            SELECT t, 0 AS level, pos, leaf AS h, m FROM p
+            UNION ALL
+            SELECT t, level + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (m + 15) // 16 FROM node WHERE m > 1 GROUP BY t, level, pos // 16, m),
+        sub AS (SELECT t, h, row_number() OVER (ORDER BY t) - 1 AS pos, count(*) OVER () AS m FROM node WHERE m = 1),
+        top AS (
+            SELECT 0 AS level, pos, h, m FROM sub
+            UNION ALL
+            SELECT level + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (m + 15) // 16 FROM top WHERE m > 1 GROUP BY level, pos // 16, m),
+        step AS (
+            SELECT p.doc_id, n.level AS k, coalesce(string_agg(n.h, '' ORDER BY n.pos) FILTER (n.pos < p.pos // (16::BIGINT ** n.level)::BIGINT), '') AS a,
+                   coalesce(string_agg(n.h, '' ORDER BY n.pos) FILTER (n.pos > p.pos // (16::BIGINT ** n.level)::BIGINT), '') AS b
+            FROM p JOIN node n ON n.t = p.t AND n.m > 1 AND n.pos // 16 = p.pos // (16::BIGINT ** (n.level + 1))::BIGINT GROUP BY p.doc_id, p.pos, n.level
+            UNION ALL
+            SELECT p.doc_id, 1000 + n.level, coalesce(string_agg(n.h, '' ORDER BY n.pos) FILTER (n.pos < s.pos // (16::BIGINT ** n.level)::BIGINT), ''),
+                   coalesce(string_agg(n.h, '' ORDER BY n.pos) FILTER (n.pos > s.pos // (16::BIGINT ** n.level)::BIGINT), '')
+            FROM p JOIN sub s ON s.t = p.t JOIN top n ON n.m > 1 AND n.pos // 16 = s.pos // (16::BIGINT ** (n.level + 1))::BIGINT GROUP BY p.doc_id, s.pos, n.level),
+        proof AS (SELECT doc_id, sha256(string_agg(a || b, '' ORDER BY k)) AS proof_sha256, list(struct_pack(a := a, b := b) ORDER BY k) AS steps FROM step GROUP BY doc_id),
+        fold AS (
+            SELECT p.doc_id, 1 AS i, p.shown AS h, coalesce(q.steps, []) AS steps FROM p LEFT JOIN proof q ON p.doc_id = q.doc_id
+            UNION ALL
+            SELECT doc_id, i + 1, sha256(steps[i].a || h || steps[i].b), steps FROM fold WHERE i <= len(steps))
+        SELECT p.doc_id, p.leaf, s.h AS subroot, r.h AS root, coalesce(q.proof_sha256, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+        FROM p JOIN sub s ON s.t = p.t JOIN top r ON r.m = 1 LEFT JOIN proof q ON q.doc_id = p.doc_id JOIN fold f ON f.doc_id = p.doc_id AND f.i = len(f.steps) + 1
+    """,
     "op6_ngram_jaccard_join": """
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
