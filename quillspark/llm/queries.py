@@ -17,6 +17,7 @@ from quillspark.llm.op7_licenses import scan_licenses, scan_licenses_sql
 from quillspark.llm.op8_lm_score import lm_score
 from quillspark.llm.op9_html import extract
 from quillspark.llm.op10_quality import quality
+from quillspark.llm.op12_substrings import substring_dedup
 from quillspark.llm.op13_merkle import audited
 
 
@@ -60,13 +61,26 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(small_batches(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(small_batches(spark), sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audited(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_embedding_near_dedup, op3_secret_scan, op4_best_fit_packing, op5_source_mixing, op6_ngram_jaccard_join, op7_license_scan, op8_lm_score, op9_html_extraction, op10_quality_classifier, op13_merkle_manifest)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_embedding_near_dedup, op3_secret_scan, op4_best_fit_packing, op5_source_mixing, op6_ngram_jaccard_join, op7_license_scan, op8_lm_score, op9_html_extraction, op10_quality_classifier, op12_substring_dedup, op13_merkle_manifest)}
 
 ORACLES: dict[str, str] = {
+    "op12_substring_dedup": """
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM w)),
+        hit AS (SELECT doc_id, i FROM s QUALIFY count(*) OVER (PARTITION BY h) > 1),
+        gone AS (SELECT DISTINCT doc_id, i + unnest(range(35)) AS i FROM hit),
+        word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w),
+        kept AS (SELECT d.doc_id, string_agg(d.x, ' ' ORDER BY d.i) AS t, count(*) AS n FROM word d ANTI JOIN gone g ON d.doc_id = g.doc_id AND d.i = g.i GROUP BY d.doc_id)
+        SELECT w.doc_id, len(w.w)::BIGINT AS n_words, len(w.w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256 FROM w LEFT JOIN kept k ON w.doc_id = k.doc_id
+    """,
     "op13_merkle_manifest": """
         WITH RECURSIVE
         f AS (
