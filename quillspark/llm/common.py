@@ -172,10 +172,11 @@ def chunks(bounds: np.ndarray, most: int = 1 << 19):
         a = b
 
 
-def word_table(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_table(data: np.ndarray, bounds: np.ndarray, lower: bool = True, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of the texts data[bounds[i]:bounds[i+1]]: starts, ends, row, 64-bit hash.
 
-    A word is a run of bytes other than ASCII white space; a row's end also ends it.
+    A word is a run of bytes other than ASCII white space, or than those that
+    ``between`` marks; a row's end also ends it.
     The hash is a polynomial of the bytes and the length, finalised.
     """
     if not len(data):
@@ -183,7 +184,7 @@ def word_table(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tupl
         return none, none, none, np.zeros(0, np.uint64)
     if lower:
         data = _LOWER[data]
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     edges = bounds[:-1][(bounds[:-1] < len(data))]

@@ -17,6 +17,7 @@ from quillspark.llm.op7_licenses import scan_licenses, scan_licenses_sql
 from quillspark.llm.op8_lm_score import lm_score
 from quillspark.llm.op9_html import extract
 from quillspark.llm.op10_quality import quality
+from quillspark.llm.op11_collocations import collocations
 from quillspark.llm.op12_substrings import substring_dedup
 from quillspark.llm.op13_merkle import audited
 
@@ -61,6 +62,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(small_batches(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(small_batches(spark), sf_dir, "documents"))
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(small_batches(spark), sf_dir, "documents"))
 
@@ -69,9 +74,25 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audited(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_embedding_near_dedup, op3_secret_scan, op4_best_fit_packing, op5_source_mixing, op6_ngram_jaccard_join, op7_license_scan, op8_lm_score, op9_html_extraction, op10_quality_classifier, op12_substring_dedup, op13_merkle_manifest)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_embedding_near_dedup, op3_secret_scan, op4_best_fit_packing, op5_source_mixing, op6_ngram_jaccard_join, op7_license_scan, op8_lm_score, op9_html_extraction, op10_quality_classifier, op11_phrase_collocations, op12_substring_dedup, op13_merkle_manifest)}
 
 ORACLES: dict[str, str] = {
+    "op11_phrase_collocations": """
+        WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM d),
+        n AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+        g AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m),
+        f AS (SELECT lang, m, w[i:i + m - 1] AS words, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+        cut AS (
+            SELECT c.lang, c.m, c.words, c.a, k, l.a AS l, r.a AS r, n.n, (1000::HUGEINT * c.a * n.n // (l.a::HUGEINT * r.a)) AS score
+            FROM f c, (SELECT unnest(range(1, 5)) AS k) k, f l, f r, n
+            WHERE c.m > k.k AND l.lang = c.lang AND l.m = k AND l.words = c.words[1:k] AND r.lang = c.lang AND r.m = c.m - k AND r.words = c.words[k + 1:] AND n.lang = c.lang),
+        low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+        inner_ AS (SELECT DISTINCT lang, words[i:i + m - 1] AS words, a FROM (SELECT lang, words, a, m2 AS m, unnest(range(1, f.m - m2 + 2)) AS i FROM f, (SELECT unnest(range(2, 5)) AS m2) WHERE f.m > m2)),
+        kept AS (SELECT * FROM low WHERE NOT EXISTS (SELECT 1 FROM inner_ x WHERE x.lang = low.lang AND x.words = low.words AND 100 * x.a >= 100 * low.a))
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(words, ' ')) AS rank, array_to_string(words, ' ') AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+        FROM kept QUALIFY rank <= 2000
+    """,
     "op12_substring_dedup": """
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
         s AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM w)),
