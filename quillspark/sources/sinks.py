@@ -54,3 +54,11 @@ def restamped(vectors: DataFrame, docs: DataFrame) -> DataFrame:
     """Vectors without a version take their document's."""
     d = docs.select(F.col("id").alias("document_id"), F.col("version").alias("__v"))
     return vectors.join(d, "document_id", "left").withColumn("document_version", F.coalesce("document_version", "__v")).drop("__v")
+
+
+def of_current_versions(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows (document_id, document_version, ...) that were made of the version that
+    ``docs`` (id, version) has now: what a slower writer made of an older one is not to
+    replace it (the check of lost updates)."""
+    now = docs.select(F.col("id").alias("document_id"), F.col("version").cast("int").alias("document_version"))
+    return rows.withColumn("document_version", F.col("document_version").cast("int")).join(now, ["document_id", "document_version"], "left_semi").select(*rows.columns)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,17 +14,32 @@ from pyspark.sql import functions as F
 CHUNKS = 1 << 30
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, ``spark.checkpoint.dir``; where a local session (one
+    machine) names none, one in its warehouse. On a cluster without one: an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+
+
+def own_folder(spark: SparkSession) -> str:
+    """A new place in the shared folder, deleted when the driver ends."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed and stored in the shared folder that ``spark.checkpoint.dir`` names
-    (in a local session without one, in the warehouse), as a plan that begins there."""
+    """``df`` computed and stored in the shared folder, as a plan that begins there; the
+    files are deleted when the driver ends."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(where or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
-    return df.checkpoint()
+    path = own_folder(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
