@@ -34,14 +34,14 @@ def broadcast_if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def index_terms(chunks: DataFrame, fields: dict[str, Sequence[str]]) -> DataFrame:
+def index_terms(chunks: DataFrame, fields: dict[str, Sequence[str]], carry: Sequence[str] = ()) -> DataFrame:
     """(channel, term, chunk_id) of each channel's fields, a row per occurrence, in one
-    pass over the chunks."""
+    pass over the chunks; ``carry`` names further columns of a chunk."""
     kinds = dict(chunks.dtypes)
     body = lambda names: F.concat_ws(" ", *[T.text(F.array_join(f, " ") if kinds[f].startswith("array") else f) for f in names])
     found = F.array(*[F.struct(F.lit(name).alias("channel"), grams(body(names)).alias("terms")) for name, names in fields.items()])
-    one = chunks.select("chunk_id", F.explode(found).alias("f"))
-    return one.select("f.channel", F.explode("f.terms").alias("term"), "chunk_id")
+    one = chunks.select("chunk_id", *carry, F.explode(found).alias("f"))
+    return one.select("f.channel", F.explode("f.terms").alias("term"), "chunk_id", *carry)
 
 
 def postings(chunks: DataFrame, fields: dict[str, Sequence[str]], only: DataFrame | None = None) -> DataFrame:
@@ -102,8 +102,14 @@ def lexical_channels(chunks: DataFrame, queries: DataFrame, fields: dict[str, Se
     terms = query_grams(queries)
     total = chunks.agg(F.count(F.lit(1)).alias("total"))
     found = postings(chunks, fields, only=terms.select("term").distinct())
+    return scored_channels(terms, found, total, limit, keep)
+
+
+def scored_channels(terms: DataFrame, found: DataFrame, total: DataFrame, limit: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Ranked hits of queries' ``terms`` (query_id, term) in postings ``found`` (channel,
+    term, chunk_id, tf) of ``total`` chunks (one row)."""
     df = found.groupBy("channel", "term").agg(F.count("tf").alias("df"))
-    idf = df.crossJoin(total).select("channel", "term", F.pow(F.log10(F.col("total") / F.col("df")), F.lit(2)).alias("idf2"))  # total is one row
+    idf = df.select("channel", "term", F.pow(F.log10(total.scalar() / F.col("df")), F.lit(2)).alias("idf2"))
     scored = terms.join(idf, "term").join(found, ["channel", "term"]).groupBy("channel", "query_id", "chunk_id").agg(F.round(F.sum(F.col("tf") * F.col("idf2")), 8).alias("score"))
     return ranked(keep(scored.where("score > 0")), limit, "channel")
 
@@ -117,12 +123,16 @@ def lexical_channel(chunks: DataFrame, queries: DataFrame, fields: Sequence[str]
 LEXICAL = {"content": ("content", "chapter", "section"), "metadata": ("title", "filename", "tags")}
 
 
+def metadata_text() -> Column:
+    """What the exact channel reads of a chunk beside its content."""
+    return F.lower(F.concat_ws(" ", T.text("title"), T.text("filename"), F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " ")))
+
+
 def exact_channel(chunks: DataFrame, queries: DataFrame, limit: int, terms: int = 8, keep: Callable[[DataFrame], DataFrame] = lambda hits: hits) -> DataFrame:
     """Chunks that hold one of a query's first terms: of four characters or more
     anywhere, shorter ones in title, filename or tags only. Score 1, rank by chunk."""
     q = queries.select("query_id", F.slice(F.filter(T.query_terms("query"), lambda t: F.length(t) >= 2), 1, terms).alias("terms"))
-    meta = F.lower(F.concat_ws(" ", T.text("title"), T.text("filename"), F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " ")))
-    c = chunks.select("chunk_id", F.lower(T.text("content")).alias("__body"), meta.alias("__meta"))
+    c = chunks.select("chunk_id", F.lower(T.text("content")).alias("__body"), metadata_text().alias("__meta"))
     hit = F.exists("terms", lambda t: F.contains(F.col("__meta"), t) | ((F.length(t) >= 4) & F.contains(F.col("__body"), t)))
     found = in_blocks(q, 1000, lambda some: c.join(some, hit).select("query_id", "chunk_id", F.lit(1.0).alias("score")))
     return ranked(keep(found), limit)
@@ -139,10 +149,10 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 def vector_channel(vectors: DataFrame, queries: DataFrame, limit: int, least: float = MIN_COSINE, keep: Callable[[DataFrame], DataFrame] = lambda hits: hits) -> DataFrame:
     """Current vectors (chunk_id, embedding) by cosine with each query's (query_id,
-    vector): the unrounded value decides, the rounded one ranks. Each query scans all
+    vector), those that are no number left out: the unrounded value decides, the rounded one ranks. Each query scans all
     vectors once; the queries, few and small, are the broadcast side."""
     near = cosine("embedding", "vector")
-    search = lambda some: vectors.select("chunk_id", "embedding").join(some, near >= least).select("query_id", "chunk_id", near.alias("c"))
+    search = lambda some: vectors.select("chunk_id", "embedding").join(some, (near >= least) & ~F.isnan(near)).select("query_id", "chunk_id", near.alias("c"))
     scored = in_blocks(queries.select("query_id", "vector"), 1000, search)
     return ranked(keep(scored.select("query_id", "chunk_id", F.round("c", 4).alias("score"))), limit)
 

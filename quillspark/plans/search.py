@@ -14,18 +14,21 @@ from quillspark.operators import conversation as C
 from quillspark.operators import evidence as E
 from quillspark.operators import retrieval as R
 from quillspark.operators.access import User, accessible, matching
+from quillspark.operators.index import Index
 from quillspark.plans.api import chapter_contexts, resolved_scopes
 from quillspark.sources.tables import settled
 
 
 @dataclass
 class Corpus:
-    """What a search reads: ``chunks`` as the search projection has them, and vectors
-    (chunk_id, embedding) that are current."""
+    """What a search reads: ``chunks`` as the search projection has them, vectors
+    (chunk_id, embedding) that are current, and, if there is one, the stored ``index`` of
+    the chunks, which the lexical channels then read in place of their texts."""
 
     chunks: DataFrame
     vectors: DataFrame | None = None
     filters: dict = field(default_factory=dict)
+    index: Index | None = None
 
 
 def search(corpus: Corpus, user: User, queries: DataFrame, limit: int = 12, cap: int = R.CAP, scopes: DataFrame | None = None, most: int = 50) -> DataFrame:
@@ -40,7 +43,11 @@ def search(corpus: Corpus, user: User, queries: DataFrame, limit: int = 12, cap:
     chunks = corpus.chunks.where(accessible(user) & matching(**{"id_col": "document_id", **corpus.filters}))
     n = R.candidate_limit(limit)
     keep = (lambda hits: hits) if scopes is None else R.within(chunks, scopes)
-    channels = {None: R.lexical_channels(chunks, queries, R.LEXICAL, n, keep), "exact": R.exact_channel(chunks, queries, n, keep=keep)}
+    if corpus.index is None:
+        channels = {None: R.lexical_channels(chunks, queries, R.LEXICAL, n, keep), "exact": R.exact_channel(chunks, queries, n, keep=keep)}
+    else:
+        index = corpus.index.pinned()
+        channels = {None: index.lexical_channels(queries, n, chunks, keep), "exact": index.exact_channel(queries, n, allowed=chunks, keep=keep)}
     if corpus.vectors is not None and "vector" in queries.columns:
         channels["vector"] = R.vector_channel(corpus.vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi"), queries, n, keep=keep)
     fused = R.fuse(channels).join(chunks, "chunk_id")

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.operators import access, analytics, audit, chunking, conversation, evidence, retrieval, vectors
 from quillspark.operators.access import User
+from quillspark.operators.index import Index
 from quillspark.plans import search as plans
+from quillspark.plans.indexes import line_index
 from quillspark.sources import sinks, tables
+from quillspark.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -283,12 +286,12 @@ def query_terms(spark, sf):
 
 @registered(lexical_sql("content || ' ' || chapter || ' ' || section"))
 def lexical_topk(spark, sf):
-    return retrieval.lexical_channel(tables.line_chunks(spark, sf), questions(spark), ["content", "chapter", "section"], 96)
+    return line_index(spark, sf).lexical_channels(questions(spark), 96).where("channel = 'content'").drop("channel")
 
 
 @registered(lexical_sql("title || ' ' || filename || ' ' || array_to_string(tags, ' ')"))
 def metadata_topk(spark, sf):
-    return retrieval.lexical_channel(tables.line_chunks(spark, sf), questions(spark), ["title", "filename", "tags"], 96)
+    return line_index(spark, sf).lexical_channels(questions(spark), 96).where("channel = 'metadata'").drop("channel")
 
 
 EXACT = f""", {QUESTIONS_SQL}, {TERMS},
@@ -299,13 +302,16 @@ EXACT = f""", {QUESTIONS_SQL}, {TERMS},
 
 @registered(EXACT + " SELECT * FROM ex WHERE rank <= 96")
 def exact_topk(spark, sf):
-    return retrieval.exact_channel(tables.line_chunks(spark, sf), questions(spark), 96)
+    return line_index(spark, sf).exact_channel(questions(spark), 96)
 
 
-def fused_hits(spark, sf):
-    chunks = tables.line_chunks(spark, sf)
+def fused(index: Index, spark):
     q = questions(spark)
-    return retrieval.fuse({None: retrieval.lexical_channels(chunks, q, retrieval.LEXICAL, 96), "exact": retrieval.exact_channel(chunks, q, 96)})
+    return retrieval.fuse({None: index.lexical_channels(q, 96), "exact": index.exact_channel(q, 96)})
+
+
+def fused_hits(spark, sf):
+    return fused(line_index(spark, sf), spark)
 
 
 FUSED = (
@@ -328,7 +334,7 @@ def rrf_fusion(spark, sf):
 
 
 def ranked_hits(spark, sf):
-    return fused_hits(spark, sf).join(tables.line_chunks(spark, sf), "chunk_id")
+    return fused_hits(spark, sf).join(line_index(spark, sf).projection(), "chunk_id")
 
 
 @registered(FUSED + """, h AS (SELECT f.*, c.document_id, f.rrf / greatest(max(f.rrf) OVER (PARTITION BY query_id), 1e-6) AS s FROM fused f JOIN chunks c USING (chunk_id)),
@@ -363,24 +369,47 @@ def dedupe_topk(spark, sf):
     return retrieval.capped(h, 12, carry=["chunk_id"])
 
 
+def indexed(spark, sf) -> plans.Corpus:
+    """The line chunks as their index has them."""
+    index = line_index(spark, sf)
+    return plans.Corpus(index.projection().withColumn("id", F.col("document_id")), index=index)
+
+
+#: The line chunks after documents went, were replaced and were added.
+CHANGED = """, changed AS (SELECT chunk_id, document_id, CASE WHEN document_id % 11 = 3 THEN 'thing again ' || content ELSE content END AS content, title, filename, tags, chapter, section
+    FROM chunks WHERE document_id % 13 <> 5)"""
+
+
+@registered(CHANGED + FUSED.replace("FROM chunks", "FROM changed").replace("JOIN chunks", "JOIN changed") + " SELECT query_id, chunk_id, rrf, rank FROM fused")
+def fusion_after_changes(spark, sf):
+    """Searching an index whose documents have been added, replaced and removed since."""
+    chunks = tables.line_chunks(spark, sf)
+    index = Index(Store(spark, tables.own_folder(spark)))
+    index.update(chunks.where("document_id % 17 <> 2"))
+    index.update(chunks.where("document_id % 11 = 3").withColumn("content", F.concat(F.lit("thing again "), "content")))
+    index.update(chunks.where("document_id % 17 = 2 AND document_id % 11 <> 3"), gone=chunks.where("document_id % 13 = 5").select("document_id").distinct())
+    index.update(gone=chunks.where("document_id % 13 = 5").select("document_id").distinct())
+    return fused(index.pinned(), spark).select("query_id", "chunk_id", "rrf", "rank")
+
+
 SEEN_FUSED = f", seen AS (SELECT * FROM chunks WHERE {SEEN})" + FUSED.replace("FROM chunks", "FROM seen")
 
 
 @registered(SEEN_FUSED + CAPPED + """ SELECT s.query_id, list_position(ranks, s.rank)::INT AS position, chunk_id, document_id, round(score, 8) AS score
     FROM (SELECT *, rrf / greatest(max(rrf) OVER (PARTITION BY query_id), 1e-6) AS score FROM s) s JOIN taken ON s.query_id = taken.query_id AND list_contains(ranks, s.rank)""")
 def search(spark, sf):
-    hits = plans.search(plans.Corpus(tables.line_chunks(spark, sf).withColumn("id", F.col("document_id"))), ME, questions(spark))
+    hits = plans.search(indexed(spark, sf), ME, questions(spark))
     return hits.select("query_id", "position", "chunk_id", "document_id", F.round("score", 8).alias("score"))
 
 
 def with_vectors(spark, sf):
     """The line chunks with vectors, and every twentieth text of the benchmark as a question."""
     embedder = vectors.hashing_embedder()
-    chunks = tables.line_chunks(spark, sf).withColumn("id", F.col("document_id"))
-    v = vectors.embedded(chunks, embedder, SPACE).select("chunk_id", "embedding")
-    b = tables.read(spark, sf, "benchmark").where(F.col("item_id") % 20 == 0).select(F.col("item_id").alias("chunk_id"), F.lit(1).alias("document_version"), F.substring("text", 1, 120).alias("content"))
+    corpus = indexed(spark, sf)
+    v = vectors.embedded(corpus.chunks, embedder, SPACE).select("chunk_id", "embedding")
+    b = tables.read(spark, sf, "benchmark").where(F.col("item_id") % 20 == 0).select(F.col("item_id").alias("chunk_id"), F.lit(1).alias("document_version"), F.col("text").alias("content"))
     q = vectors.embedded(b, embedder, SPACE).select(F.col("chunk_id"), F.col("embedding").alias("vector")).join(b, "chunk_id")
-    return plans.Corpus(chunks, v), q.select(F.col("chunk_id").cast("string").alias("query_id"), F.col("content").alias("query"), "vector")
+    return plans.Corpus(corpus.chunks, v, index=corpus.index), q.select(F.col("chunk_id").cast("string").alias("query_id"), F.col("content").alias("query"), "vector")
 
 
 @registered()
@@ -393,12 +422,12 @@ def hybrid_search(spark, sf):
 
 @registered()
 def extractive_answers(spark, sf):
-    return plans.ask(plans.Corpus(tables.line_chunks(spark, sf).withColumn("id", F.col("document_id"))), User(1, "system_admin"), asked(spark))["answers"]
+    return plans.ask(indexed(spark, sf), User(1, "system_admin"), asked(spark))["answers"]
 
 
 @registered()
 def evidence_pack(spark, sf):
-    return plans.ask(plans.Corpus(tables.line_chunks(spark, sf).withColumn("id", F.col("document_id"))), User(1, "system_admin"), asked(spark))["evidence"]
+    return plans.ask(indexed(spark, sf), User(1, "system_admin"), asked(spark))["evidence"]
 
 
 # ---- evidence ----------------------------------------------------------------------
