@@ -147,12 +147,49 @@ def recognised_pages(ranges: DataFrame, recognise: Callable[[str, int, int], lis
     return got.withColumn("text", T.recognised("text")).where(F.col("text") != "")
 
 
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, filename) of the files under ``path``; no file is opened."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    return f.withColumn("filename", T.repaired_filename(F.regexp_replace("path", r"^.*/", "")))
+
+
+def identified(spark: SparkSession, path: str, known: DataFrame, lengths: int = 1000) -> DataFrame:
+    """Which files under ``path`` are new, in two phases (S12): (path, filename, length,
+    sha256, known_id, same_as).
+
+    Lengths are listed first. Only files of a length that a known file (id, file_size,
+    sha256) or another one here has are read and hashed; the rest are new as they are and
+    have no ``sha256``. ``known_id`` is the known file of the same bytes (of several the
+    least), ``same_as`` the first path here of the same bytes, where that is another. The
+    scan that hashes is told the lengths, up to so many; beyond, a join does the work.
+    """
+    meta = listed(spark, path)
+    twice = meta.groupBy("length").count().where("count > 1").select("length")
+    suspects = meta.select("length").distinct().join(known.select(F.col("file_size").cast("long").alias("length")), "length", "left_semi").unionByName(twice).distinct()
+    few = [r[0] for r in suspects.limit(lengths + 1).collect()]
+    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    if len(few) <= lengths:
+        wanted = F.lit(False)
+        for n in few:
+            wanted = wanted | (F.col("length") == n)
+        content = content.where(wanted)
+    else:
+        content = content.join(suspects, "length", "left_semi")
+    hashes = content.select("path", F.sha2("content", 256).alias("sha256"))
+    k = known.groupBy(F.col("file_size").cast("long").alias("length"), "sha256").agg(F.min("id").alias("known_id"))
+    got = meta.join(hashes, "path", "left").join(k, ["length", "sha256"], "left")
+    first = got.where("sha256 IS NOT NULL").groupBy("length", "sha256").agg(F.min("path").alias("__first"))
+    got = got.join(first, ["length", "sha256"], "left").withColumn("same_as", F.when(F.col("__first") != F.col("path"), F.col("__first")))
+    return got.select("path", "filename", "length", "sha256", "known_id", "same_as")
+
+
 def new_files(f: DataFrame, known: DataFrame) -> DataFrame:
     """Files whose bytes no known file has: by length and SHA-256 (S12). ``known``:
-    file_size, sha256."""
+    file_size, sha256. Of several with the same bytes the first path stays."""
     h = f.withColumn("sha256", F.sha2("content", 256))
     k = known.select(F.col("file_size").alias("length"), "sha256")
-    return h.join(k, ["length", "sha256"], "left_anti").dropDuplicates(["length", "sha256"])
+    first = h.groupBy("length", "sha256").agg(F.min("path").alias("path"))
+    return h.join(k, ["length", "sha256"], "left_anti").join(first, ["length", "sha256", "path"], "left_semi")
 
 
 def query(spark: SparkSession, statement: str, **args) -> DataFrame:

@@ -1,5 +1,7 @@
 """Searching within scopes, conversations, ingest, jobs and the checks of arguments."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,7 +124,7 @@ def test_ingest(spark, tmp_path):
     got = ingest(spark, str(tmp_path), 3, known, layer=lambda b: ["PDF 的第一页内容也需要有足够的长度才能成为一个可以检索的片段，因此这里多写几句话来说明。"])
     report = {r.filename: r.problem for r in got["report"].collect()}
     assert sorted(k for k, v in report.items() if v is None) == sorted(["b.md", "e.pdf", *[k for k in ("a_教程.txt", "same.txt") if report[k] is None]])
-    assert report["d.exe"] and report["c.txt"] == "encoding" and sorted([report["a_教程.txt"] or "", report["same.txt"] or ""]) == ["", "known"]
+    assert report["d.exe"] and report["c.txt"] == "encoding" and (report["a_教程.txt"], report["same.txt"]) == (None, "repeated")
     docs = {r.filename: r for r in got["documents"].collect()}
     assert docs["b.md"].id == 7 and docs["b.md"].version == 5 and len({d.id for d in docs.values()}) == 3 and min(d.id for n, d in docs.items() if n != "b.md") == 8
     assert all(d.status == "ready" for d in docs.values())
@@ -131,6 +133,49 @@ def test_ingest(spark, tmp_path):
     assert got["projection"].count() == len(chunks)
 
 
+def test_every_file_is_accounted_for(spark, tmp_path):
+    text = lambda k: f"第{k}章 概述\n" + f"这一章的第{k}部分介绍系统的组成以及它们之间的关系。" * 6
+    for name, body in (("x/notes.txt", text(1)), ("y/notes.txt", text(2)), ("y/copy.txt", text(1)), ("z/plan.md", text(3)), ("z/mine.txt", text(4)), ("z/theirs.txt", text(5)), ("z/twice.txt", text(6))):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(body, "utf-8")
+    sha = lambda k: hashlib.sha256(text(k).encode()).hexdigest()
+    size = lambda k: len(text(k).encode())
+    known = [(4, "plan.md", 3, 2, 1, "0" * 64), (5, "old.txt", 3, 6, size(4), sha(4)), (6, "theirs.txt", 8, 1, size(5), sha(5)), (7, "twice.txt", 3, 1, 1, "1" * 64), (8, "twice.txt", 3, 1, 2, "2" * 64)]
+    known = spark.createDataFrame(known, "id long, filename string, owner_id long, version int, file_size long, sha256 string")
+    got = ingest(spark, str(tmp_path), 3, known)
+    report = {r.path.split(str(tmp_path) + "/")[1]: r for r in got["report"].collect()}
+    assert len(report) == 7
+    assert {k for k, r in report.items() if r.problem is None} == {"x/notes.txt", "y/notes.txt", "z/plan.md", "z/theirs.txt", "z/twice.txt"}
+    assert report["y/copy.txt"].problem == "repeated" and report["y/copy.txt"].same_as.endswith("x/notes.txt")
+    assert (report["z/mine.txt"].problem, report["z/mine.txt"].document_id, report["z/mine.txt"].version) == ("known", 5, 6)
+    assert (report["z/plan.md"].document_id, report["z/plan.md"].version) == (4, 3)
+    new = [report[k].document_id for k in ("x/notes.txt", "y/notes.txt", "z/theirs.txt", "z/twice.txt")]
+    assert sorted(new) == [9, 10, 11, 12] and all(report[k].version == 1 for k in ("x/notes.txt", "y/notes.txt"))
+    docs = {d.id: d for d in got["documents"].collect()}
+    assert set(docs) == {4, *new} and [docs[i].filename for i in new[:2]] == ["notes.txt", "notes.txt"]
+    assert {c.document_id for c in got["chunks"].collect()} == set(docs)
+    other = ingest(spark, str(tmp_path), 8, known)["report"].where("problem is null")
+    assert other.where("filename = 'theirs.txt'").count() == 0 and other.count() == 5
+
+
+def test_files_are_identified_in_two_phases(spark, tmp_path):
+    for name, body in (("a/one.txt", "same bytes"), ("b/two.txt", "same bytes"), ("c.txt", "same_bytes"), ("d.txt", "of its own length"), ("e.txt", "known!!")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(body)
+    h = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    known = spark.createDataFrame([(3, 7, h("known!!")), (2, 7, h("known!!")), (1, 17, h("another of length"))], "id long, file_size long, sha256 string")
+    for most in (1000, 0):  # with the lengths told to the scan, and by a join
+        got = {r.path.split("/")[-1]: r for r in readers.identified(spark, str(tmp_path), known, most).collect()}
+        assert got["two.txt"].same_as.endswith("a/one.txt") and got["one.txt"].same_as is None and got["c.txt"].same_as is None
+        assert got["one.txt"].sha256 == h("same bytes") and got["e.txt"].known_id == 2 and got["d.txt"].known_id is None
+    alone = readers.identified(spark, str(tmp_path), known.where("file_size = 7"))
+    assert alone.where("filename = 'd.txt' and sha256 is null").count() == 1
+    plan = readers.listed(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan
+    scans = [x for x in alone._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan binaryFile" in x]
+    assert all("EqualTo(length" in x or "content" not in x.split("Batched")[0] for x in scans) and any("content" not in x.split("Batched")[0] for x in scans)
+
+
 def test_jobs(spark, tmp_path):
     tables, out = tmp_path / "tables", tmp_path / "out"
     pages = [(1, 1, f"第一章 概述\n{'这是本章的正文内容。' * 12}"), (1, 2, f"广告 http://x.com\n{'正文继续进行说明。' * 12}")]
