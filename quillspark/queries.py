@@ -12,7 +12,7 @@ from quillspark.operators import access, analytics, audit, chunking, conversatio
 from quillspark.operators.access import User
 from quillspark.operators.index import Index
 from quillspark.plans import search as plans
-from quillspark.plans.indexes import line_index
+from quillspark.plans.indexes import line_index, vector_index
 from quillspark.sources import sinks, tables
 from quillspark.sources.store import Store
 
@@ -252,9 +252,25 @@ def structure_counts(spark, sf):
                row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) DESC, e.vec_id) AS rank
         FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) >= 0.35) WHERE rank <= 96""", views=False)
 def vector_topk(spark, sf):
-    e = tables.read(spark, sf, "embeddings")
-    q = e.where("vec_id % 20 = 0").select(F.concat(F.lit("v"), "vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return retrieval.vector_channel(e.select(F.col("vec_id").alias("chunk_id"), "embedding"), q, retrieval.candidate_limit(12))
+    return vector_index(spark, sf).search(vector_questions(spark, sf), retrieval.candidate_limit(12))
+
+
+def vector_questions(spark, sf):
+    """Every twentieth vector as a question."""
+    e = tables.read(spark, sf, "embeddings").where("vec_id % 20 = 0")
+    return e.select(F.concat(F.lit("v"), "vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@registered("""SELECT count(*) AS neighbours, true AS enough FROM (
+        SELECT row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) DESC, e.vec_id) AS rank
+        FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) >= 0.35) WHERE rank <= 10""", views=False)
+def vector_recall(spark, sf):
+    """Whether probing some lists only finds 0.9 of the ten nearest vectors of all questions."""
+    index, q = vector_index(spark, sf), vector_questions(spark, sf)
+    truth = index.search(q, 10).select("query_id", "chunk_id")
+    found = index.search(q, 10, probes=index.probes_for(0.95)).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    both = truth.join(found, ["query_id", "chunk_id"], "left")
+    return both.agg(F.count(F.lit(1)).alias("neighbours"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough"))
 
 
 @registered("SELECT chunk_id, sha256(content) AS content_hash, 64 AS dims, true AS unit FROM chunks")
