@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import catalogue as K
 from quillspark.functions import text as T
-from quillspark.operators.retrieval import cosine, in_blocks
+from quillspark.operators.matching import holding
+from quillspark.operators.retrieval import cosine
 
 LEANING = ("contextual_query", "follow_up", "explain_previous", "continue_previous")
 
@@ -132,34 +133,41 @@ def rewritten(turns: DataFrame) -> DataFrame:
 def named_documents(queries: DataFrame, docs: DataFrame, user_id: int) -> DataFrame:
     """Documents that a question names (J9): a subject's name in question and title, or
     the title's core (4 characters or more) in the question; the user's own where any is.
-    (query_id, document_id). Questions are broadcast a thousand at a time."""
-    q = queries.select("query_id", T.normalized("query").alias("__q"))
-    d = docs.select(F.col("id").alias("document_id"), "owner_id", T.normalized("title").alias("__t"), T.core_title("title").alias("__c"))
-    hit = (F.length("__c") >= 4) & F.contains(F.col("__q"), F.col("__c"))
-    for name in ("计算机网络", "计算机组成原理", "操作系统", "数据结构"):
-        hit |= F.contains(F.col("__q"), F.lit(name)) & F.contains(F.col("__t"), F.lit(name))
-    got = in_blocks(q, 1000, lambda some: d.join(some, hit))
+    (query_id, document_id). Titles meet the questions that hold their rarest stretch of
+    four characters; equal ones do so once."""
+    q = queries.select("query_id", T.normalized("query").alias("text")).withColumn("text_id", F.col("query_id"))
+    d = docs.select(F.col("id").alias("document_id"), "owner_id", T.normalized("title").alias("__t"), T.core_title("title").alias("phrase"))
+    by_title = holding(q, d.select("phrase"), 4).join(d, "phrase").select(F.col("text_id").alias("query_id"), "document_id", "owner_id")
+    named = lambda c: F.explode(F.filter(F.array(*[F.lit(n) for n in K.SUBJECTS]), lambda n: F.contains(F.col(c), n))).alias("subject")
+    by_subject = q.select("query_id", named("text")).join(d.select("document_id", "owner_id", named("__t")), "subject").select("query_id", "document_id", "owner_id")
+    got = by_title.unionByName(by_subject).distinct()
     own = F.max((F.col("owner_id") == user_id).cast("int")).over(Window.partitionBy("query_id")) == 1
-    return got.withColumn("__own", own).where(~F.col("__own") | (F.col("owner_id") == user_id)).select("query_id", "document_id")
+    return got.withColumn("__own", own).where(~F.coalesce("__own", F.lit(False)) | (F.col("owner_id") == user_id)).select("query_id", "document_id")
 
 
 def mentioned_bases(queries: DataFrame, bases: DataFrame) -> DataFrame:
     """The base that a question names (T5): of those whose name it holds next to the word
     for a base, the one of the longest name, then the latest; else the only one whose
     name holds what the question calls a base. (query_id, kb_id). ``bases``: id, name,
-    those that the user may see."""
+    those that the user may see. Names and questions meet by stretches of characters that
+    they share."""
     word = F.lit("知识库")
-    q = queries.select("query_id", T.compact("query").alias("__q"))
-    alias = F.coalesce(T.extract("__q", K.BASE_IN), T.extract("__q", K.BASE_FROM), T.extract("__q", K.BASE_LEADING))
-    q = q.withColumn("__alias", alias)
-    b = bases.select(F.col("id").alias("kb_id"), T.compact(T.text("name")).alias("__n")).where(F.col("__n") != "")
-    named = F.when(F.contains("__n", word), F.contains("__q", F.col("__n"))).otherwise(F.contains("__q", F.concat("__n", word)) | F.contains("__q", F.concat(word, "__n")))
-    called = (F.length("__alias") >= 2) & F.contains("__n", F.col("__alias"))
-    hit = in_blocks(q, 1000, lambda some: b.join(some, named | F.coalesce(called, F.lit(False))).withColumn("__named", named))
+    q = queries.select("query_id", T.compact("query").alias("text")).withColumn("text_id", F.col("query_id"))
+    b = bases.select(F.col("id").alias("kb_id"), T.compact(T.text("name")).alias("name")).where(F.col("name") != "")
+    spoken = F.when(F.contains("name", word), F.array("name")).otherwise(F.array(F.concat("name", word), F.concat(word, "name")))
+    said = b.select("kb_id", "name", F.explode(spoken).alias("phrase"))
+    by_name = holding(q, said, 3).join(said, "phrase").select(F.col("text_id").alias("query_id"), "kb_id", "name", F.lit(True).alias("named"))
+
+    alias = F.coalesce(T.extract("text", K.BASE_IN), T.extract("text", K.BASE_FROM), T.extract("text", K.BASE_LEADING))
+    calls = q.select("query_id", alias.alias("phrase"))
+    names = b.select("name").distinct().select(F.col("name").alias("text_id"), F.col("name").alias("text"))
+    by_call = holding(names, calls, 2).join(calls, "phrase").join(b, F.col("text_id") == F.col("name")).select("query_id", "kb_id", "name", F.lit(False).alias("named"))
+
+    h = by_name.unionByName(by_call).groupBy("query_id", "kb_id", "name").agg(F.max("named").alias("named"))
     w = Window.partitionBy("query_id")
-    h = hit.withColumns({"__any": F.bool_or("__named").over(w), "__n_called": F.count(F.lit(1)).over(w)})
-    h = h.where(F.when(F.col("__any"), F.col("__named")).otherwise(F.col("__n_called") == 1))
-    return h.withColumn("__rn", F.row_number().over(w.orderBy(F.desc(F.length("__n")), F.desc("kb_id")))).where(F.col("__rn") == 1).select("query_id", "kb_id")
+    h = h.withColumns({"__any": F.bool_or("named").over(w), "__n": F.count(F.lit(1)).over(w)})
+    h = h.where(F.when(F.col("__any"), F.col("named")).otherwise(F.col("__n") == 1))
+    return h.withColumn("__rn", F.row_number().over(w.orderBy(F.desc(F.length("name")), F.desc("kb_id")))).where(F.col("__rn") == 1).select("query_id", "kb_id")
 
 
 STATE = "version int, originalQuery string, scope string, documentIds array<long>, generation int, evidence array<struct<chunk_id:long,content:string>>"

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import retrieval as R
+from quillspark.operators.matching import pieces
 from quillspark.sources.store import Snapshot, Store
 
 #: Parts of postings and grams, by hash of the term or gram; fixed for the life of an index.
@@ -31,12 +32,6 @@ RAREST = 2
 HAN = r"^[\x{4e00}-\x{9fff}]+$"
 
 
-def pieces(term: Column, size: int) -> Column:
-    """The distinct stretches of ``size`` characters of a term; none if it is shorter."""
-    n = F.length(term) - size + 1
-    return F.when(n < 1, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(term, i, F.lit(size)))))
-
-
 class Index:
     """The index of the chunks of a corpus, kept in a ``Store``."""
 

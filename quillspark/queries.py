@@ -428,6 +428,21 @@ def with_vectors(spark, sf):
     return plans.Corpus(corpus.chunks, v, index=corpus.index), q.select(F.col("chunk_id").cast("string").alias("query_id"), F.col("content").alias("query"), "vector")
 
 
+NORMAL = "regexp_replace(lower({}), '[\\s_()（）【】\\[\\]·.,，。:：-]+', '', 'g')"
+#: Titles of which some name a subject, and a question about every twentieth document.
+TITLED, ASKS = "CASE WHEN id % 7 = 0 THEN '操作系统 ' || title ELSE title END", "CASE WHEN id % 3 = 0 THEN '操作系统与 ' ELSE 'about ' END || title || ' please'"
+
+
+@registered(f""", q AS (SELECT 'n' || id AS query_id, {NORMAL.format(ASKS)} AS q FROM docs WHERE id % 20 = 0),
+    d AS (SELECT id, owner_id, t, regexp_replace(regexp_replace(t, '(?:19|20)[0-9][0-9]', '', 'g'), '[0-9]+', '', 'g') AS c FROM (SELECT id, owner_id, {NORMAL.format(TITLED)} AS t FROM docs)),
+    hit AS (SELECT query_id, id, owner_id FROM q JOIN d ON (length(c) >= 4 AND contains(q, c)) OR (contains(q, '操作系统') AND contains(t, '操作系统')))
+    SELECT query_id, id AS document_id FROM hit QUALIFY owner_id = 3 OR NOT bool_or(owner_id = 3) OVER (PARTITION BY query_id)""")
+def named_documents(spark, sf):
+    d = tables.documents(spark, sf)
+    q = d.where("id % 20 = 0").select(F.concat(F.lit("n"), "id").alias("query_id"), F.expr(ASKS).alias("query"))
+    return conversation.named_documents(q, d.select("id", "owner_id", F.expr(TITLED).alias("title")), ME.id)
+
+
 @registered()
 def hybrid_search(spark, sf):
     """All four channels over all chunks: passages of the benchmark as questions."""
