@@ -295,11 +295,6 @@ def lexical_sql(fields: str) -> str:
     SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 96"""
 
 
-@registered(f", {QUESTIONS_SQL}, {TERMS} SELECT query_id, list_sort(t) AS terms FROM terms")
-def query_terms(spark, sf):
-    return questions(spark).select("query_id", F.array_sort(T.query_terms("query")).alias("terms"))
-
-
 @registered(lexical_sql("content || ' ' || chapter || ' ' || section"))
 def lexical_topk(spark, sf):
     return line_index(spark, sf).lexical_channels(questions(spark), 96).where("channel = 'content'").drop("channel")
@@ -631,36 +626,99 @@ def rewritten_questions(spark, sf):
     return t.select("conv_id", "turn", "intent", "rewritten", "applied", "reason", "entities")
 
 
-# ---- worked examples: the tables hold no Chinese, which these operators are about ------
+# ---- Chinese questions and lines: phrases put into the messages of conversations ----------
 
 
-def worked(name: str, of: Callable, cases: list[tuple]) -> None:
-    """Register ``of`` (a column of a column) over texts with what each should give: the
-    SQL states the results."""
-    told = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"{v}::DOUBLE" if isinstance(v, float) else str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
+def phrased(name: str, of: Callable, phrases: list[str], rule: str, steps: str = "") -> None:
+    """Register ``of`` (a column of a column) over all messages, each of which begins with
+    one of ``phrases`` and, every fourth, goes on with its own text. ``rule`` is the same of
+    ``t`` in SQL, after ``steps``, tables that begin with ``said`` (conv_id, turn, t)."""
+    place = "pmod(conv_id * 7 + turn * 5, {n})"
+    listed = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in phrases) + "]"
 
     def run(spark, sf):
-        rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "example int, text string")
-        return rows.select("example", of(F.col("text")).alias("result"))
+        m = tables.read(spark, sf, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL")
+        own = F.when(F.col("turn") % 4 == 3, T.text("text")).otherwise("")
+        phrase = F.element_at(F.array(*[F.lit(x) for x in phrases]), (F.expr(place.format(n=len(phrases))) + 1).cast("int"))
+        return m.select("conv_id", "turn", F.concat(phrase, own).alias("t")).select("conv_id", "turn", of(F.col("t")).alias("result"))
 
     run.__name__ = name
-    registered("SELECT * FROM (VALUES " + ", ".join(f"({i}, {told(c[1])})" for i, c in enumerate(cases)) + ") v(example, result)", views=False)(run)
-
-
-worked("intents_after_answers", lambda c: conversation.intent(c, F.lit(True)), [
-    ("总结一下", "summarize_previous"), ("继续", "continue_previous"), ("为什么", "explain_previous"), ("换种说法", "refinement"), ("它的作用", "follow_up"), ("第三章", "contextual_query"),
-    ("概括全书的整体框架", "overview"), ("虚拟内存由哪些部分组成", "new_query"), ("", "new_query"),
-])
-worked("intents_of_first_questions", lambda c: conversation.intent(c, F.lit(False)), [("继续", "new_query"), ("这本书的目录", "overview"), ("为什么", "new_query")])
-worked("explicit_scopes", conversation.explicit_scope, [("第三章有哪些内容", "chapter_overview"), ("全书框架", "document_overview"), ("第2点", "local"), ("虚拟内存", None), ("资料中是否提到缓存", "local")])
-worked("document_inventories", conversation.asks_for_documents, [("列出全部文档", True), ("文档的内容", False), ("知识库里有多少份资料", True), ("你好", False)])
-worked("base_inventories", conversation.asks_for_bases, [("有哪些知识库", True), ("知识库简介", False), ("文档清单", False)])
-worked("base_profiles", conversation.asks_for_profile, [("知识库简介", True), ("有哪些知识库", False)])
-worked("numerals", T.numeral, [("二十三", 23), ("十", 10), ("百", None), ("7", 7), ("九十九", 99), ("零", 0)])
-worked("chapter_headings", T.chapter_heading, [(" 第 三 章 内存", "第3章"), ("第一百章", "第一百章"), ("章节", None), ("第12章", "第12章")])
-worked("section_headings", T.section_heading, [("3.1.2  虚拟内存 概念", "3.1.2 虚拟内存 概念"), ("3 虚拟", None)])
-worked("contents_pages", T.looks_like_toc, [("第1章 a....12\n1.1 b....3\nc\nd", True), ("a\nb\nc", False)])
-worked("quality_of_short_texts", lambda c: F.round(T.quality_score(c), 6), [("", 0.0), ("内存管理", 1.0)])
+    said = f"said AS (SELECT conv_id, turn, {listed}[(conv_id * 7 + turn * 5) % {len(phrases)} + 1] || CASE WHEN turn % 4 = 3 THEN coalesce(text, '') ELSE '' END AS t FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)"
+    registered(f"WITH {said}, c AS (SELECT *, regexp_replace(t, '[\\s\\x{{0b}}]+', '', 'g') AS q FROM said){steps} SELECT conv_id, turn, {rule} AS result FROM {'r' if steps else 'c'}", views=False)(run)
+
+
+def has(column: str, *patterns: str) -> str:
+    """Whether one of the patterns is found in a column, in SQL."""
+    return "(" + " OR ".join(f"regexp_matches({column}, '{p.replace('(?U:', '(?:')}')" for p in patterns) + ")"
+
+
+def numeral_sql(x: str) -> str:
+    digits = "['零', '一', '二', '三', '四', '五', '六', '七', '八', '九']"
+    at = lambda part: f"(list_position({digits}, {part}) - 1)"
+    tens = "^([一二三四五六七八九]?)十([一二三四五六七八九]?)$"
+    left, right = f"regexp_extract({x}, '{tens}', 1)", f"regexp_extract({x}, '{tens}', 2)"
+    return f"CASE WHEN regexp_matches({x}, '^[0-9]+$') THEN TRY_CAST({x} AS INT) WHEN regexp_matches({x}, '{tens}') THEN CASE WHEN {left} = '' THEN 1 ELSE {at(left)} END * 10 + CASE WHEN {right} = '' THEN 0 ELSE {at(right)} END ELSE {at(x)} END::INT"
+
+
+K = T.K
+AFTER_SQL = " ".join(f"WHEN {has('q', *p)} THEN '{name}'" for name, p in (("summarize_previous", K.SUMMARIZE), ("continue_previous", K.CONTINUE), ("explain_previous", K.EXPLAIN), ("refinement", K.REFINEMENT), ("follow_up", K.FOLLOW_UP), ("contextual_query", [*K.CONTEXTUAL, K.THIS_CHAPTER])))
+FIRST_SQL = f"WHEN {has('q', *K.OVERVIEW)} THEN 'overview' ELSE 'new_query' END"
+SAYINGS = [
+    "总结一下", "继续", "为什么", "换种说法", "它的作用", "第三章", "概括全书的整体框架", "虚拟内存由哪些部分组成", "", "请用三句话概括", "第2点呢", "本章有哪些重点", "那它们有什么区别",
+    "还有呢", "更详细一点", "这本书的目录", "请总结刚才的内容", "只列重点", "梳理第十二章", "每章讲什么", "请 继续", "改成表格", "thing",
+]
+phrased("intents_after_answers", lambda c: conversation.intent(c, F.lit(True)), SAYINGS, f"CASE {AFTER_SQL} {FIRST_SQL}")
+phrased("intents_of_first_questions", lambda c: conversation.intent(c, F.lit(False)), SAYINGS, f"CASE {FIRST_SQL}")
+POINT_SQL = f"regexp_extract(q, '{K.ORDINAL}', 1)"
+phrased(
+    "explicit_scopes", conversation.explicit_scope,
+    ["第三章有哪些内容", "全书框架", "第2点", "虚拟内存", "资料中是否提到缓存", "第十条", "第0项", "第十一点", "有多少种算法", "如何分配", "总结第4章", "目录", "是否说明了步骤", ""],
+    f"CASE WHEN (regexp_matches({POINT_SQL}, '^[0-9]+$') AND TRY_CAST({POINT_SQL} AS INT) > 0) OR {POINT_SQL} IN ('一', '二', '三', '四', '五', '六', '七', '八', '九', '十') OR {has('q', K.EXISTENCE)} THEN 'local' "
+    f"WHEN {has('q', K.CHAPTER)} AND {has('q', *K.OVERVIEW)} THEN 'chapter_overview' WHEN {has('q', *K.OVERVIEW)} THEN 'document_overview' WHEN {has('q', K.ENUMERATION, K.HOW_WHAT)} THEN 'local' END",
+)
+LISTS = ["列出全部文档", "文档的内容", "知识库里有多少份资料", "你好", "有哪些知识库", "知识库简介", "文档清单", "介绍一下知识库的内容", "当前知识库有哪些文件", "知识库概览有哪些", "多少类文档", "知识库名称列表", "资料 列表", ""]
+PROFILE_SQL = f"(contains(q, '知识库') AND {has('q', K.PROFILE_CUE)} AND NOT {has('q', K.PROFILE_LIST)})"
+phrased("document_inventories", conversation.asks_for_documents, LISTS, f"{has('q', K.INVENTORY_NOUN)} AND NOT {has('q', K.INVENTORY_CONTENT)} AND {has('q', *K.INVENTORY)}")
+phrased("base_inventories", conversation.asks_for_bases, LISTS, f"contains(q, '知识库') AND NOT {has('q', K.INVENTORY_NOUN)} AND NOT {PROFILE_SQL} AND {has('q', K.BASE_CUE, K.BASE_CONTENTS)}")
+phrased("base_profiles", conversation.asks_for_profile, LISTS, PROFILE_SQL)
+phrased("numerals", T.numeral, ["二十三", "十", "百", "7", "九十九", "零", "十五", "六十", "042", "一百", "二", "99999999999", ""], numeral_sql("t"))
+#: A line with single blanks and none around it.
+LINE_SQL = "regexp_replace(regexp_replace({}, '[ \\t]+', ' ', 'g'), '^[\\s\\x{{0b}}]+|[\\s\\x{{0b}}]+$', '', 'g')"
+HEADING_SQL = f"regexp_extract({LINE_SQL.format('t')}, '{K.CHAPTER_HEADING.replace('(?U:', '(?:')}', 1)"
+phrased(
+    "chapter_headings", T.chapter_heading, [" 第 三 章 内存", "第一百章 ", "章节", "第12章", "第十二章：", "见第二章", "第零章", "第 9\t章 x", "3.1 第三章"],
+    f"CASE WHEN {HEADING_SQL} <> '' THEN '第' || coalesce(({numeral_sql(HEADING_SQL)})::VARCHAR, {HEADING_SQL}) || '章' END",
+)
+SECTION = K.SECTION_NUMBER.replace("(?U:", "(?:").replace("IsHan", "Han")
+SECTION_SQL = lambda k: f"regexp_extract({LINE_SQL.format('t')}, '{SECTION}', {k})"
+phrased(
+    "section_headings", T.section_heading, ["3.1.2  虚拟内存 概念", "3 虚拟", "12.4 、Cache 结构。说明", "1.1 x", "0.1 零", "2.10: 页表", "7.3. 段", "第1章 1.2 概述", "4.5\t换页 算法 "],
+    f"CASE WHEN {has(LINE_SQL.format('t'), SECTION)} THEN {LINE_SQL.format(SECTION_SQL(1) + chr(32) + '||' + chr(32) + repr(' ') + ' || ' + SECTION_SQL(2))} END",
+)
+phrased(
+    "contents_pages", T.looks_like_toc,
+    ["第1章 a....12\n1.1 b....3\nc\nd\n", "a\nb\nc\n", "1.1 x\n1.2 y\n2.1 z\nplain\n", "1.1 x\n1.2 y\n" + "这一行说明了系统的各个组成部分以及它们之间的关系，并且足够长，可以算作正文。\n" * 2, "目录……3\n\n 绪论…… 4 \nx\ny\n"],
+    "len(l) >= 4 AND (leaders >= 2 OR (outline / len(l) >= 0.45 AND prose / len(l) < 0.2))",
+    f""", l AS (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(t, '\\r?\\n'), lambda x: {LINE_SQL.format('x')}), lambda x: x <> '') AS l FROM c),
+    r AS (SELECT *, len(list_filter(l, lambda x: {has('x', K.LEADER)})) AS leaders, len(list_filter(l, lambda x: {has('x', K.OUTLINE)})) AS outline, len(list_filter(l, lambda x: length(x) >= 36 AND {has('x', K.PROSE_END)})) AS prose FROM l)""",
+)
+phrased(
+    "quality_of_short_texts", lambda c: F.round(T.quality_score(c), 6), ["", "内存管理", "a b c", "页 x 表", "��内存", "...", "12 ab", "x"], "round(score, 6)",
+    QUALITY[QUALITY.index("q AS") :].replace("q AS", ", w AS").replace("id, text", "conv_id, turn, t").replace("(text,", "(t,").replace("FROM docs", "FROM c").replace("s AS (", "r AS (").replace("FROM q)", "FROM w)"),
+)
+
+
+def _without_words(x: str, words: list[str]) -> str:
+    for w in words:
+        x = f"replace({x}, '{w}', ' ')"
+    return x
+
+
+phrased(
+    "query_terms", lambda c: F.array_sort(T.query_terms(c)), ["请介绍一下虚拟内存", "计组 的Cache_1", "内存", "页", "x86 与 ARM64 的区别", "", "总结数据结构B树"],
+    "list_sort(list_distinct(flatten([CASE WHEN regexp_full_match(x, '[\\x{4e00}-\\x{9fff}]{4,}') THEN [x] || [x[i:i+1] FOR i IN range(1, length(x))] ELSE [x] END FOR x IN runs])))",
+    f""", r AS (SELECT conv_id, turn, regexp_extract_all({_without_words("replace(lower(t), '计组', '" + K.ALIASES['计组'] + "')", K.INTENT_WORDS)}, '[a-z0-9_]+|[\\x{{4e00}}-\\x{{9fff}}]+') AS runs FROM c)""",
+)
 
 
 # ---- audits ------------------------------------------------------------------------

@@ -118,3 +118,29 @@ def test_rewriting(spark):
     assert got[2, 3].rewritten == "介绍第三章内容\n追问：第三章"
     assert got[2, 5].rewritten == "独立的问题" and not got[2, 5].applied
     assert got[1, 1].reason == "not_needed"
+
+
+WORKED = {
+    "intents_after_answers": (lambda c: C.intent(c, F.lit(True)), [
+    ("总结一下", "summarize_previous"), ("继续", "continue_previous"), ("为什么", "explain_previous"), ("换种说法", "refinement"), ("它的作用", "follow_up"), ("第三章", "contextual_query"),
+    ("概括全书的整体框架", "overview"), ("虚拟内存由哪些部分组成", "new_query"), ("", "new_query"),
+]),
+    "intents_of_first_questions": (lambda c: C.intent(c, F.lit(False)), [("继续", "new_query"), ("这本书的目录", "overview"), ("为什么", "new_query")]),
+    "explicit_scopes": (C.explicit_scope, [("第三章有哪些内容", "chapter_overview"), ("全书框架", "document_overview"), ("第2点", "local"), ("虚拟内存", None), ("资料中是否提到缓存", "local")]),
+    "document_inventories": (C.asks_for_documents, [("列出全部文档", True), ("文档的内容", False), ("知识库里有多少份资料", True), ("你好", False)]),
+    "base_inventories": (C.asks_for_bases, [("有哪些知识库", True), ("知识库简介", False), ("文档清单", False)]),
+    "base_profiles": (C.asks_for_profile, [("知识库简介", True), ("有哪些知识库", False)]),
+    "numerals": (T.numeral, [("二十三", 23), ("十", 10), ("百", None), ("7", 7), ("九十九", 99), ("零", 0)]),
+    "chapter_headings": (T.chapter_heading, [(" 第 三 章 内存", "第3章"), ("第一百章", "第一百章"), ("章节", None), ("第12章", "第12章")]),
+    "section_headings": (T.section_heading, [("3.1.2  虚拟内存 概念", "3.1.2 虚拟内存 概念"), ("3 虚拟", None)]),
+    "contents_pages": (T.looks_like_toc, [("第1章 a....12\n1.1 b....3\nc\nd", True), ("a\nb\nc", False)]),
+    "quality_of_short_texts": (lambda c: F.round(T.quality_score(c), 6), [("", 0.0), ("内存管理", 1.0)]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(WORKED))
+def test_worked_examples(spark, name):
+    of, cases = WORKED[name]
+    rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "example int, text string")
+    got = [r.result for r in rows.select("example", of(F.col("text")).alias("result")).orderBy("example").collect()]
+    assert got == [c[1] for c in cases]
