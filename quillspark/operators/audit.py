@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import catalogue as K
 from quillspark.functions import text as T
+from quillspark.sources.tables import settled
 
 
 def order_violations(chunks: DataFrame, by: str = "document_id", order: tuple[str, ...] = ("chunk_index",), page: str = "page_start") -> DataFrame:
@@ -34,26 +35,35 @@ def percentile(values: Column, p: float) -> Column:
     return F.when(n > 0, F.element_at(F.array_sort(values), F.least(n, F.floor(n * F.lit(p)).cast("int") + 1)))
 
 
-def latency_report(requests: DataFrame, seconds: float, p: float = 0.95, buckets: int = 256) -> DataFrame:
-    """Per endpoint: requests, errors, error rate, throughput and the p-th percentile
-    (A18).
+def selected(values: DataFrame, p: float, buckets: int = 256) -> DataFrame:
+    """(key, value): of the numbers of each key (key, x) the one at place
+    min(n - 1, floor(n p)) of their order (A17), exactly.
 
-    The percentile's place is found over counts of equal latencies, by ranges of the
-    latency: an endpoint's ranges hold what is below them, and only the range with the
-    place is looked into. So no window holds an endpoint's requests, whatever it gets.
+    Round by round the numbers between a key's bounds are counted in ``buckets`` ranges of
+    equal width; the range that holds the place gives, by its least and largest number, the
+    next bounds, until they are one number. The ends fall into different ranges, so every
+    round narrows; numbers over nine decades take some five rounds. A round is one scan
+    that combines to ``buckets`` rows a key before anything is shuffled, so neither a task
+    nor a window holds the numbers of a key.
     """
-    of = requests.groupBy("endpoint").agg(
-        F.count(F.lit(1)).alias("requests"), F.count_if(~F.col("ok")).alias("errors"), F.count("ms").alias("__n"), F.min("ms").alias("__low"), F.max("ms").alias("__high")
-    )
-    counted = requests.where(F.col("ms").isNotNull()).groupBy("endpoint", "ms").agg(F.count(F.lit(1)).alias("c"))
-    width = F.greatest(F.col("__high") - F.col("__low"), F.lit(1e-300))
-    place = F.least("__n", F.floor(F.col("__n") * F.lit(p)) + 1)
-    c = counted.join(of.select("endpoint", "__low", "__high", place.alias("__place")), "endpoint").withColumn("__range", F.least(F.lit(buckets - 1), F.floor((F.col("ms") - F.col("__low")) / width * buckets)).cast("int"))
-    w = Window.partitionBy("endpoint").orderBy("__range")
-    ranges = c.groupBy("endpoint", "__range", "__place").agg(F.sum("c").alias("__c")).withColumn("__upto", F.sum("__c").over(w))
-    ranges = ranges.where((F.col("__upto") >= F.col("__place")) & (F.col("__upto") - F.col("__c") < F.col("__place"))).select("endpoint", "__range", (F.col("__place") - F.col("__upto") + F.col("__c")).alias("__in"))
-    inside = c.join(ranges, ["endpoint", "__range"]).withColumn("__at", F.sum("c").over(Window.partitionBy("endpoint").orderBy("ms")))
-    found = inside.where(F.col("__at") >= F.col("__in")).groupBy("endpoint").agg(F.min("ms").alias("p95"))
+    x = values.where(F.col("x").isNotNull() & ~F.isnan("x")).select("key", F.col("x").cast("double").alias("x"))
+    place = F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(p)))
+    bounds = settled(x.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).select("key", place.alias("place"), "low", "high"))
+    while bounds.where("low < high").limit(1).count():
+        bucket = F.least(F.lit(buckets - 1), F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * buckets)).cast("int")
+        inside = x.join(bounds.where("low < high"), "key").where(F.col("x").between(F.col("low"), F.col("high")))
+        counts = inside.groupBy("key", "place", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("low"), F.max("x").alias("high"))
+        upto = F.sum("c").over(Window.partitionBy("key").orderBy("bucket"))
+        found = counts.withColumn("upto", upto).where((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("c") <= F.col("place")))
+        bounds = settled(bounds.where("low >= high").unionByName(found.select("key", (F.col("place") - F.col("upto") + F.col("c")).alias("place"), "low", "high")))
+    return bounds.select("key", F.col("low").alias("value"))
+
+
+def latency_report(requests: DataFrame, seconds: float, p: float = 0.95, buckets: int = 256) -> DataFrame:
+    """Per endpoint: requests, errors, error rate, throughput and the p-th percentile of
+    the latencies, by ``selected`` (A18)."""
+    of = requests.groupBy("endpoint").agg(F.count(F.lit(1)).alias("requests"), F.count_if(~F.col("ok")).alias("errors"))
+    found = selected(requests.select(F.col("endpoint").alias("key"), F.col("ms").alias("x")), p, buckets).select(F.col("key").alias("endpoint"), F.col("value").alias("p95"))
     return of.join(found, "endpoint", "left").select(
         "endpoint", "requests", "errors", (F.col("errors") / F.col("requests")).alias("error_rate"), (F.col("requests") / F.lit(float(seconds))).alias("per_second"), "p95"
     )
