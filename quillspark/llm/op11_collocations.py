@@ -8,15 +8,18 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import chunks, forget, mixed_bits, text_of, utf8_batch, word_table, written
+from quillspark.llm.common import chunks, forget, mixed_bits, partitions, text_of, utf8_batch, word_table, written
 
 #: Words of the longest phrase, and the least number of times a phrase occurs.
 LONGEST = 5
 LEAST = 100
 #: Phrases reported of each language.
 TOP = 2000
-#: Candidates whose hash is broadcast at a time: 40 MB. More of them take more passes.
+#: Frequent phrases of a length whose hash is broadcast at a time: 40 MB. More of them
+#: take more passes.
 BLOCK = 1 << 22
+#: Occurrences that a mapper gathers, and those that are counted in one part, about.
+FLUSH, PART = 1 << 20, 1 << 22
 
 _PIECE = np.zeros(256, bool)
 _PIECE[[*b".,;:!?", *range(10, 14)]] = True
@@ -74,48 +77,74 @@ class PerfectHash:
         return out
 
 
-def tally(rows: DataFrame, slots: Callable[..., Iterator[np.ndarray]], size: int) -> np.ndarray:
-    """How often each of ``size`` slots occurs. ``slots`` gives the slots of an Arrow
-    batch. A task counts its rows into one array; arrays are summed in slices, in a tree
-    of two steps, and the driver gets 8 bytes a slot at most."""
-    import pandas as pd
+def packed(batches: Iterator, keys_of: Callable[..., Iterator[np.ndarray]], parts: int) -> Iterator:
+    """The keys of Arrow batches as rows (part, keys, counts): distinct ones of some
+    ``FLUSH`` occurrences, dealt by hash to ``parts``."""
     import pyarrow as pa
 
-    width, schema = 1 << 16, "at int, salt int, kind string, part binary"
-    pack = lambda counts: counts.astype(np.min_scalar_type(counts.max(initial=0)))
+    def flushed(waiting: list[np.ndarray]):
+        key, n = np.unique(np.concatenate(waiting), return_counts=True)
+        part = (mixed_bits(key) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        key, n, part = key[order], n[order].astype(np.int32), part[order]
+        at, first = np.unique(part, return_index=True)
+        spans = list(zip(first, np.append(first[1:], len(part)), strict=True))
+        cut = lambda x: pa.array([x[i:j].tobytes() for i, j in spans], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(at), cut(key), cut(n)], names=["part", "keys", "counts"])
+
+    waiting, n = [], 0
+    for batch in batches:
+        for keys in keys_of(batch):
+            waiting.append(keys)
+            n += len(keys)
+            if n >= FLUSH:
+                yield flushed(waiting)
+                waiting, n = [], 0
+    if n:
+        yield flushed(waiting)
+
+
+def counted(rows: list[tuple[np.ndarray, np.ndarray]], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that occur ``least`` times in a part, and how often, of its mappers' rows
+    (keys, counts).
+
+    Candidates are the keys in classes, about one for four keys, that occur that often
+    together, which no frequent key can fail. They get a perfect hash; each mapper's row
+    becomes an array of counts by slot, and the arrays are summed.
+    """
+    if not rows:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    size = 1 << max(10, sum(len(k) for k, _ in rows).bit_length() - 2)
+    place = lambda key: (mixed_bits(key ^ np.uint64(0xA5A5A5A5A5A5A5A5)) & np.uint64(size - 1)).astype(np.int64)
+    upper = np.zeros(size, np.int64)
+    for key, n in rows:
+        np.add.at(upper, place(key), n)
+    candidates = PerfectHash(np.unique(np.concatenate([key[upper[place(key)] >= least] for key, _ in rows])))
+    total = np.zeros(len(candidates.keys), np.int64)
+    for key, n in rows:
+        slot = candidates.slot(key)
+        total += np.bincount(slot[slot >= 0], n[slot >= 0], len(total)).astype(np.int64)
+    return candidates.keys[total >= least], total[total >= least]
+
+
+def frequent(rows: DataFrame, keys_of: Callable[..., Iterator[np.ndarray]], occurrences: float, least: int) -> DataFrame:
+    """The keys (key, a) that occur ``least`` times in ``rows``, each counted in one of as
+    many parts as ``PART`` occurrences each make. A key is one entry of a mapper's row,
+    however often it occurs there."""
+    import pyarrow as pa
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    parts = max(partitions(rows.sparkSession), int(occurrences // PART) + 1)
 
-        total, waiting, n = np.zeros(size, np.int64), [], 0
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = []
         for batch in batches:
-            for some in slots(batch):
-                waiting.append(some)
-                n += len(some)
-                if n >= size:
-                    total += np.bincount(np.concatenate(waiting), minlength=size)
-                    waiting, n = [], 0
-        if n:
-            total += np.bincount(np.concatenate(waiting), minlength=size)
-        salt = TaskContext.get().partitionId() % 256
-        parts = [(at, pack(total[i : i + width])) for at, i in enumerate(range(0, size, width))]
-        parts = [(at, salt, p.dtype.str, p.tobytes()) for at, p in parts if p.any()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*parts, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.binary()), strict=True)] if parts else [pa.array([], t) for t in (pa.int32(), pa.int32(), pa.string(), pa.binary())], names=["at", "salt", "kind", "part"])
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = pack(sum(np.frombuffer(p, k).astype(np.int64) for k, p in zip(group["kind"], group["part"], strict=True)))
-        return pd.DataFrame({"at": [group["at"].iloc[0]], "salt": [0], "kind": [total.dtype.str], "part": [total.tobytes()]})
-
-    out = np.zeros(size, np.int64)
-    parts = rows.mapInArrow(run, schema)
-    for r in parts.groupBy("at", "salt").applyInPandas(add, schema).groupBy("at").applyInPandas(add, schema).toLocalIterator():
-        out[r["at"] * width : (r["at"] + 1) * width] = np.frombuffer(r["part"], r["kind"])
-    return out
-
-
-def sketch_bits(occurrences: float) -> int:
-    """Classes of the sketch that candidates must pass: some 32 occurrences each, 2^24 at most."""
-    return min(24, max(16, int(np.ceil(np.log2(max(occurrences, 1)))) - 5))
+            for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                own.append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int32)))
+        key, a = counted(own, least)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(a)], names=["key", "a"])
+
+    dealt = rows.mapInArrow(lambda batches: packed(batches, keys_of, 4 * parts), "part int, keys binary, counts binary").repartition(parts, "part")
+    return written(dealt.mapInArrow(count, "key long, a long"))
 
 
 class Words:
@@ -138,176 +167,164 @@ def _texts(batch, seed: int) -> Iterator[tuple[np.ndarray, int, int, Words]]:
         yield own, a, b, Words(own, bounds[a : b + 1] - bounds[a], lang[a:b], seed)
 
 
-def _candidate_words(docs: DataFrame, least: int, seed: int) -> DataFrame:
-    """The words in classes that occur ``least`` times: (lang, word, key)."""
-    import pyarrow as pa
+def _blocks(found: DataFrame, block: int) -> Iterator[tuple[PerfectHash, np.ndarray]]:
+    """The frequent keys (key, a) in blocks of about ``block``: their hash, and how often
+    each occurs by slot."""
+    n = max(1, -(-found.count() // block))
+    for i in range(n):
+        own = found.where(F.pmod(F.xxhash64("key"), F.lit(n)) == i).toArrow()
+        table = PerfectHash(own["key"].to_numpy().view(np.uint64))
+        counts = np.zeros(len(own), np.int64)
+        counts[table.slot(own["key"].to_numpy().view(np.uint64))] = own["a"].to_numpy()
+        yield table, counts
 
-    chars = docs.select(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    bits = sketch_bits(chars / 6)
-    mask = np.uint64((1 << bits) - 1)
-    often = docs.sparkSession.sparkContext.broadcast(np.packbits(tally(docs.select("lang_key", "text"), lambda batch: ((w.key & mask).astype(np.int64) for _, _, _, w in _texts(batch, seed)), 1 << bits) >= least))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passing = np.unpackbits(often.value).astype(bool)
-        for batch in batches:
-            for data, a, _, w in _texts(batch, seed):
-                key, at = np.unique(w.key, return_index=True)
-                good = passing[(key & mask).astype(np.int64)]
-                key, at = key[good], at[good]
-                lower = data.tobytes().lower()  # bytes: A-Z only
-                spelt = [lower[s:e].decode() for s, e in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(a + w.row[at])), pa.array(spelt, pa.string()), pa.array(key.view(np.int64))], names=["lang", "word", "key"])
-
-    return written(docs.mapInArrow(run, "lang string, word string, key long").distinct())
-
-
-def _counted(rows: DataFrame, keys_of: Callable, keys: np.ndarray, least: int) -> tuple[PerfectHash, np.ndarray]:
-    """Counts ``keys`` in ``rows`` by slot; the hash of those that occur ``least`` times
-    and how often each does, by its slot in that."""
-    spark = rows.sparkSession
-    candidates = PerfectHash(keys)
-    shared = spark.sparkContext.broadcast(candidates)
-
-    def slots(batch):
-        for key in keys_of(batch):
-            at = shared.value.slot(key)
-            yield at[at >= 0]
-
-    counts = tally(rows, slots, len(keys)) if len(keys) else np.zeros(0, np.int64)
-    shared.destroy()
-    frequent = PerfectHash(candidates.keys[counts >= least])
-    out = np.zeros(len(frequent.keys), np.int64)
-    out[frequent.slot(candidates.keys[counts >= least])] = counts[counts >= least]
-    return frequent, out
-
-
-def _blocks(candidates: DataFrame, block: int) -> Iterator[np.ndarray]:
-    """The keys of ``candidates`` in blocks of about ``block``, each within a driver's means."""
-    n = -(-candidates.count() // block)
-    for i in range(max(1, n)):
-        keys = candidates.where(F.pmod(F.xxhash64("key"), F.lit(max(1, n))) == i).select("key").distinct().toArrow()["key"].to_numpy()
-        yield keys.view(np.uint64)
-
-
-def _frame(spark, frequent: PerfectHash, counts: np.ndarray, base: int) -> DataFrame:
+def _frame(spark, table: PerfectHash, counts: np.ndarray, base: int) -> DataFrame:
     import pyarrow as pa
 
     slots = np.arange(base, base + len(counts))
-    return written(spark.createDataFrame(pa.table({"slot": pa.array(slots, pa.int64()), "key": pa.array(frequent.keys.view(np.int64)), "a": pa.array(counts, pa.int64())})))
+    return written(spark.createDataFrame(pa.table({"slot": pa.array(slots, pa.int64()), "key": pa.array(table.keys.view(np.int64)), "a": pa.array(counts, pa.int64())})))
 
 
-def _joined(slots: list[np.ndarray]):
+def _line_array(column) -> tuple[np.ndarray, np.ndarray]:
+    """The lines of an Arrow column of binaries as one array, and their n+1 bounds."""
     import pyarrow as pa
 
-    return pa.array([s.astype(np.int32).tobytes() for s in slots], pa.binary())
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]].view(np.int32), (bounds - bounds[0]) // 4
 
 
-def _pairs(batch) -> Iterator[np.ndarray]:
-    """The keys of two phrases that begin at successive words, both frequent."""
-    for line in batch.column("slots").to_pylist():
-        s = np.frombuffer(line, np.int32)
-        good = (s[:-1] >= 0) & (s[1:] >= 0)
-        yield s[:-1][good].astype(np.uint64) << np.uint64(32) | s[1:][good].astype(np.uint64)
+def _line_column(lines: np.ndarray, bounds: np.ndarray):
+    import pyarrow as pa
 
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 4).astype(np.int64).tobytes()), pa.py_buffer(lines.astype(np.int32).tobytes())]).cast(pa.binary())
 
-def _word_lines(docs: DataFrame, words: DataFrame, least: int, seed: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """The frequent words (slot, lang, word, a) and, for each document, its words' slots
-    in order, -1 for others and between pieces: (lang, n_words, n, slots)."""
+
+def _pairs(batch) -> Iterator[np.ndarray]:
+    """The keys of two phrases that begin at successive words, both frequent. Every line
+    begins with a gap, so lines can lie end to end."""
+    s, _ = _line_array(batch.column("slots"))
+    good = (s[:-1] >= 0) & (s[1:] >= 0)
+    yield s[:-1][good].astype(np.uint64) << np.uint64(32) | s[1:][good].astype(np.uint64)
+
+
+def strays(w: Words, lower: np.ndarray, first: np.ndarray, which: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """The words that are spelt otherwise than the first word of their key, for keys with
+    a slot: none, unless two words share a hash."""
+    at = np.flatnonzero(slot[which] >= 0)
+    model, size = first[which[at]], w.ends - w.starts
+    odd = size[at] != size[model]
+    n = np.where(odd, 0, size[at])
+    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    differ = lower[np.repeat(w.starts[at], n) + offset] != lower[np.repeat(w.starts[model], n) + offset]
+    if differ.any():
+        odd[np.unique(np.repeat(np.arange(len(at)), n)[differ])] = True
+    return at[odd]
+
+
+def _word_lines(docs: DataFrame, least: int, seed: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """The frequent words (slot, a) and, as stored, the documents as lines (lang, n_words,
+    slots): a word's slot, or -1, and a gap, -1 too, before each piece; beside them rows of
+    words (lang, word, slot)."""
     import pyarrow as pa
 
-    spark, keys_of = docs.sparkSession, lambda batch: (w.key for _, _, _, w in _texts(batch, seed))
-    schema = "lang string, lang_key long, text string, n_words long, slots binary"
-    lines, base, frames = docs.withColumns({"n_words": F.lit(0).cast("long"), "slots": F.lit(None).cast("binary")}), 0, []
-    blocks = list(range(-(-words.count() // block))) or [0]
-    for i, keys in enumerate(_blocks(words, block)):
-        frequent, counts = _counted(docs.select("lang_key", "text"), keys_of, keys, least)
-        frames.append(_frame(spark, frequent, counts, base).join(words, "key").select("slot", "lang", "word", "a"))
-        shared, last = spark.sparkContext.broadcast(frequent), i == len(blocks) - 1
+    spark = docs.sparkSession
+    chars = docs.select(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    found = frequent(docs.select("lang_key", "text"), lambda batch: (w.key for _, _, _, w in _texts(batch, seed)), chars / 6, least)
+    blocks = list(_blocks(found, block))
+    empty = {"n_words": F.lit(None).cast("long"), "slots": F.lit(None).cast("binary"), "word": F.lit(None).cast("string"), "slot": F.lit(None).cast("long")}
+    columns = ["lang", "lang_key", "text", *empty]
+    lines, base, frames = docs.withColumns(empty).select(*columns), 0, []
+    for i, (table, counts) in enumerate(blocks):
+        frames.append(_frame(spark, table, counts, base).select("slot", "a"))
+        shared, last = spark.sparkContext.broadcast(table), i == len(blocks) - 1
 
         def fill(batches: Iterator[pa.RecordBatch], shared=shared, base=base, last=last) -> Iterator[pa.RecordBatch]:
+            row = lambda *values: pa.RecordBatch.from_arrays(list(values), names=columns)
+            told = np.full(len(shared.value.keys), None, object)  # a task tells a word once
             for batch in batches:
-                before, out, n = batch.column("slots").to_pylist(), [], []
-                for _, a, b, w in _texts(batch, seed):
-                    at = shared.value.slot(w.key)
-                    at[at >= 0] += base
-                    spot = np.arange(len(at)) + np.cumsum(w.fresh)  # a gap before each piece
-                    line = np.full(int(spot[-1]) + 1 if len(spot) else 0, -1)
-                    line[spot] = at
+                before = batch.column("word").is_valid().to_numpy(zero_copy_only=False)
+                if before.any():
+                    yield batch.filter(pa.array(before))
+                batch = batch.filter(pa.array(~before))
+                before = batch.column("slots")
+                for data, a, b, w in _texts(batch, seed):
+                    key, first, which = np.unique(w.key, return_index=True, return_inverse=True)
+                    slot = shared.value.slot(key)
+                    lower = data.tobytes().lower()  # bytes: A-Z only
+                    at = np.append(first[slot >= 0], strays(w, np.frombuffer(lower, np.uint8), first, which, slot))
+                    spelt = np.array([lower[x:y].decode() for x, y in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)], object)
+                    own_slot = slot[which[at]]
+                    new = told[own_slot] != spelt
+                    at, spelt, own_slot = at[new], spelt[new], own_slot[new]
+                    told[own_slot] = spelt
+                    slot[slot >= 0] += base
+                    spot = np.arange(len(which)) + np.cumsum(w.fresh)  # a gap before each piece
                     count = np.bincount(w.row, minlength=b - a)
-                    stops = np.cumsum(count + np.bincount(w.row[w.fresh], minlength=b - a))
-                    for k, part in enumerate(np.split(line, stops[:-1])):
-                        old = before[a + k]
-                        out.append(part if old is None else np.maximum(part, np.frombuffer(old, np.int32)))
-                        n.append(int(count[k]))
-                text = pa.nulls(len(out), pa.string()) if last else batch.column("text")
-                yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("lang_key"), text, pa.array(n, pa.int64()), _joined(out)], names=["lang", "lang_key", "text", "n_words", "slots"])
-
-        lines = written(lines.select("lang", "lang_key", "text", "n_words", "slots").mapInArrow(fill, schema))
-        base += len(counts)
-    found = frames[0]
+                    bounds = np.append(0, np.cumsum(count + np.bincount(w.row[w.fresh], minlength=b - a)))
+                    line = np.full(int(bounds[-1]), -1)
+                    line[spot] = slot[which]
+                    if before.null_count == 0:
+                        line = np.maximum(line, _line_array(before.slice(a, b - a))[0])
+                    own = batch.slice(a, b - a)
+                    text = pa.nulls(b - a, pa.string()) if last else own.column("text")
+                    yield row(own.column("lang"), own.column("lang_key"), text, pa.array(count), _line_column(line, bounds), pa.nulls(b - a, pa.string()), pa.nulls(b - a, pa.int64()))
+                    yield row(own.column("lang").take(pa.array(w.row[at])), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.string()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()), pa.array(spelt.tolist(), pa.string()), pa.array(base + own_slot))
+
+        after = written(lines.mapInArrow(fill, "lang string, lang_key long, text string, n_words long, slots binary, word string, slot long"))
+        forget(lines)
+        lines, base = after, base + len(counts)
+    forget(found)
+    out = frames[0]
     for f in frames[1:]:
-        found = found.unionByName(f)
-    return found, lines.select("lang", "n_words", "slots")
+        out = out.unionByName(f)
+    return out, lines
 
 
 def _longer(lines: DataFrame, least: int, block: int) -> tuple[DataFrame, DataFrame]:
     """One word more: the frequent phrases (slot, pre, suf, a) of two frequent ones that
-    overlap in all but a word each, and the lines of their slots."""
+    overlap in all but a word each, and the lines of their slots (``longer``), as stored."""
     import pyarrow as pa
 
     spark = lines.sparkSession
     size = lines.select(F.sum(F.octet_length("slots")).alias("n")).first()["n"] or 0
-    bits = sketch_bits(size / 4)
-    mask = np.uint64((1 << bits) - 1)
-    slots = lines.select("slots")
-    often = spark.sparkContext.broadcast(np.packbits(tally(slots, lambda batch: ((mixed_bits(k) & mask).astype(np.int64) for k in _pairs(batch)), 1 << bits) >= least))
-
-    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good = np.unpackbits(often.value).astype(bool)
-        for batch in batches:
-            key = np.unique(np.concatenate([np.zeros(0, np.uint64), *_pairs(batch)]))
-            yield pa.RecordBatch.from_arrays([pa.array(key[good[(mixed_bits(key) & mask).astype(np.int64)]].view(np.int64))], names=["key"])
-
-    candidates = written(slots.mapInArrow(passing, "key long").distinct())
+    keys = frequent(lines.select("slots"), _pairs, size / 4, least)
     base, found = 0, None
     filled = lines.select("slots", F.lit(None).cast("binary").alias("longer"))
-    for keys in _blocks(candidates, block):
-        frequent, counts = _counted(slots, _pairs, keys, least)
-        own = _frame(spark, frequent, counts, base).select("slot", F.shiftright("key", 32).alias("pre"), F.col("key").bitwiseAND((1 << 32) - 1).alias("suf"), "a")
+    blocks = list(_blocks(keys, block))
+    for i, (table, counts) in enumerate(blocks):
+        own = _frame(spark, table, counts, base).select("slot", F.shiftright("key", 32).alias("pre"), F.col("key").bitwiseAND((1 << 32) - 1).alias("suf"), "a")
         found = own if found is None else found.unionByName(own)
-        shared = spark.sparkContext.broadcast(frequent)
+        shared, last = spark.sparkContext.broadcast(table), i == len(blocks) - 1
 
-        def fill(batches: Iterator[pa.RecordBatch], shared=shared, base=base) -> Iterator[pa.RecordBatch]:
+        def fill(batches: Iterator[pa.RecordBatch], shared=shared, base=base, last=last) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                old, out = batch.column("longer").to_pylist(), []
-                for i, line in enumerate(batch.column("slots").to_pylist()):
-                    s = np.frombuffer(line, np.int32)
-                    new = np.full(len(s), -1) if old[i] is None else np.frombuffer(old[i], np.int32).astype(np.int64)
-                    good = np.flatnonzero((s[:-1] >= 0) & (s[1:] >= 0))
-                    at = shared.value.slot(s[good].astype(np.uint64) << np.uint64(32) | s[good + 1].astype(np.uint64))
-                    new[good[at >= 0]] = base + at[at >= 0]
-                    out.append(new)
-                yield pa.RecordBatch.from_arrays([batch.column("slots"), _joined(out)], names=["slots", "longer"])
+                s, bounds = _line_array(batch.column("slots"))
+                new = np.full(len(s), -1) if batch.column("longer").null_count else _line_array(batch.column("longer"))[0].astype(np.int64)
+                good = np.flatnonzero((s[:-1] >= 0) & (s[1:] >= 0))
+                at = shared.value.slot(s[good].astype(np.uint64) << np.uint64(32) | s[good + 1].astype(np.uint64))
+                new[good[at >= 0]] = base + at[at >= 0]
+                old = batch.column("slots")
+                if last:  # one gap is as good as many, and lines of gaps say nothing
+                    keep = np.ones(len(new), bool)
+                    keep[1:] = (new[1:] >= 0) | (new[:-1] >= 0)
+                    keep[bounds[:-1][np.diff(bounds) > 0]] = True
+                    sums = np.append(0, np.cumsum(keep))
+                    full = np.append(0, np.cumsum(new >= 0))[bounds]
+                    some = np.flatnonzero(np.diff(full) > 0)
+                    lengths = sums[bounds[some + 1]] - sums[bounds[some]]
+                    inside = np.repeat(np.diff(full) > 0, np.diff(bounds))
+                    new, bounds = new[keep & inside], np.append(0, np.cumsum(lengths))
+                    old = pa.nulls(len(some), pa.binary())
+                yield pa.RecordBatch.from_arrays([old, _line_column(new, bounds)], names=["slots", "longer"])
 
         after = written(filled.mapInArrow(fill, "slots binary, longer binary"))
         forget(filled)
         filled, base = after, base + len(counts)
-    forget(candidates)
-
-    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for line in batch.column("longer").to_pylist():
-                s = np.frombuffer(line, np.int32)
-                keep = np.ones(len(s), bool)
-                keep[1:] = (s[1:] >= 0) | (s[:-1] >= 0)  # one gap is as good as many
-                if (s >= 0).any():
-                    out.append(s[keep])
-            yield pa.RecordBatch.from_arrays([_joined(out)], names=["slots"])
-
-    short = written(filled.select("longer").mapInArrow(trimmed, "slots binary"))
-    forget(filled)
-    return found, short
+    forget(keys)
+    return found, filled
 
 
 #: A phrase's cut of the lowest score, the first of several; products go to 38 digits.
@@ -324,11 +341,14 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", lea
     language, a table a length (lang, words, a, first, last, and pre and suf, the slots of
     what a longer one is made of), and the words of each language (lang, n).
 
-    Counting goes length by length. Candidates are what a fixed sketch of counts lets
-    pass, an upper bound, and, of two or more words, what consists of two overlapping
-    frequent phrases: no other can be frequent. They get a minimal perfect hash, which is
-    broadcast in blocks of bounded size; tasks look up what they read, compare the stored
-    key and count slots in arrays, which are summed in a tree.
+    Counting goes length by length. Of two or more words only phrases of two overlapping
+    frequent ones are counted, since no other can be frequent; in each part the candidates
+    (see ``counted``) get a minimal perfect hash, under which the mappers' keys are counted
+    in arrays. The frequent ones get another, which is broadcast in blocks of bounded size
+    and turns documents into lines of slots, which the next length reads in their place. A
+    key is compared with the one stored at its slot: for longer phrases the two slots
+    themselves, for words a hash of 64 bits. Where a word with a slot is spelt otherwise
+    than another of that slot, anywhere, all is counted anew with other hashes.
 
     Cases: see ``collocations``.
     """
@@ -336,24 +356,26 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", lea
     docs = docs.select(lang.alias("lang"), F.xxhash64(lang).alias("lang_key"), text_of(text_col).alias("text"))
     seed = 0
     while True:  # another seed if two words share a key
-        words = _candidate_words(docs, least, seed)
-        if words.select("key").distinct().count() == words.count():
+        found, stored = _word_lines(docs, least, seed, block)
+        words = written(stored.where("word IS NOT NULL").select("slot", "lang", "word").distinct())
+        if words.groupBy("slot").count().where("count > 1").limit(1).count() == 0:
             break
         forget(words)
+        forget(stored)
         seed += 1
-    found, lines = _word_lines(docs, words, least, seed, block)
-    n = written(lines.groupBy("lang").agg(F.sum("n_words").alias("n")))
-    out = [written(found.select("slot", "lang", F.array("word").alias("words"), "a", F.array("a").alias("first"), F.array("a").alias("last")))]
+    n = written(stored.where("word IS NULL").groupBy("lang").agg(F.sum("n_words").alias("n")))
+    out = [written(found.join(words, "slot").select("slot", "lang", F.array("word").alias("words"), "a", F.array("a").alias("first"), F.array("a").alias("last")))]
     forget(words)
+    lines = stored.where("word IS NULL").select("slots")
     for _ in range(longest - 1):
         found, after = _longer(lines, least, block)
-        forget(lines)
-        lines, shorter = after, out[-1]
+        forget(stored)
+        stored, lines, shorter = after, after.select(F.col("longer").alias("slots")), out[-1]
         head = shorter.select(F.col("slot").alias("pre"), "lang", F.col("words").alias("head"), F.col("first").alias("before"))
         tail = shorter.select(F.col("slot").alias("suf"), F.element_at("words", -1).alias("word"), F.col("last").alias("after"))
         joined = found.join(head, "pre").join(tail, "suf")
         out.append(written(joined.select("slot", "lang", F.concat("head", F.array("word")).alias("words"), "a", F.concat("before", F.array("a")).alias("first"), F.concat("after", F.array("a")).alias("last"), "pre", "suf")))
-    forget(lines)
+    forget(stored)
     return out, n
 
 

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm.op11_collocations import LOWEST_CUT, PerfectHash, collocations, tally
+from quillspark.llm.common import utf8_batch
+from quillspark.llm.op11_collocations import LOWEST_CUT, PerfectHash, collocations, counted
 
 from .helpers import documents
 
@@ -97,7 +98,28 @@ def test_perfect_hash(n):
     assert (table.slot(strangers) == -1).all()
 
 
-def test_tally(spark):
-    df = spark.range(100_000).select((F.col("id") % 70_001).cast("long").alias("s")).repartition(7)
-    got = tally(df, lambda batch: iter([batch.column("s").to_numpy()]), 140_000)
-    assert got.sum() == 100_000 and (got[:29_999] == 2).all() and (got[29_999:70_001] == 1).all() and not got[70_001:].any()
+def test_counted():
+    rng = np.random.default_rng(2)
+    rows = []
+    for _ in range(9):
+        keys, n = np.unique(rng.zipf(1.3, 20_000).astype(np.uint64), return_counts=True)
+        rows.append((keys, n.astype(np.int32)))
+    want = Counter()
+    for keys, n in rows:
+        want.update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
+    key, a = counted(rows, 30)
+    assert dict(zip(key.tolist(), a.tolist(), strict=True)) == {k: v for k, v in want.items() if v >= 30}
+    assert len(counted([], 3)[0]) == 0
+
+
+def test_words_that_share_a_hash():
+    import pyarrow as pa
+
+    from quillspark.llm import op11_collocations as op11
+
+    data, bounds = utf8_batch(pa.array(["aa bb aa cc", "bb dd aa"]))
+    w = op11.Words(data, bounds, np.zeros(2, np.int64), 0)
+    key = np.array([1, 1, 1, 2, 1, 3, 1], np.uint64)
+    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    assert op11.strays(w, data, first, which, np.array([5, 6, -1])).tolist() == [1, 4]
+    assert op11.strays(w, data, first, which, np.array([-1, 6, 7])).tolist() == []
