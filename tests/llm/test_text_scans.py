@@ -238,7 +238,7 @@ def test_suffix_array():
             assert all((ranks[i] < ranks[j]) == (alike[i] < alike[j]) for i in range(n) for j in range(0, n, 7))
 
 
-def plain_extract(pages, length=12, share=0.05, most=0.5, unique_share=0.25):
+def plain_extract(pages, length=12, share=0.05, most=0.5, unique_share=0.25, least=3):
     """The same by sets of word tuples: page i is (host, html); no suffix array, no shards."""
     out = [None] * len(pages)
     for host in {h for h, _ in pages}:
@@ -269,7 +269,7 @@ def plain_extract(pages, length=12, share=0.05, most=0.5, unique_share=0.25):
             if alone >= unique_share * sum(main):
                 counts.append(i)
         found, of = carried(counts), len({body[i] for i in counts})
-        gone, mostly = {g for g, n in found.items() if n >= share * of}, {g for g, n in found.items() if n >= most * of}
+        gone, mostly = {g for g, n in found.items() if n >= max(least, share * of)}, {g for g, n in found.items() if n >= max(least, most * of)}
         for i in own:
             hit, all_hit, at, lines = cover(i, gone), cover(i, mostly), 0, []
             for v, centre, t in read[i]:
@@ -277,7 +277,8 @@ def plain_extract(pages, length=12, share=0.05, most=0.5, unique_share=0.25):
                 c, m, at = hit[at : at + len(w)], all_hit[at : at + len(w)], at + len(w)
                 if v >= html.OUT or centre and all(m) and v + 1 >= html.OUT:
                     continue
-                left = w if centre else [x for x, gone_too in zip(w, c, strict=True) if not gone_too]
+                stretch = lambda j, c=c: next((k for k in range(j, len(c)) if not c[k]), len(c)) - next((k + 1 for k in range(j, -1, -1) if not c[k]), 0)
+                left = w if centre else [x for j, x in enumerate(w) if not (c[j] and (all(c) or stretch(j) >= length))]
                 if left:
                     lines.append(" ".join(left))
             out[i] = "\n".join(lines)
@@ -316,6 +317,18 @@ def test_boilerplate_of_a_host(spark, shard_chars):
     assert html.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_a_sentence_that_two_pages_quote(spark):
+    rnd = random.Random(4)
+    words = lambda k: " ".join(f"w{rnd.randrange(9000)}" for _ in range(k))
+    quote, note = words(15), words(20)
+    pages = [f"<p>{words(30)}</p>" + f"<p>{quote}</p><p>same {words(9)}</p>" * (i < 2) + f"<p>{note}</p><p>end {words(12)}</p>" for i in range(10)]
+    rows = [(i, f"http://q.r/{i}", x, "", "") for i, x in enumerate(pages)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    for i, page in enumerate(pages):  # the quotation stays, the note of every page goes, and no word of what follows either
+        assert got[i] == "\n".join(t for _, _, t in html.blocks(page) if t != note)
+    assert html.blocks("<p>Press <button>OK</button> now</p>") == [(0, False, "Press now")]
+
+
 def test_the_suffix_arrays_are_in_the_plan(spark):
     plan = html.extract(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInPandas" in plan
