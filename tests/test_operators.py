@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import access, analytics, audit, chunking, evidence, retrieval, vectors
 from quillspark.operators.access import User
-from quillspark.sources import readers, sinks, synthetic
+from quillspark.sources import readers, sinks
 from quillspark.streaming import maintenance
 
 
@@ -190,12 +190,6 @@ def test_report_merge(spark):
     assert sorted((r.sha256, r.status) for r in sinks.merged_report(before, now).collect()) == [("1", "imported"), ("3", "failed"), ("4", "imported")]
 
 
-def test_demo_tables_do_not_depend_on_partitions(spark):
-    t = synthetic.demo(spark, "small")
-    assert t["documents"].count() == 80 and t["document_chunks"].count() == 640
-    assert sorted(map(tuple, t["search_logs"].collect())) == sorted(map(tuple, synthetic.demo(spark, "small")["search_logs"].repartition(3).collect()))
-
-
 SPACE = ("hash", "trigrams", 1)
 
 
