@@ -4,7 +4,8 @@ import duckdb
 import numpy as np
 import pytest
 
-from quillspark.queries import ORACLES, QUERIES
+from quillspark.field_queries import QUERIES
+from quillspark.queries import ORACLES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
