@@ -24,8 +24,8 @@ def any_match(c: Column | str, patterns: list[str]) -> Column:
 
 
 def trimmed(c: Column | str) -> Column:
-    """Trim as Unicode defines white space; Spark's own trim knows U+0020 only."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    """Trim all of ``K.BLANKS``; Spark's own trim knows U+0020 only unless told."""
+    return F.trim(col(c), F.lit(K.BLANKS))
 
 
 def compact(c: Column | str) -> Column:

@@ -144,3 +144,12 @@ def test_worked_examples(spark, name):
     rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "example int, text string")
     got = [r.result for r in rows.select("example", of(F.col("text")).alias("result")).orderBy("example").collect()]
     assert got == [c[1] for c in cases]
+
+
+def test_white_space(spark):
+    from quillspark.operators.chunking import plain_chunks
+
+    odd = "\ufeff\u3000 text \x85\x1c\u2028"
+    assert value(spark, T.trimmed, odd) == "text \x85\x1c"  # a byte-order mark goes, controls stay
+    assert plain_chunks("\ufeffbegins with a mark\x85\n") == ["begins with a mark\x85"]
+    assert plain_chunks("一。\u3000\ufeff二。\x1c三") == ["一。\n二。\n\x1c三"]
