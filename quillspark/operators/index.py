@@ -18,6 +18,7 @@ from quillspark.functions import text as T
 from quillspark.operators import retrieval as R
 from quillspark.operators.matching import pieces
 from quillspark.sources.store import Snapshot, Store
+from quillspark.sources.tables import settled
 
 #: Parts of postings and grams, by hash of the term or gram; fixed for the life of an index.
 BUCKETS = 64
@@ -100,8 +101,9 @@ class Index:
     def _segment(self, chunks: DataFrame, seq: int) -> dict[str, DataFrame]:
         terms = R.index_terms(chunks, FIELDS, ["document_id"])
         posted = terms.groupBy(F.col("channel").alias("field"), "term", "chunk_id", "document_id").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        posted = posted.withColumns({"seq": F.lit(seq).cast("long"), "bucket": self._bucket("term")})
-        words = R.index_terms(chunks, FIELDS).select(F.col("channel").alias("field"), "term").distinct()
+        # texts are read once: what follows is made of the postings
+        posted = settled(posted.withColumns({"seq": F.lit(seq).cast("long"), "bucket": self._bucket("term")}))
+        words = settled(posted.select("field", "term").distinct())
         latin = words.where(~F.col("term").rlike(HAN))
         grams = latin.select("field", "term", F.explode(F.concat(pieces(F.col("term"), 2), pieces(F.col("term"), 3))).alias("gram"))
         return {
@@ -119,14 +121,21 @@ class Index:
         last = now.table("members").groupBy("document_id").agg(F.max_by(F.struct("seq", "chunks"), "seq").alias("m"))
         return last.select("document_id", "m.seq", "m.chunks").where("chunks > 0")
 
+    def _live_rows(self, rows: DataFrame, now: Snapshot) -> DataFrame:
+        """The rows (document_id, seq, ...) of the documents as they are now: in an index of
+        one segment all of them."""
+        if len(now.manifest["members"]["parts"]) == 1:
+            return rows
+        return rows.join(self.live(now).select("document_id", "seq"), ["document_id", "seq"], "left_semi")
+
     def projection(self) -> DataFrame:
         """The chunks as they are now."""
         now = self.at()
-        return now.table("projection").join(self.live(now).select("document_id", "seq"), ["document_id", "seq"], "left_semi").drop("seq")
+        return self._live_rows(now.table("projection"), now).drop("seq")
 
     def _current(self, hits: DataFrame, now: Snapshot, allowed: DataFrame | None) -> DataFrame:
         """Hits (chunk_id, document_id, seq, ...) of live rows, of ``allowed`` chunks only."""
-        hits = hits.join(self.live(now).select("document_id", "seq"), ["document_id", "seq"], "left_semi")
+        hits = self._live_rows(hits, now)
         return hits if allowed is None else hits.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
 
     def _total(self, now: Snapshot, allowed: DataFrame | None) -> DataFrame:
@@ -141,7 +150,7 @@ class Index:
     def lexical_channels(self, queries: DataFrame, limit: int, allowed: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = lambda hits: hits) -> DataFrame:
         """As ``retrieval.lexical_channels`` gives over the chunks as they are now, those
         ``allowed`` (chunk_id) if given."""
-        now, terms = self.at(), R.query_grams(queries)
+        now, terms = self.at(), R.held(R.query_grams(queries))
         channel = F.when(F.col("field").isin(*CHANNELS["metadata"]), "metadata").otherwise("content")
         found = self._current(self._of_terms(now, terms), now, allowed)
         found = found.groupBy(channel.alias("channel"), "term", "chunk_id").agg(F.sum("tf").alias("tf"))
@@ -156,20 +165,21 @@ class Index:
         three characters and more, compared with the chunk's text.
         """
         now = self.at()
-        asked = queries.select("query_id", F.explode(F.slice(F.filter(T.query_terms("query"), lambda t: F.length(t) >= 2), 1, terms)).alias("asked")).distinct()
+        asked = R.held(queries.select("query_id", F.explode(F.slice(F.filter(T.query_terms("query"), lambda t: F.length(t) >= 2), 1, terms)).alias("asked")).distinct())
         body = F.length("asked") >= 4
         fits = lambda df: df.where((F.col("field") == "metadata") | ((F.col("field") == "body") & body))
 
         latin = asked.where(~F.col("asked").rlike(HAN)).select("asked").distinct()
         wanted = latin.select("asked", F.explode(F.when(F.length("asked") == 2, F.array("asked")).otherwise(pieces(F.col("asked"), 3))).alias("gram"))
-        known = now.table("grams").where(self._in_buckets(wanted, "gram")).select("gram", "field", "term").distinct()
+        wanted = R.held(wanted)
+        known = now.table("grams").where(self._in_buckets(wanted, "gram")).join(wanted.select("gram").distinct(), "gram", "left_semi").select("gram", "field", "term").distinct()
         words = fits(self._with_rarest(wanted, known, ["field", "term"], "gram")).where(F.contains("term", F.col("asked"))).select("asked", "field", "term")
-        words = R.broadcast_if_small(words)
+        words = R.held(words)
         hits = now.table("postings").where(self._in_buckets(words, "term")).join(words, ["field", "term"]).select("asked", "chunk_id", "document_id", "seq")
         hits = self._current(hits, now, allowed)
 
         runs = asked.where(F.col("asked").rlike(HAN)).select("asked").distinct()
-        pairs = runs.select("asked", F.explode(pieces(F.col("asked"), 2)).alias("term"))
+        pairs = R.held(runs.select("asked", F.explode(pieces(F.col("asked"), 2)).alias("term")))
         near = self._current(self._of_terms(now, pairs), now, allowed).select("term", "field", "chunk_id", "document_id", "seq")
         near = fits(self._with_rarest(pairs, near, ["field", "chunk_id", "document_id", "seq"], "term"))
         texts = now.table("projection").withColumns({"__body": F.lower(T.text("content")), "__meta": R.metadata_text()}).select("chunk_id", "seq", "__body", "__meta")
@@ -182,11 +192,10 @@ class Index:
     @staticmethod
     def _with_rarest(wanted: DataFrame, known: DataFrame, what: list[str], gram: str) -> DataFrame:
         """Of ``known`` (gram, what...) what holds the rarest grams of each ``asked``."""
-        wanted = R.broadcast_if_small(wanted)
         counts = known.join(wanted, gram).groupBy("asked", gram).agg(F.count(F.lit(1)).alias("n"))
         counts = wanted.join(counts, ["asked", gram], "left").fillna(0, ["n"])
         w = Window.partitionBy("asked").orderBy("n", gram)
         rare = counts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= RAREST)
         need = F.count(F.lit(1)).over(Window.partitionBy("asked"))
         rare = rare.withColumn("need", need).select("asked", gram, "need")
-        return known.join(R.broadcast_if_small(rare), gram).groupBy("asked", "need", *what).agg(F.count(F.lit(1)).alias("got")).where("got = need")
+        return known.join(R.held(rare), gram).groupBy("asked", "need", *what).agg(F.count(F.lit(1)).alias("got")).where("got = need")

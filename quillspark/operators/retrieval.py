@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.sources.tables import settled
 
 # Channel weights, the constant of rank fusion, limits.
 WEIGHTS = {"content": 1.0, "metadata": 1.25, "exact": 1.25, "vector": 1.0}
@@ -34,6 +35,13 @@ def broadcast_if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def held(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """``df`` computed once for the several places that read it: to be broadcast if it has
+    at most ``rows`` rows, else stored in the shared folder."""
+    found = df.limit(rows + 1).collect()
+    return settled(df) if len(found) > rows else F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
+
+
 def index_terms(chunks: DataFrame, fields: dict[str, Sequence[str]], carry: Sequence[str] = ()) -> DataFrame:
     """(channel, term, chunk_id) of each channel's fields, a row per occurrence, in one
     pass over the chunks; ``carry`` names further columns of a chunk."""
