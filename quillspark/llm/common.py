@@ -36,13 +36,13 @@ def _stored(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and
-    survives lost executors, since no block lives on one machine. What ``forget`` does
-    not delete before is deleted when the driver's JVM ends."""
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, in a folder for each value of ``by``, and read it
+    back: cuts the lineage and survives lost executors, since no block lives on one machine.
+    What ``forget`` does not delete before is deleted when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     target, store = _stored(spark, path)
     store.deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)

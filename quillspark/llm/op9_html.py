@@ -4,6 +4,8 @@ pages repeat; that, and the structure of the page, vote on every block."""
 from __future__ import annotations
 
 import html as entities
+import json
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -14,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import mixed_bits, text_of, written
+from quillspark.llm.common import forget, mixed_bits, text_of, written
 
 # Elements by their role in a page, as the HTML standard names them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -237,8 +239,60 @@ def suffix_array(tokens: np.ndarray, length: int | None = None) -> tuple[np.ndar
             return order, rank
 
 
+def covered(n: int, at: np.ndarray, length: int) -> np.ndarray:
+    """Of ``n`` tokens those of the passages that begin at the positions ``at``."""
+    steps = np.zeros(n + 1, np.int64)
+    np.add.at(steps, at, 1)
+    np.add.at(steps, at + length, -1)
+    return np.cumsum(steps[:-1]) > 0
+
+
+def own_pages(page: np.ndarray, main: np.ndarray, repeated: np.ndarray, pages: int, unique_share: float) -> np.ndarray:
+    """Which pages are evidence: by token its page, whether it is main text, whether a repeat
+    covers it. A page whose main text is nearly all repeats (less than ``unique_share`` is
+    not) is a copy of others, not an article in boilerplate, and is none."""
+    all_main = np.bincount(page, main, pages)
+    return (np.bincount(page, main & ~repeated, pages) / np.maximum(all_main, 1) >= unique_share) | (all_main == 0)
+
+
+def within(here: np.ndarray, length: int) -> np.ndarray:
+    """Of the covered words of a block those to remove: all if the block is covered
+    whole, else stretches of a passage's length. What a passage that began in the block
+    before covers of the next one's first words is no repeat of that block."""
+    if here.all():
+        return here
+    edges = np.flatnonzero(np.diff(np.r_[False, here, False]))
+    out = np.zeros(len(here), bool)
+    for a, b in edges.reshape(-1, 2).tolist():
+        out[a:b] = b - a >= length
+    return out
+
+
+def main_texts(pages: list[list[tuple[int, bool, str]]], gone: np.ndarray, most: np.ndarray, length: int) -> list[str]:
+    """The main text of each page, given which tokens of the streams are covered by the
+    passages of enough of the host's pages, and which by those of most of them.
+
+    Outside a centre the words that they cover go and unique runs stay. In a centre
+    passages of most pages are a vote against a block that they cover whole."""
+    out, at, most_at, gone_at = [], 0, np.r_[0, np.cumsum(most)].tolist(), np.r_[0, np.cumsum(gone)].tolist()
+    for page in pages:
+        lines = []
+        for v, centre, text in page:
+            to = at + text.count(" ") + 1
+            if v < OUT and not centre and gone_at[to] > gone_at[at]:
+                text = " ".join(w for w, g in zip(text.split(), within(gone[at:to], length).tolist(), strict=True) if not g)
+            elif centre and v + (most_at[to] - most_at[at] == to - at) >= OUT:
+                v = OUT
+            at = to
+            if v < OUT and text:
+                lines.append(text)
+        at += 1
+        out.append("\n".join(lines))
+    return out
+
+
 class Streams:
-    """The token streams of pages of one host, one after the other, and their suffix array.
+    """The token streams of pages, one after the other, and their suffix array.
 
     A page is a list of blocks (votes, inside the centre, text). Every page ends in a
     token of its own, so no repeat goes over the end of a page. ``run`` numbers the
@@ -260,7 +314,6 @@ class Streams:
         self.size = np.array(size, np.int64)
         flat, self.names = pd.factorize(np.array(words, dtype=object))
         ends = np.cumsum(self.size + 1) - 1
-        self.first = ends - self.size
         n = len(words) + len(pages)
         inside = np.ones(n, bool)
         inside[ends] = False
@@ -274,10 +327,19 @@ class Streams:
         # pages of one main text are one: copies of an article are no evidence
         bodies: dict[str, int] = {}
         self.body = np.array([bodies.setdefault("\n".join(t for v, _, t in page if v < OUT), len(bodies)) for page in pages], np.int64)
+        self.bodies = list(bodies)
 
     @cached_property
     def run(self) -> np.ndarray:
-        return np.where(self.fits, suffix_array(self.tokens, self.length)[1], -1)
+        return self.runs(self.fits)
+
+    def runs(self, chosen: np.ndarray) -> np.ndarray:
+        """The numbers of the passages that begin at the ``chosen`` positions, by the
+        suffix array of their tokens; -1 elsewhere."""
+        at = np.flatnonzero(covered(len(self.tokens), np.flatnonzero(chosen), self.length))
+        out = np.full(len(self.tokens), -1, np.int64)
+        out[at] = suffix_array(self.tokens[at], self.length)[1]
+        return np.where(chosen, out, -1)
 
     def carriers(self, at: np.ndarray) -> np.ndarray:
         """By run, how many distinct main texts carry it at the positions ``at``."""
@@ -286,75 +348,101 @@ class Streams:
 
     def of_runs(self, chosen: np.ndarray) -> np.ndarray:
         """The positions of runs for which ``chosen`` is true."""
-        return self.fits & chosen[self.run]
-
-    def covered(self, marked: np.ndarray) -> np.ndarray:
-        """The tokens of the passages that begin at the ``marked`` positions."""
-        steps = np.zeros(len(self.tokens) + 1, np.int64)
-        np.add.at(steps, np.flatnonzero(marked), 1)
-        np.add.at(steps, np.flatnonzero(marked) + self.length, -1)
-        return np.cumsum(steps[:-1]) > 0
-
-    def within(self, here: np.ndarray) -> np.ndarray:
-        """Of the covered words of a block those to remove: all if the block is covered
-        whole, else stretches of a passage's length. What a passage that began in the block
-        before covers of the next one's first words is no repeat of that block."""
-        if here.all():
-            return here
-        edges = np.flatnonzero(np.diff(np.r_[False, here, False]))
-        out = np.zeros(len(here), bool)
-        for a, b in edges.reshape(-1, 2).tolist():
-            out[a:b] = b - a >= self.length
-        return out
+        return np.flatnonzero(self.fits & chosen[self.run])
 
     def repeats(self, unique_share: float) -> tuple[np.ndarray, int]:
-        """How many pages with main texts of their own carry each run, and their number.
-
-        A page whose main text is nearly all repeats (less than ``unique_share`` is not)
-        is a copy of others, not an article in boilerplate, and is no evidence."""
+        """How many pages with main texts of their own carry each run, and their number."""
         marked = self.of_runs(self.carriers(np.flatnonzero(self.fits)) > 1)
-        alone = self.main & ~self.covered(marked)
-        pages = len(self.pages)
-        share = np.bincount(self.page, alone, pages) / np.maximum(np.bincount(self.page, self.main, pages), 1)
-        own = (share >= unique_share) | (np.bincount(self.page, self.main, pages) == 0)
-        n = self.carriers(np.flatnonzero(marked & own[self.page]))
+        own = own_pages(self.page, self.main, covered(len(self.tokens), marked, self.length), len(self.pages), unique_share)
+        n = self.carriers(marked[own[self.page[marked]]])
         return np.where(n > 1, n, 0), len(np.unique(self.body[own]))
 
-    def hashes(self, at: np.ndarray) -> np.ndarray:
-        """64-bit hashes, of the words and not of their numbers, of the passages at ``at``."""
+    def texts(self, marked: np.ndarray, mostly: np.ndarray) -> list[str]:
+        """The main text of each page, given where the passages to go begin (``main_texts``)."""
+        return main_texts(self.pages, *(covered(len(self.tokens), at, self.length) for at in (marked, mostly)), self.length)
+
+    @cached_property
+    def hashed(self) -> np.ndarray:
+        """By token a 64-bit hash of the word, not of its number."""
         import xxhash
 
-        h = np.empty(len(self.names) + len(self.pages), np.uint64)
+        h = np.zeros(len(self.names) + len(self.pages), np.uint64)
         h[: len(self.names)] = [xxhash.xxh64_intdigest(w) for w in self.names]
-        out = np.zeros(len(at), np.uint64)
-        for k in range(self.length):
-            out = mixed_bits(out * np.uint64(0x9E3779B97F4A7C15) + h[self.tokens[at + k]])
-        return out.astype(np.int64)
+        return h[self.tokens]
 
-    def texts(self, marked: np.ndarray, mostly: np.ndarray) -> list[str]:
-        """The main text of each page, given where the host's passages begin: those of
-        enough of its pages, and of most of them.
-
-        Outside a centre the words that they cover go and unique runs stay. In a centre
-        passages of most pages are a vote against a block that they cover whole."""
-        gone, most, out = self.covered(marked), self.covered(mostly), []
-        for page, at in zip(self.pages, self.first.tolist(), strict=True):
-            lines = []
-            for v, centre, text in page:
-                words = text.split()
-                here = gone[at : at + len(words)]
-                if v < OUT and not centre and here.any():
-                    text = " ".join(w for w, g in zip(words, self.within(here).tolist(), strict=True) if not g)
-                elif centre and v + bool(most[at : at + len(words)].all()) >= OUT:
-                    v = OUT
-                at += len(words)
-                if v < OUT and text:
-                    lines.append(text)
-            out.append("\n".join(lines))
+    def hashes(self, at: np.ndarray, length: int) -> np.ndarray:
+        """64-bit hashes of the ``length`` words from the positions ``at``."""
+        out = np.zeros(len(at), np.uint64)
+        for k in range(length):
+            out = mixed_bits(out * np.uint64(0x9E3779B97F4A7C15) + self.hashed[at + k])
         return out
 
+    def anchors(self, words: int) -> np.ndarray:
+        """For each passage, where it ``fits``, the least hash of ``words`` words in a row in
+        it: equal passages have equal anchors, neighbours mostly share one."""
+        at, words = np.flatnonzero(self.fits), min(words, self.length)
+        n, steps = len(self.tokens), self.length - words + 1
+        h = np.full(n + steps, np.iinfo(np.uint64).max)
+        h[: max(0, n - words + 1)] = self.hashes(np.arange(max(0, n - words + 1)), words)
+        return np.minimum.reduce([h[at + k] for k in range(steps)])
+
+
+def dealt_keys(shard: int, key: np.ndarray, body: np.ndarray, buckets: int, kind: str, dtype: type) -> list[dict]:
+    """Keys of one shard and the main texts that hold them, as a row for each bucket of keys.
+    Two texts a key are enough to tell that it repeats. With ``dtype`` np.uint32 a key is
+    its bucket and its low half."""
+    order = np.lexsort((body, key))
+    key, body = key[order], body[order]
+    fresh = np.r_[True, (key[1:] != key[:-1]) | (body[1:] != body[:-1])][: len(key)]
+    key, body = key[fresh], body[fresh]
+    few = np.r_[[True, True], key[2:] != key[:-2]][: len(key)]
+    key, body = key[few], body[few]
+    bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((body, bucket))
+    key, body, bucket = key[order], body[order], bucket[order]
+    cuts = np.r_[np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)].tolist()
+    return [{"kind": kind, "shard": shard, "bucket": int(bucket[a]), "keys": key[a:b].astype(dtype).tobytes(), "bodies": body[a:b].tobytes()} for a, b in zip(cuts, cuts[1:])]
+
+
+def short_keys(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Keys as ``repeated_keys`` gives them back for np.uint32."""
+    return (key >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | key & np.uint64(0xFFFFFFFF)
 
-DEALT = "page_id long, url string, host string, shard int, read string"
+
+def repeated_keys(rows: DataFrame, dtype: type) -> DataFrame:
+    """By shard its keys that two main texts or more of all shards hold: shard, found (longs)."""
+
+    def repeated(group: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.frombuffer(k, dtype).astype(np.uint64) for k in group["keys"]]
+        key, body = np.concatenate(parts), np.concatenate([np.frombuffer(b, np.uint64) for b in group["bodies"]])
+        if dtype is np.uint32:
+            key |= np.uint64(group["bucket"].iloc[0]) << np.uint64(32)
+        order = np.lexsort((body, key))
+        same = key[order][1:] == key[order][:-1]
+        twice = np.unique(key[order][1:][same & (body[order][1:] != body[order][:-1])])
+        hit, cuts = np.isin(key, twice), np.cumsum([0, *map(len, parts)]).tolist()
+        out = pd.DataFrame({"shard": group["shard"], "found": [key[a:b][hit[a:b]].view(np.int64) for a, b in zip(cuts, cuts[1:])]})
+        return out[out["found"].str.len() > 0]
+
+    found = rows.select("shard", "bucket", "keys", "bodies").groupBy("bucket").applyInPandas(repeated, "shard long, found array<long>")
+    return found.groupBy("shard").agg(F.flatten(F.collect_list("found")).alias("found"))
+
+
+def unsigned(longs) -> np.ndarray:
+    """A list of longs, or null for none, as unsigned numbers."""
+    return np.asarray(() if longs is None else longs, np.int64).view(np.uint64)
+
+
+def squeezed(data: bytes) -> bytes:
+    import pyarrow as pa
+
+    return pa.compress(data, "zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    import pyarrow as pa
+
+    return pa.input_stream(pa.py_buffer(data), compression="zstd").read()
 
 
 def packed(page: list[tuple[int, bool, str]]) -> str:
@@ -366,6 +454,166 @@ def unpacked(read: str) -> list[tuple[int, bool, str]]:
     return [(int(line[0]) // 2, line[0] in "135", line[1:]) for line in read.split("\n")] if read else []
 
 
+def stored(pages: list[tuple], reads: list[str]) -> bytes:
+    """The pages of a shard, what is known of each (a list JSON can hold) and its packed blocks."""
+    lines = [json.dumps(about) + ("\n" + read if read else "") for about, read in zip(pages, reads, strict=True)]
+    return squeezed("\n".join(lines).encode())
+
+
+def restored(data: bytes) -> tuple[list[list], list[list[tuple[int, bool, str]]]]:
+    about, pages = [], []
+    for line in unsqueezed(data).decode().split("\n"):
+        if line[0] == "[":
+            about.append(json.loads(line))
+            pages.append([])
+        else:
+            pages[-1].append((int(line[0]) // 2, line[0] in "135", line[1:]))
+    return about, pages
+
+
+DEALT = "page_id long, url string, host string, read string"
+SHARDS = "kind string, shard long, bucket int, keys binary, bodies binary, held array<long>, data binary"
+
+
+def frame(rows: list[dict], schema: str) -> pd.DataFrame:
+    """Rows as ``mapInPandas`` takes them; what a row does not have is null."""
+    names = [part.split()[0] for part in schema.split(", ")]
+    return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in names})
+
+
+def over_shards(pages: DataFrame, length: int, share: float, most: float, unique_share: float, least: int, shard_chars: int, chars: int, anchor: int = 6) -> DataFrame:
+    """The texts of hosts of many pages (page_id, url, salt: the host's hash, html), as one array of all
+    pages of a host gives them, whichever shard a page is in.
+
+    A shard is what a task reads, ``shard_chars`` of html at a time; pages are parsed once
+    and stored by shard. Three rounds over the shards find what one array would:
+
+    1. Each shard tells the anchors of its passages (``Streams.anchors``, a fifth or so as
+       many) and the main texts that hold them. Only passages whose anchor is in two main
+       texts of the host can repeat; of these each shard numbers the equal ones by a
+       suffix array and tells the passages, again with main texts. Those of two are repeats.
+    2. By all repeats of the host each page is evidence or not. How many main texts of
+       pages that are carry a repeat, and how many there are, is summed over the shards;
+       a main text that several shards hold is named in the sum and counts once.
+    3. Each shard learns which of its passages enough pages carry, or most.
+    """
+    buckets = -(-chars // (1 << 25))
+
+    def salted(keys, salt: np.ndarray) -> np.ndarray:
+        return mixed_bits(keys ^ salt)
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+        from pyspark import TaskContext
+
+        shard = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for _, part in batch.groupby(batch["html"].str.len().cumsum().to_numpy() // shard_chars):
+                read = [blocks(page) for page in part["html"]]
+                s, salt = Streams(read, length), part["salt"].to_numpy(np.int64).view(np.uint64)
+                text = np.array([xxhash.xxh64_intdigest(t) for t in s.bodies], np.uint64)
+                body = salted(text[s.body], salt)
+                page = s.page[s.fits]
+                key = salted(s.anchors(anchor), salt[page])
+                first = np.r_[True, (key[1:] != key[:-1]) | (page[1:] != page[:-1])][: len(key)]
+                rows = dealt_keys(shard, key[first], body[page[first]], buckets, "anchors", np.uint32)
+                about = zip(part["page_id"], part["url"], salt.tolist(), body.tolist(), strict=True)
+                data = stored([(None if i is None else int(i), u, h, b) for i, u, h, b in about], [packed(page) for page in read])
+                rows.append({"kind": "pages", "shard": shard, "held": np.unique(body).view(np.int64), "data": data})
+                yield frame(rows, SHARDS)
+                shard += 1
+
+    def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for shard, data, found in zip(batch["shard"], batch["data"], batch["found"], strict=True):
+                about, read = restored(data)
+                s = Streams(read, length)
+                salt, body = (np.array([a[k] for a in about], np.uint64) for k in (2, 3))
+                at, found = np.flatnonzero(s.fits), unsigned(found)
+                may = np.zeros(len(s.tokens), bool)
+                if len(found):
+                    may[at] = np.isin(short_keys(salted(s.anchors(anchor), salt[s.page[at]]), buckets), found)
+                at = np.flatnonzero(may)
+                run, first, of = np.unique(s.runs(may)[at], return_index=True, return_inverse=True)
+                word = s.hashes(at[first], length)[of] if len(at) else np.zeros(0, np.uint64)
+                key = salted(word, salt[s.page[at]])
+                rows = dealt_keys(shard, key, body[s.page[at]], buckets, "passages", np.uint64)
+                seen = {"at": at.astype(np.int32), "key": key, "size": s.size.astype(np.int32), "main": np.packbits(s.main), "salt": salt, "body": body}
+                rows.append({"kind": "seen", "shard": shard, "data": squeezed(pickle.dumps(seen))})
+                yield frame(rows, SHARDS)
+
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for data, found, several in zip(batch["data"], batch["found"], batch["several"], strict=True):
+                x = pickle.loads(unsqueezed(data))
+                pages, size = len(x["size"]), x["size"].astype(np.int64) + 1
+                page, n, body, salt = np.repeat(np.arange(pages), size), int(size.sum()), x["body"], x["salt"]
+                marked = np.isin(x["key"], unsigned(found))
+                at = x["at"][marked].astype(np.int64)
+                own = own_pages(page, np.unpackbits(x["main"], count=n).astype(bool), covered(n, at, length), pages, unique_share)
+                named = np.isin(body, unsigned(several))
+                p, k = page[at], x["key"][marked]
+                # a passage (or, under 0, the host) and a main text of its own pages, each pair once
+                pairs = pd.DataFrame({"salt": np.r_[salt[p][own[p]], salt[own]], "passage": np.r_[k[own[p]], np.zeros(own.sum(), np.uint64)], "of": np.r_[np.zeros(own[p].sum(), bool), np.ones(own.sum(), bool)]})
+                pairs["body"], pairs["named"] = np.r_[body[p][own[p]], body[own]], np.r_[named[p][own[p]], named[own]]
+                pairs = pairs.drop_duplicates()
+                pairs["body"] = pairs["body"].where(pairs["named"], np.uint64(0))
+                out = pairs.groupby(["salt", "passage", "of", "named", "body"], as_index=False).size().rename(columns={"size": "n"})
+                for c in ("salt", "passage", "body"):
+                    out[c] = out[c].to_numpy(np.uint64).view(np.int64)
+                yield out[["salt", "passage", "of", "named", "body", "n"]]
+
+    def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for shard, data, found, mostly in zip(batch["shard"], batch["data"], batch["passages"], batch["mostly"], strict=True):
+                x = pickle.loads(unsqueezed(data))
+                gone, most_of = (np.isin(x["key"], unsigned(k)) for k in (found, mostly))
+                rows.append({"shard": shard, "gone": x["at"][gone].tobytes(), "most": x["at"][most_of].tobytes()})
+            yield frame(rows, "shard long, gone binary, most binary")
+
+    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for data, gone, mostly in zip(batch["data"], batch["gone"], batch["most"], strict=True):
+                about, read = restored(data)
+                n = sum(t.count(" ") + 1 for page in read for _, _, t in page) + len(read)
+                at = (np.frombuffer(b or b"", np.int32).astype(np.int64) for b in (gone, mostly))
+                out = main_texts(read, *(covered(n, a, length) for a in at), length)
+                yield pd.DataFrame({"page_id": pd.array([a[0] for a in about], "Int64"), "url": pd.Series([a[1] for a in about], dtype=object), "text": pd.Series(out, dtype=object)})
+
+    def rounds(df: DataFrame, first: str, second: str) -> tuple[DataFrame, DataFrame]:
+        both = written(df, "kind")
+        parts = []
+        for kind in (first, second):
+            part = both.where(F.col("kind") == kind)
+            part._written_at = f"{both._written_at}/kind={kind}"
+            parts.append(part)
+        return tuple(parts)
+
+    anchors, kept = rounds(pages.mapInPandas(parse, SHARDS), "anchors", "pages")
+    kept = kept.select("shard", "held", "data")
+    may = written(repeated_keys(anchors, np.uint32))
+    forget(anchors)
+    found, seen = rounds(kept.drop("held").join(may, "shard", "left").mapInPandas(passages, SHARDS), "passages", "seen")
+    forget(may)
+    seen = seen.select("shard", "data")
+    repeats = written(repeated_keys(found, np.uint64))
+    forget(found)
+    held = kept.select("shard", F.explode("held").alias("body"))
+    several = held.join(held.groupBy("body").count().where("count > 1"), "body").groupBy("shard").agg(F.collect_list("body").alias("several"))
+    sums = seen.join(repeats, "shard", "left").join(several, "shard", "left").mapInPandas(counts, "salt long, passage long, of boolean, named boolean, body long, n long")
+    sums = sums.groupBy("salt", "passage", "of", "named", "body").agg(F.sum("n").alias("n"))
+    sums = written(sums.groupBy("salt", "passage", "of").agg(F.sum(F.when(F.col("named"), 1).otherwise(F.col("n"))).alias("n")))
+    known = sums.where("not of and n > 1").drop("of").join(sums.where("of").select("salt", F.col("n").alias("pages")), "salt")
+    known = known.where((F.col("n") >= least) & (F.col("n") >= share * F.col("pages"))).select("passage", (F.col("n") >= most * F.col("pages")).alias("mostly"))
+    of = F.col("passage")
+    known = repeats.select("shard", F.explode("found").alias("passage")).join(known, "passage").groupBy("shard").agg(F.collect_list(of).alias("passages"), F.collect_list(F.when(F.col("mostly"), of)).alias("mostly"))
+    marked = written(seen.join(known, "shard").mapInPandas(marks, "shard long, gone binary, most binary"))
+    for done in (seen, repeats, sums):
+        forget(done)
+    return kept.join(marked, "shard", "left").mapInPandas(texts, "page_id long, url string, text string")
+
+
 def extract(pages: DataFrame, length: int = 12, share: float = 0.05, most: float = 0.5, unique_share: float = 0.25, least: int = 3, shard_chars: int = 1 << 19, broadcast_rows: int = 100_000) -> DataFrame:
     """The main text of every page: page_id, url, text, n_chars.
 
@@ -380,11 +628,9 @@ def extract(pages: DataFrame, length: int = 12, share: float = 0.05, most: float
     host's pages are a vote beside that of a class or id. A block with two votes goes;
     what has fewer stays, wherever it stands.
 
-    A host whose html is longer than ``shard_chars`` is dealt over shards by a hash of
-    the page, each with an array of its own, so a host that holds a third of all pages
-    is many tasks: the passages that shards find on two pages or more are summed by
-    (host, passage), compared by a 64-bit hash, and handed to all shards of the host.
-    There a passage that a shard holds once only does not count in that shard.
+    A host whose html is longer than ``shard_chars`` is many tasks (``over_shards``): each
+    shard of pages has an array of its own, and what shards find is summed by (host,
+    passage), compared by 64-bit hashes. ``shard_chars`` changes no result.
 
     Cases: null html is empty and gives an empty text; pages with a null or odd url are
     pages of one host (""), ids may be null or repeat (each row is a page); an empty
@@ -392,60 +638,30 @@ def extract(pages: DataFrame, length: int = 12, share: float = 0.05, most: float
     """
     host = F.coalesce(F.lower(F.try_parse_url(F.col("url").cast("string"), F.lit("HOST"))), F.lit(""))
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), text_of("html").alias("html"))
-    large = source.groupBy("host").agg(F.sum(F.length("html")).alias("chars")).where(F.col("chars") > shard_chars).select("host", F.ceil(F.col("chars") / shard_chars).cast("int").alias("shards"))
-    hosts = large.count()
-    one = F.coalesce("shards", F.lit(1))
-    placed = source.join(F.broadcast(large) if hosts <= broadcast_rows else large, "host", "left").select("page_id", "url", "host", F.pmod(F.xxhash64("page_id", "url", "html"), one).cast("int").alias("shard"), one.alias("shards"), "html")
+    large = source.groupBy("host").agg(F.sum(F.length("html")).alias("chars")).where(F.col("chars") > shard_chars)
+    hosts, chars = large.agg(F.count("*"), F.sum("chars")).first()
+    large = large.select("host", F.lit(True).alias("large"))
+    placed = source.join(F.broadcast(large) if hosts <= broadcast_rows else large, "host", "left")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a in range(0, len(batch), 500):  # the blocks of 500 pages at a time
                 part = batch.iloc[a : a + 500]
-                frame = part[["page_id", "url", "host", "shard"]].copy()
+                frame = part[["page_id", "url", "host"]].copy()
                 frame["page_id"] = frame["page_id"].astype("Int64")
                 frame["read"] = [packed(blocks(page)) for page in part["html"]]
                 yield frame
 
-    dealt = lambda which: placed.where(which).drop("shards").mapInPandas(parse, DEALT)
-
-    def streams(group: pd.DataFrame) -> tuple[pd.DataFrame, Streams]:
-        group = group.reset_index(drop=True)
-        return group, Streams([unpacked(read) for read in group["read"]], length)
-
-    def result(group: pd.DataFrame, texts: list[str]) -> pd.DataFrame:
-        return pd.DataFrame({"page_id": group["page_id"].astype("Int64"), "url": group["url"].astype(object), "text": pd.Series(texts, dtype=object)})
-
     def whole_host(group: pd.DataFrame) -> pd.DataFrame:
-        group, s = streams(group)
+        group = group.reset_index(drop=True)
+        s = Streams([unpacked(read) for read in group["read"]], length)
         n, of = s.repeats(unique_share)
-        return result(group, s.texts(s.of_runs(n >= max(least, share * of)), s.of_runs(n >= max(least, most * of))))
+        texts = s.texts(s.of_runs(n >= max(least, share * of)), s.of_runs(n >= max(least, most * of)))
+        return pd.DataFrame({"page_id": group["page_id"].astype("Int64"), "url": group["url"].astype(object), "text": pd.Series(texts, dtype=object)})
 
-    def found_in_shard(group: pd.DataFrame) -> pd.DataFrame:
-        group, s = streams(group)
-        n, of = s.repeats(unique_share)
-        held = np.flatnonzero(s.of_runs(n > 0))
-        run, first = np.unique(s.run[held], return_index=True)
-        return pd.DataFrame({"host": group["host"].iloc[0], "passage": np.r_[s.hashes(held[first]), 0], "n": np.r_[n[run], 0], "pages": np.r_[np.zeros(len(run), np.int64), of]})
-
-    def one_shard(group: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if not len(group):
-            return result(group, [])
-        group, s = streams(group)
-        at = np.flatnonzero(s.fits)
-        h = s.hashes(at)
-        marked, mostly = np.zeros((2, len(s.fits)), bool)
-        marked[at] = np.isin(h, known["passage"].to_numpy(np.int64))
-        mostly[at] = np.isin(h, known.loc[known["mostly"], "passage"].to_numpy(np.int64))
-        return result(group, s.texts(marked, mostly))
-
-    out = "page_id long, url string, text string"
-    texts = dealt("shards = 1").groupBy("host", "shard").applyInPandas(whole_host, out)
+    small = placed.where("large is null").drop("large").mapInPandas(parse, DEALT)
+    texts = small.groupBy("host").applyInPandas(whole_host, "page_id long, url string, text string")
     if hosts:
-        wide = dealt("shards > 1")
-        found = wide.groupBy("host", "shard").applyInPandas(found_in_shard, "host string, passage long, n long, pages long")
-        sums = written(found.groupBy("host", "passage").agg(F.sum("n").alias("n"), F.sum("pages").alias("pages")))
-        counted = sums.where("n > 0").join(sums.where("pages > 0").select("host", F.col("pages").alias("of")), "host")
-        known = counted.where((F.col("n") >= least) & (F.col("n") >= share * F.col("of"))).select("host", "passage", (F.col("n") >= most * F.col("of")).alias("mostly"))
-        known = known.join(large, "host").select("host", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "passage", "mostly")
-        texts = texts.unionByName(wide.groupBy("host", "shard").cogroup(known.groupBy("host", "shard")).applyInPandas(one_shard, out))
+        wide = placed.where("large").select(F.col("page_id").cast("string").alias("page_id"), "url", F.xxhash64("host").alias("salt"), "html")
+        texts = texts.unionByName(over_shards(wide, length, share, most, unique_share, least, shard_chars, chars))
     return texts.withColumn("n_chars", F.length("text").cast("long"))

@@ -329,6 +329,28 @@ def test_a_sentence_that_two_pages_quote(spark):
     assert html.blocks("<p>Press <button>OK</button> now</p>") == [(0, False, "Press now")]
 
 
+@pytest.mark.parametrize("shard_chars", [1, 700, 5000, 20_000, 1 << 19])
+def test_texts_do_not_depend_on_the_size_of_a_shard(spark, shard_chars):
+    rnd = random.Random(6)
+    words = lambda k: " ".join(f"w{rnd.randrange(3000)}" for _ in range(k))
+    pages, line, quote, pitch, twin, article = [], words(20), words(16), words(14), words(25), words(60)
+    for i in range(120):  # a line on every twelfth page, one on few, one on most
+        pages.append(("http://a.b/", f"<p>{words(25)}</p>" + f"<p>{line}</p>" * (i % 12 == 0) + f"<p>{quote} and {words(3)}</p>" * (i in (3, 80)) + (f"<article><p>{words(9)}</p><p class=promo>{pitch}</p></article>" if i % 4 else f"<p>{pitch} {words(4)}</p>")))
+    for i in range(40):  # near copies, copies of a main text under other menus, copies of pages, texts of no words
+        near = article.split()
+        near[rnd.randrange(60)] = "changed"
+        pages += [("http://c.d/", f"<nav>{words(13)} {i % 3}</nav><p>{' '.join(near)}</p>"), ("http://c.d/", f"<nav>{words(14)}</nav><p>{twin}</p>"), ("http://c.d/", f"<p>{line}</p><p>{words(20) if i % 9 else twin}</p>"), ("http://c.d/", f"<nav>{words(20)}</nav>" * (i % 2))]
+        pages.append(("http://e.f/", f"<p>{line}</p><p>{words(i % 8)}</p>"))
+    pages += [("http://e.f/", "<p>one"), ("http://g.h/", ""), ("http://g.h/", f"<p>{line}</p>")]
+    rows = [((1 << 60) + i, h + str(i), x or None, "", "") for i, (h, x) in enumerate(pages)]
+    rnd.shuffle(rows)
+    got = html.extract(spark.createDataFrame(rows, PAGES).repartition(3), shard_chars=shard_chars).collect()
+    assert len(got) == len(pages) and all(r.n_chars == len(r.text) for r in got)
+    want = plain_extract(pages)
+    assert {r.page_id: (r.url, r.text) for r in got} == {(1 << 60) + i: (h + str(i), want[i]) for i, (h, _) in enumerate(pages)}
+    assert not any(line in want[i] for i in range(0, 120, 12)) and all(quote in want[i] for i in (3, 80))
+
+
 def test_the_suffix_arrays_are_in_the_plan(spark):
     plan = html.extract(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInPandas" in plan
