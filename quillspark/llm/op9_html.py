@@ -7,6 +7,7 @@ import html as entities
 import json
 import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import forget, mixed_bits, text_of, written
+from quillspark.llm.common import bits_at, forget, mixed_bits, text_of, written
 
 # Elements by their role in a page, as the HTML standard names them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -291,6 +292,19 @@ def main_texts(pages: list[list[tuple[int, bool, str]]], gone: np.ndarray, most:
     return out
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, each worked out once."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_HASHES = WordHashes()
+
+
 class Streams:
     """The token streams of pages, one after the other, and their suffix array.
 
@@ -301,29 +315,27 @@ class Streams:
 
     def __init__(self, pages: list[list[tuple[int, bool, str]]], length: int):
         self.pages, self.length = pages, length
-        words: list[str] = []
-        counts, inner, size = [], [], []  # words of a block, whether it is main text; words of a page
+        self.words = words = []
+        counts, kinds, size = [], [], []  # words of a block and what it is; words of a page
         for page in pages:
             before = len(words)
-            for v, _, text in page:
+            for v, centre, text in page:
                 w = text.split()
                 words += w
                 counts.append(len(w))
-                inner.append(v < OUT)
+                kinds.append((v < OUT, v < OUT and not centre, v == OUT - 1 and centre))
             size.append(len(words) - before)
         self.size = np.array(size, np.int64)
-        flat, self.names = pd.factorize(np.array(words, dtype=object))
         ends = np.cumsum(self.size + 1) - 1
         n = len(words) + len(pages)
-        inside = np.ones(n, bool)
+        self.inside = inside = np.ones(n, bool)
         inside[ends] = False
-        self.tokens = np.empty(n, np.int64)
-        self.tokens[inside] = flat
-        self.tokens[ends] = len(self.names) + np.arange(len(pages))
         self.page = np.repeat(np.arange(len(pages)), self.size + 1)
         self.fits = np.arange(n) + length <= np.repeat(ends, self.size + 1)
-        self.main = np.zeros(n, bool)
-        self.main[inside] = np.repeat(np.array(inner, bool), counts)
+        of_tokens = np.zeros((3, n), bool)
+        of_tokens[:, inside] = np.repeat(np.array(kinds, bool).reshape(-1, 3).T, counts, axis=1)
+        # main text; of it what repeats take away, and what they are the second vote against
+        self.main, self.loose, self.voted = of_tokens
         # pages of one main text are one: copies of an article are no evidence
         bodies: dict[str, int] = {}
         self.body = np.array([bodies.setdefault("\n".join(t for v, _, t in page if v < OUT), len(bodies)) for page in pages], np.int64)
@@ -336,15 +348,17 @@ class Streams:
     def runs(self, chosen: np.ndarray) -> np.ndarray:
         """The numbers of the passages that begin at the ``chosen`` positions, by the
         suffix array of their tokens; -1 elsewhere."""
-        at = np.flatnonzero(covered(len(self.tokens), np.flatnonzero(chosen), self.length))
-        out = np.full(len(self.tokens), -1, np.int64)
-        out[at] = suffix_array(self.tokens[at], self.length)[1]
+        n = len(self.page)
+        at = np.flatnonzero(covered(n, np.flatnonzero(chosen), self.length))  # words only: a passage holds no end
+        out = np.full(n, -1, np.int64)
+        tokens = pd.factorize(np.array(self.words, dtype=object)[at - self.page[at]])[0]
+        out[at] = suffix_array(tokens.astype(np.int64), self.length)[1]
         return np.where(chosen, out, -1)
 
     def carriers(self, at: np.ndarray) -> np.ndarray:
         """By run, how many distinct main texts carry it at the positions ``at``."""
         n = int(self.body.max(initial=0)) + 1
-        return np.bincount(np.unique(self.run[at] * n + self.body[self.page[at]]) // n, minlength=len(self.tokens))
+        return np.bincount(np.unique(self.run[at] * n + self.body[self.page[at]]) // n, minlength=len(self.page))
 
     def of_runs(self, chosen: np.ndarray) -> np.ndarray:
         """The positions of runs for which ``chosen`` is true."""
@@ -353,22 +367,22 @@ class Streams:
     def repeats(self, unique_share: float) -> tuple[np.ndarray, int]:
         """How many pages with main texts of their own carry each run, and their number."""
         marked = self.of_runs(self.carriers(np.flatnonzero(self.fits)) > 1)
-        own = own_pages(self.page, self.main, covered(len(self.tokens), marked, self.length), len(self.pages), unique_share)
+        own = own_pages(self.page, self.main, covered(len(self.page), marked, self.length), len(self.pages), unique_share)
         n = self.carriers(marked[own[self.page[marked]]])
         return np.where(n > 1, n, 0), len(np.unique(self.body[own]))
 
     def texts(self, marked: np.ndarray, mostly: np.ndarray) -> list[str]:
         """The main text of each page, given where the passages to go begin (``main_texts``)."""
-        return main_texts(self.pages, *(covered(len(self.tokens), at, self.length) for at in (marked, mostly)), self.length)
+        return main_texts(self.pages, *(covered(len(self.page), at, self.length) for at in (marked, mostly)), self.length)
 
     @cached_property
     def hashed(self) -> np.ndarray:
-        """By token a 64-bit hash of the word, not of its number."""
-        import xxhash
-
-        h = np.zeros(len(self.names) + len(self.pages), np.uint64)
-        h[: len(self.names)] = [xxhash.xxh64_intdigest(w) for w in self.names]
-        return h[self.tokens]
+        """By token a 64-bit hash of the word, 0 for an end."""
+        if len(_HASHES) > 1 << 19:
+            _HASHES.clear()
+        h = np.zeros(len(self.page), np.uint64)
+        h[self.inside] = np.fromiter(map(_HASHES.__getitem__, self.words), np.uint64, len(self.words))
+        return h
 
     def hashes(self, at: np.ndarray, length: int) -> np.ndarray:
         """64-bit hashes of the ``length`` words from the positions ``at``."""
@@ -381,7 +395,7 @@ class Streams:
         """For each passage, where it ``fits``, the least hash of ``words`` words in a row in
         it: equal passages have equal anchors, neighbours mostly share one."""
         at, words = np.flatnonzero(self.fits), min(words, self.length)
-        n, steps = len(self.tokens), self.length - words + 1
+        n, steps = len(self.page), self.length - words + 1
         h = np.full(n + steps, np.iinfo(np.uint64).max)
         h[: max(0, n - words + 1)] = self.hashes(np.arange(max(0, n - words + 1)), words)
         return np.minimum.reduce([h[at + k] for k in range(steps)])
@@ -390,7 +404,7 @@ class Streams:
 def dealt_keys(shard: int, key: np.ndarray, body: np.ndarray, buckets: int, kind: str, dtype: type) -> list[dict]:
     """Keys of one shard and the main texts that hold them, as a row for each bucket of keys.
     Two texts a key are enough to tell that it repeats. With ``dtype`` np.uint32 a key is
-    its bucket and its low half."""
+    its bucket and its low half, which can take one for another."""
     order = np.lexsort((body, key))
     key, body = key[order], body[order]
     fresh = np.r_[True, (key[1:] != key[:-1]) | (body[1:] != body[:-1])][: len(key)]
@@ -404,23 +418,20 @@ def dealt_keys(shard: int, key: np.ndarray, body: np.ndarray, buckets: int, kind
     return [{"kind": kind, "shard": shard, "bucket": int(bucket[a]), "keys": key[a:b].astype(dtype).tobytes(), "bodies": body[a:b].tobytes()} for a, b in zip(cuts, cuts[1:])]
 
 
-def short_keys(key: np.ndarray, buckets: int) -> np.ndarray:
-    """Keys as ``repeated_keys`` gives them back for np.uint32."""
-    return (key >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | key & np.uint64(0xFFFFFFFF)
+def of_two_texts(key: np.ndarray, body: np.ndarray) -> np.ndarray:
+    """The keys that two main texts or more hold."""
+    order = np.lexsort((body, key))
+    key, body = key[order], body[order]
+    return np.unique(key[1:][(key[1:] == key[:-1]) & (body[1:] != body[:-1])])
 
 
-def repeated_keys(rows: DataFrame, dtype: type) -> DataFrame:
+def repeated_keys(rows: DataFrame) -> DataFrame:
     """By shard its keys that two main texts or more of all shards hold: shard, found (longs)."""
 
     def repeated(group: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.frombuffer(k, dtype).astype(np.uint64) for k in group["keys"]]
-        key, body = np.concatenate(parts), np.concatenate([np.frombuffer(b, np.uint64) for b in group["bodies"]])
-        if dtype is np.uint32:
-            key |= np.uint64(group["bucket"].iloc[0]) << np.uint64(32)
-        order = np.lexsort((body, key))
-        same = key[order][1:] == key[order][:-1]
-        twice = np.unique(key[order][1:][same & (body[order][1:] != body[order][:-1])])
-        hit, cuts = np.isin(key, twice), np.cumsum([0, *map(len, parts)]).tolist()
+        parts = [np.frombuffer(k, np.uint64) for k in group["keys"]]
+        key, cuts = np.concatenate(parts), np.cumsum([0, *map(len, parts)]).tolist()
+        hit = np.isin(key, of_two_texts(key, np.concatenate([np.frombuffer(b, np.uint64) for b in group["bodies"]])))
         out = pd.DataFrame({"shard": group["shard"], "found": [key[a:b][hit[a:b]].view(np.int64) for a, b in zip(cuts, cuts[1:])]})
         return out[out["found"].str.len() > 0]
 
@@ -428,6 +439,31 @@ def repeated_keys(rows: DataFrame, dtype: type) -> DataFrame:
     return found.groupBy("shard").agg(F.flatten(F.collect_list("found")).alias("found"))
 
 
+def repeated_field(rows: DataFrame, bits: int) -> np.ndarray:
+    """2^``bits`` bits, those at the last bits of the keys that two main texts or more hold;
+    the driver gets them in 64 compressed slices."""
+    slices, low = 64, np.uint32((1 << bits) - 1)
+    width = (1 << bits) // slices
+
+    def repeated(group: pd.DataFrame) -> pd.DataFrame:
+        key, body = (np.concatenate([np.frombuffer(x, kind) for x in group[c]]) for c, kind in (("keys", np.uint32), ("bodies", np.uint64)))
+        place = np.unique(of_two_texts(key, body) & low).astype(np.int64)
+        cuts = np.searchsorted(place, np.arange(slices + 1) * width).tolist()
+        return pd.DataFrame({"slice": np.arange(slices), "places": [place[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]})
+
+    def drawn(group: pd.DataFrame) -> pd.DataFrame:
+        field = np.zeros(width, bool)
+        for places in group["places"]:
+            field[np.frombuffer(places, np.int64) % width] = True
+        return pd.DataFrame({"slice": group["slice"].iloc[:1], "part": [zlib.compress(np.packbits(field, bitorder="little").tobytes(), 1)]})
+
+    places = rows.select("bucket", "keys", "bodies").groupBy("bucket").applyInPandas(repeated, "slice int, places binary")
+    field = np.zeros((slices, width // 32), np.uint32)
+    for r in places.groupBy("slice").applyInPandas(drawn, "slice int, part binary").collect():
+        field[r["slice"]] = np.frombuffer(zlib.decompress(r["part"]), np.uint32)
+    return field.ravel()
+
+
 def unsigned(longs) -> np.ndarray:
     """A list of longs, or null for none, as unsigned numbers."""
     return np.asarray(() if longs is None else longs, np.int64).view(np.uint64)
@@ -436,7 +472,7 @@ def unsigned(longs) -> np.ndarray:
 def squeezed(data: bytes) -> bytes:
     import pyarrow as pa
 
-    return pa.compress(data, "zstd", asbytes=True)
+    return pa.Codec("zstd", compression_level=3).compress(data, asbytes=True)
 
 
 def unsqueezed(data: bytes) -> bytes:
@@ -481,7 +517,7 @@ def frame(rows: list[dict], schema: str) -> pd.DataFrame:
     return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in names})
 
 
-def over_shards(pages: DataFrame, length: int, share: float, most: float, unique_share: float, least: int, shard_chars: int, chars: int, anchor: int = 6) -> DataFrame:
+def over_shards(pages: DataFrame, length: int, share: float, most: float, unique_share: float, least: int, shard_chars: int, chars: int, anchor: int = 5, filter_bits: int = 28) -> DataFrame:
     """The texts of hosts of many pages (page_id, url, salt: the host's hash, html), as one array of all
     pages of a host gives them, whichever shard a page is in.
 
@@ -490,14 +526,17 @@ def over_shards(pages: DataFrame, length: int, share: float, most: float, unique
 
     1. Each shard tells the anchors of its passages (``Streams.anchors``, a fifth or so as
        many) and the main texts that hold them. Only passages whose anchor is in two main
-       texts of the host can repeat; of these each shard numbers the equal ones by a
-       suffix array and tells the passages, again with main texts. Those of two are repeats.
+       texts of the host can repeat (by a filter of at most 2^``filter_bits`` bits, which
+       misses none); of these each shard numbers the equal ones by a suffix array and tells
+       the passages, again with main texts. Those of two are repeats.
     2. By all repeats of the host each page is evidence or not. How many main texts of
        pages that are carry a repeat, and how many there are, is summed over the shards;
        a main text that several shards hold is named in the sum and counts once.
     3. Each shard learns which of its passages enough pages carry, or most.
     """
     buckets = -(-chars // (1 << 25))
+    bits = min(filter_bits, max(16, (chars // 16).bit_length()))
+    spark = pages.sparkSession
 
     def salted(keys, salt: np.ndarray) -> np.ndarray:
         return mixed_bits(keys ^ salt)
@@ -525,20 +564,18 @@ def over_shards(pages: DataFrame, length: int, share: float, most: float, unique
 
     def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for shard, data, found in zip(batch["shard"], batch["data"], batch["found"], strict=True):
+            for shard, data in zip(batch["shard"], batch["data"], strict=True):
                 about, read = restored(data)
                 s = Streams(read, length)
                 salt, body = (np.array([a[k] for a in about], np.uint64) for k in (2, 3))
-                at, found = np.flatnonzero(s.fits), unsigned(found)
-                may = np.zeros(len(s.tokens), bool)
-                if len(found):
-                    may[at] = np.isin(short_keys(salted(s.anchors(anchor), salt[s.page[at]]), buckets), found)
+                at, may = np.flatnonzero(s.fits), np.zeros(len(s.page), bool)
+                may[at] = bits_at(field.value, (salted(s.anchors(anchor), salt[s.page[at]]) & np.uint64((1 << bits) - 1)).astype(np.int64))
                 at = np.flatnonzero(may)
                 run, first, of = np.unique(s.runs(may)[at], return_index=True, return_inverse=True)
                 word = s.hashes(at[first], length)[of] if len(at) else np.zeros(0, np.uint64)
                 key = salted(word, salt[s.page[at]])
                 rows = dealt_keys(shard, key, body[s.page[at]], buckets, "passages", np.uint64)
-                seen = {"at": at.astype(np.int32), "key": key, "size": s.size.astype(np.int32), "main": np.packbits(s.main), "salt": salt, "body": body}
+                seen = {"at": at.astype(np.int32), "key": key, "size": s.size.astype(np.int32), "main": np.packbits(s.main), "loose": np.packbits(s.loose), "voted": np.packbits(s.voted), "salt": salt, "body": body}
                 rows.append({"kind": "seen", "shard": shard, "data": squeezed(pickle.dumps(seen))})
                 yield frame(rows, SHARDS)
 
@@ -567,9 +604,15 @@ def over_shards(pages: DataFrame, length: int, share: float, most: float, unique
         for batch in batches:
             rows = []
             for shard, data, found, mostly in zip(batch["shard"], batch["data"], batch["passages"], batch["mostly"], strict=True):
-                x = pickle.loads(unsqueezed(data))
-                gone, most_of = (np.isin(x["key"], unsigned(k)) for k in (found, mostly))
-                rows.append({"shard": shard, "gone": x["at"][gone].tobytes(), "most": x["at"][most_of].tobytes()})
+                x, row = pickle.loads(unsqueezed(data)), {"shard": shard}
+                n = int(x["size"].sum()) + len(x["size"])
+                for c, keys, where in (("gone", found, "loose"), ("most", mostly, "voted")):
+                    at = x["at"][np.isin(x["key"], unsigned(keys))]
+                    before = np.r_[0, np.cumsum(np.unpackbits(x[where], count=n))]
+                    at = at[before[at + length] > before[at]]  # those that decide on a word
+                    row[c] = at.tobytes() if len(at) else None
+                if row["gone"] or row["most"]:
+                    rows.append(row)
             yield frame(rows, "shard long, gone binary, most binary")
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -590,25 +633,24 @@ def over_shards(pages: DataFrame, length: int, share: float, most: float, unique
             parts.append(part)
         return tuple(parts)
 
-    anchors, kept = rounds(pages.mapInPandas(parse, SHARDS), "anchors", "pages")
-    kept = kept.select("shard", "held", "data")
-    may = written(repeated_keys(anchors, np.uint32))
+    anchors, pages_read = rounds(pages.mapInPandas(parse, SHARDS), "anchors", "pages")
+    kept = pages_read.select("shard", "held", "data")
+    field = spark.sparkContext.broadcast(repeated_field(anchors, bits))
     forget(anchors)
-    found, seen = rounds(kept.drop("held").join(may, "shard", "left").mapInPandas(passages, SHARDS), "passages", "seen")
-    forget(may)
-    seen = seen.select("shard", "data")
-    repeats = written(repeated_keys(found, np.uint64))
+    found, seen = rounds(kept.drop("held").mapInPandas(passages, SHARDS), "passages", "seen")
+    field.unpersist()
+    repeats = written(repeated_keys(found))
     forget(found)
     held = kept.select("shard", F.explode("held").alias("body"))
     several = held.join(held.groupBy("body").count().where("count > 1"), "body").groupBy("shard").agg(F.collect_list("body").alias("several"))
-    sums = seen.join(repeats, "shard", "left").join(several, "shard", "left").mapInPandas(counts, "salt long, passage long, of boolean, named boolean, body long, n long")
+    sums = seen.select("shard", "data").join(repeats, "shard", "left").join(several, "shard", "left").mapInPandas(counts, "salt long, passage long, of boolean, named boolean, body long, n long")
     sums = sums.groupBy("salt", "passage", "of", "named", "body").agg(F.sum("n").alias("n"))
     sums = written(sums.groupBy("salt", "passage", "of").agg(F.sum(F.when(F.col("named"), 1).otherwise(F.col("n"))).alias("n")))
     known = sums.where("not of and n > 1").drop("of").join(sums.where("of").select("salt", F.col("n").alias("pages")), "salt")
     known = known.where((F.col("n") >= least) & (F.col("n") >= share * F.col("pages"))).select("passage", (F.col("n") >= most * F.col("pages")).alias("mostly"))
     of = F.col("passage")
     known = repeats.select("shard", F.explode("found").alias("passage")).join(known, "passage").groupBy("shard").agg(F.collect_list(of).alias("passages"), F.collect_list(F.when(F.col("mostly"), of)).alias("mostly"))
-    marked = written(seen.join(known, "shard").mapInPandas(marks, "shard long, gone binary, most binary"))
+    marked = written(seen.select("shard", "data").join(known, "shard").mapInPandas(marks, "shard long, gone binary, most binary"))
     for done in (seen, repeats, sums):
         forget(done)
     return kept.join(marked, "shard", "left").mapInPandas(texts, "page_id long, url string, text string")
