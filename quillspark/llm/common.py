@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +52,19 @@ def written(df: DataFrame, by: str | None = None) -> DataFrame:
     return out
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What DataFrames made in here shuffle is deleted when their job ends, and does not lie
+    on disk until the driver's JVM next collects garbage. For those that run once."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def forget(df: DataFrame) -> None:
     """Delete what ``written`` stored for ``df``, once nothing reads it any more."""
     path = getattr(df, "_written_at", None)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bits_at, forget, mixed_bits, text_of, written
+from quillspark.llm.common import bits_at, forget, mixed_bits, shuffles_freed, text_of, written
 
 # Elements by their role in a page, as the HTML standard names them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -401,10 +401,10 @@ class Streams:
         return np.minimum.reduce([h[at + k] for k in range(steps)])
 
 
-def dealt_keys(shard: int, key: np.ndarray, body: np.ndarray, buckets: int, kind: str, dtype: type) -> list[dict]:
-    """Keys of one shard and the main texts that hold them, as a row for each bucket of keys.
-    Two texts a key are enough to tell that it repeats. With ``dtype`` np.uint32 a key is
-    its bucket and its low half, which can take one for another."""
+def dealt(key: np.ndarray, body: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Keys of one shard and the main texts that hold them, each pair once, by bucket of
+    keys, and the buckets as (bucket, from, to). Two texts a key are enough to tell that it
+    repeats. The order depends on the keys and texts only."""
     order = np.lexsort((body, key))
     key, body = key[order], body[order]
     fresh = np.r_[True, (key[1:] != key[:-1]) | (body[1:] != body[:-1])][: len(key)]
@@ -415,7 +415,7 @@ def dealt_keys(shard: int, key: np.ndarray, body: np.ndarray, buckets: int, kind
     order = np.lexsort((body, bucket))
     key, body, bucket = key[order], body[order], bucket[order]
     cuts = np.r_[np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)].tolist()
-    return [{"kind": kind, "shard": shard, "bucket": int(bucket[a]), "keys": key[a:b].astype(dtype).tobytes(), "bodies": body[a:b].tobytes()} for a, b in zip(cuts, cuts[1:])]
+    return key, body, [(int(bucket[a]), a, b) for a, b in zip(cuts, cuts[1:])]
 
 
 def of_two_texts(key: np.ndarray, body: np.ndarray) -> np.ndarray:
@@ -426,17 +426,19 @@ def of_two_texts(key: np.ndarray, body: np.ndarray) -> np.ndarray:
 
 
 def repeated_keys(rows: DataFrame) -> DataFrame:
-    """By shard its keys that two main texts or more of all shards hold: shard, found (longs)."""
+    """By shard and bucket (of those with any) which of its keys, in the order of ``dealt``, two
+    main texts or more of all shards hold: shard, buckets (ints), hits (a bit for each key)."""
 
     def repeated(group: pd.DataFrame) -> pd.DataFrame:
         parts = [np.frombuffer(k, np.uint64) for k in group["keys"]]
         key, cuts = np.concatenate(parts), np.cumsum([0, *map(len, parts)]).tolist()
         hit = np.isin(key, of_two_texts(key, np.concatenate([np.frombuffer(b, np.uint64) for b in group["bodies"]])))
-        out = pd.DataFrame({"shard": group["shard"], "found": [key[a:b][hit[a:b]].view(np.int64) for a, b in zip(cuts, cuts[1:])]})
-        return out[out["found"].str.len() > 0]
+        out = pd.DataFrame({"shard": group["shard"], "bucket": group["bucket"], "hits": [np.packbits(hit[a:b]).tobytes() if hit[a:b].any() else b"" for a, b in zip(cuts, cuts[1:])]})
+        return out[out["hits"].str.len() > 0]
 
-    found = rows.select("shard", "bucket", "keys", "bodies").groupBy("bucket").applyInPandas(repeated, "shard long, found array<long>")
-    return found.groupBy("shard").agg(F.flatten(F.collect_list("found")).alias("found"))
+    found = rows.groupBy("bucket").applyInPandas(repeated, "shard long, bucket int, hits binary")
+    found = found.groupBy("shard").agg(F.collect_list(F.struct("bucket", "hits")).alias("found"))
+    return found.select("shard", F.col("found.bucket").alias("buckets"), F.col("found.hits").alias("hits"))
 
 
 def repeated_field(rows: DataFrame, bits: int) -> np.ndarray:
@@ -509,6 +511,8 @@ def restored(data: bytes) -> tuple[list[list], list[list[tuple[int, bool, str]]]
 
 DEALT = "page_id long, url string, host string, read string"
 SHARDS = "kind string, shard long, bucket int, keys binary, bodies binary, held array<long>, data binary"
+SEEN = "shard long, n long, data binary"
+TOLD = "shard long, bucket int, keys binary, bodies binary"
 
 
 def frame(rows: list[dict], schema: str) -> pd.DataFrame:
@@ -555,7 +559,8 @@ def over_shards(pages: DataFrame, length: int, share: float, most: float, unique
                 page = s.page[s.fits]
                 key = salted(s.anchors(anchor), salt[page])
                 first = np.r_[True, (key[1:] != key[:-1]) | (page[1:] != page[:-1])][: len(key)]
-                rows = dealt_keys(shard, key[first], body[page[first]], buckets, "anchors", np.uint32)
+                key, held, parts = dealt(key[first], body[page[first]], buckets)
+                rows = [{"kind": "anchors", "shard": shard, "bucket": k, "keys": key[a:b].astype(np.uint32).tobytes(), "bodies": held[a:b].tobytes()} for k, a, b in parts]
                 about = zip(part["page_id"], part["url"], salt.tolist(), body.tolist(), strict=True)
                 data = stored([(None if i is None else int(i), u, h, b) for i, u, h, b in about], [packed(page) for page in read])
                 rows.append({"kind": "pages", "shard": shard, "held": np.unique(body).view(np.int64), "data": data})
@@ -574,20 +579,43 @@ def over_shards(pages: DataFrame, length: int, share: float, most: float, unique
                 run, first, of = np.unique(s.runs(may)[at], return_index=True, return_inverse=True)
                 word = s.hashes(at[first], length)[of] if len(at) else np.zeros(0, np.uint64)
                 key = salted(word, salt[s.page[at]])
-                rows = dealt_keys(shard, key, body[s.page[at]], buckets, "passages", np.uint64)
-                seen = {"at": at.astype(np.int32), "key": key, "size": s.size.astype(np.int32), "main": np.packbits(s.main), "loose": np.packbits(s.loose), "voted": np.packbits(s.voted), "salt": salt, "body": body}
-                rows.append({"kind": "seen", "shard": shard, "data": squeezed(pickle.dumps(seen))})
-                yield frame(rows, SHARDS)
+                seen = {"after": np.diff(at, prepend=0).astype(np.int32), "key": key, "size": s.size.astype(np.int32), "main": np.packbits(s.main), "loose": np.packbits(s.loose), "voted": np.packbits(s.voted), "salt": salt, "body": body}
+                yield frame([{"shard": shard, "n": len(at), "data": squeezed(pickle.dumps(seen))}], SEEN)
+
+    def recalled(data: bytes) -> tuple[dict, np.ndarray, np.ndarray]:
+        """What a shard has seen, where its passages begin and their page by position."""
+        x = pickle.loads(unsqueezed(data))
+        return x, np.cumsum(x["after"], dtype=np.int64), np.repeat(np.arange(len(x["size"])), x["size"].astype(np.int64) + 1)
+
+    def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for shard, data in zip(batch["shard"], batch["data"], strict=True):
+                x, at, page = recalled(data)
+                key, body, parts = dealt(x["key"], x["body"][page[at]], groups)
+                yield frame([{"shard": shard, "bucket": k, "keys": key[a:b].tobytes(), "bodies": body[a:b].tobytes()} for k, a, b in parts], TOLD)
+
+    def repeated(x: dict, at: np.ndarray, page: np.ndarray, bucket, hits) -> np.ndarray:
+        """The keys of a shard that ``repeated_keys`` found."""
+        if bucket is None:
+            return np.zeros(0, np.uint64)
+        key, _, parts = dealt(x["key"], x["body"][page[at]], groups)
+        found = dict(zip(bucket, hits, strict=True))
+        return np.concatenate([key[a:b][np.unpackbits(np.frombuffer(found[k], np.uint8), count=b - a).astype(bool)] for k, a, b in parts if k in found])
+
+    def holds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for shard, data, bucket, hits in zip(batch["shard"], batch["data"], batch["buckets"], batch["hits"], strict=True):
+                keys = np.unique(repeated(*recalled(data), bucket, hits))
+                yield pd.DataFrame({"shard": np.full(len(keys), shard), "passage": keys.view(np.int64)})
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for data, found, several in zip(batch["data"], batch["found"], batch["several"], strict=True):
-                x = pickle.loads(unsqueezed(data))
-                pages, size = len(x["size"]), x["size"].astype(np.int64) + 1
-                page, n, body, salt = np.repeat(np.arange(pages), size), int(size.sum()), x["body"], x["salt"]
-                marked = np.isin(x["key"], unsigned(found))
-                at = x["at"][marked].astype(np.int64)
-                own = own_pages(page, np.unpackbits(x["main"], count=n).astype(bool), covered(n, at, length), pages, unique_share)
+            for data, bucket, hits, several in zip(batch["data"], batch["buckets"], batch["hits"], batch["several"], strict=True):
+                x, at, page = recalled(data)
+                n, body, salt = len(page), x["body"], x["salt"]
+                marked = np.isin(x["key"], repeated(x, at, page, bucket, hits))
+                at = at[marked]
+                own = own_pages(page, np.unpackbits(x["main"], count=n).astype(bool), covered(n, at, length), len(body), unique_share)
                 named = np.isin(body, unsigned(several))
                 p, k = page[at], x["key"][marked]
                 # a passage (or, under 0, the host) and a main text of its own pages, each pair once
@@ -604,13 +632,13 @@ def over_shards(pages: DataFrame, length: int, share: float, most: float, unique
         for batch in batches:
             rows = []
             for shard, data, found, mostly in zip(batch["shard"], batch["data"], batch["passages"], batch["mostly"], strict=True):
-                x, row = pickle.loads(unsqueezed(data)), {"shard": shard}
-                n = int(x["size"].sum()) + len(x["size"])
+                (x, begins, page), row = recalled(data), {"shard": shard}
+                n = len(page)
                 for c, keys, where in (("gone", found, "loose"), ("most", mostly, "voted")):
-                    at = x["at"][np.isin(x["key"], unsigned(keys))]
+                    at = begins[np.isin(x["key"], unsigned(keys))]
                     before = np.r_[0, np.cumsum(np.unpackbits(x[where], count=n))]
                     at = at[before[at + length] > before[at]]  # those that decide on a word
-                    row[c] = at.tobytes() if len(at) else None
+                    row[c] = at.astype(np.int32).tobytes() if len(at) else None
                 if row["gone"] or row["most"]:
                     rows.append(row)
             yield frame(rows, "shard long, gone binary, most binary")
@@ -624,36 +652,34 @@ def over_shards(pages: DataFrame, length: int, share: float, most: float, unique
                 out = main_texts(read, *(covered(n, a, length) for a in at), length)
                 yield pd.DataFrame({"page_id": pd.array([a[0] for a in about], "Int64"), "url": pd.Series([a[1] for a in about], dtype=object), "text": pd.Series(out, dtype=object)})
 
-    def rounds(df: DataFrame, first: str, second: str) -> tuple[DataFrame, DataFrame]:
-        both = written(df, "kind")
-        parts = []
-        for kind in (first, second):
-            part = both.where(F.col("kind") == kind)
-            part._written_at = f"{both._written_at}/kind={kind}"
-            parts.append(part)
-        return tuple(parts)
-
-    anchors, pages_read = rounds(pages.mapInPandas(parse, SHARDS), "anchors", "pages")
-    kept = pages_read.select("shard", "held", "data")
-    field = spark.sparkContext.broadcast(repeated_field(anchors, bits))
-    forget(anchors)
-    found, seen = rounds(kept.drop("held").mapInPandas(passages, SHARDS), "passages", "seen")
-    field.unpersist()
-    repeats = written(repeated_keys(found))
-    forget(found)
-    held = kept.select("shard", F.explode("held").alias("body"))
-    several = held.join(held.groupBy("body").count().where("count > 1"), "body").groupBy("shard").agg(F.collect_list("body").alias("several"))
-    sums = seen.select("shard", "data").join(repeats, "shard", "left").join(several, "shard", "left").mapInPandas(counts, "salt long, passage long, of boolean, named boolean, body long, n long")
-    sums = sums.groupBy("salt", "passage", "of", "named", "body").agg(F.sum("n").alias("n"))
-    sums = written(sums.groupBy("salt", "passage", "of").agg(F.sum(F.when(F.col("named"), 1).otherwise(F.col("n"))).alias("n")))
-    known = sums.where("not of and n > 1").drop("of").join(sums.where("of").select("salt", F.col("n").alias("pages")), "salt")
-    known = known.where((F.col("n") >= least) & (F.col("n") >= share * F.col("pages"))).select("passage", (F.col("n") >= most * F.col("pages")).alias("mostly"))
-    of = F.col("passage")
-    known = repeats.select("shard", F.explode("found").alias("passage")).join(known, "passage").groupBy("shard").agg(F.collect_list(of).alias("passages"), F.collect_list(F.when(F.col("mostly"), of)).alias("mostly"))
-    marked = written(seen.select("shard", "data").join(known, "shard").mapInPandas(marks, "shard long, gone binary, most binary"))
-    for done in (seen, repeats, sums):
-        forget(done)
-    return kept.join(marked, "shard", "left").mapInPandas(texts, "page_id long, url string, text string")
+    # each of these runs once, so that what it shuffles goes when it ends
+    with shuffles_freed(spark):
+        both = written(pages.mapInPandas(parse, SHARDS), "kind")
+        anchors, kept = (both.where(F.col("kind") == kind) for kind in ("anchors", "pages"))
+        anchors._written_at = f"{both._written_at}/kind=anchors"
+        field = spark.sparkContext.broadcast(repeated_field(anchors, bits))
+        forget(anchors)
+        seen = written(kept.select("shard", "data").mapInPandas(passages, SEEN))
+        field.unpersist()
+        groups = -(-(seen.agg(F.sum("n")).first()[0] or 1) // (1 << 21))
+        repeats = written(repeated_keys(seen.mapInPandas(tell, TOLD)))
+        held = kept.select("shard", F.explode("held").alias("body"))
+        several = held.join(held.groupBy("body").count().where("count > 1"), "body").groupBy("shard").agg(F.collect_list("body").alias("several"))
+        sums = seen.join(repeats, "shard", "left").join(several, "shard", "left").mapInPandas(counts, "salt long, passage long, of boolean, named boolean, body long, n long")
+        sums = sums.groupBy("salt", "passage", "of", "named", "body").agg(F.sum("n").alias("n"))
+        sums = written(sums.groupBy("salt", "passage", "of").agg(F.sum(F.when(F.col("named"), 1).otherwise(F.col("n"))).alias("n")))
+        known = sums.where("not of and n > 1").drop("of").join(sums.where("of").select("salt", F.col("n").alias("pages")), "salt")
+        known = known.where((F.col("n") >= least) & (F.col("n") >= share * F.col("pages")))
+        # stored, so that Spark sees how few they are: then what shards hold is not shuffled to meet them
+        known = written(known.select("passage", (F.col("n") >= most * F.col("pages")).alias("mostly")))
+        forget(sums)
+        of = F.col("passage")
+        has = seen.join(repeats, "shard").mapInPandas(holds, "shard long, passage long").join(known, "passage")
+        has = written(has.groupBy("shard").agg(F.collect_list(of).alias("passages"), F.collect_list(F.when(F.col("mostly"), of)).alias("mostly")))
+        marked = written(seen.join(has, "shard").mapInPandas(marks, "shard long, gone binary, most binary"))
+        for done in (seen, repeats, known, has):
+            forget(done)
+    return kept.select("shard", "data").join(marked, "shard", "left").mapInPandas(texts, "page_id long, url string, text string")
 
 
 def extract(pages: DataFrame, length: int = 12, share: float = 0.05, most: float = 0.5, unique_share: float = 0.25, least: int = 3, shard_chars: int = 1 << 19, broadcast_rows: int = 100_000) -> DataFrame:

@@ -7,12 +7,14 @@ import re
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.llm import common
 from quillspark.llm import op7_licenses as licenses
 from quillspark.llm import op8_lm_score as lm
 from quillspark.llm import op9_html as html
@@ -351,6 +353,33 @@ def test_texts_do_not_depend_on_the_size_of_a_shard(spark, shard_chars):
     assert not any(line in want[i] for i in range(0, 120, 12)) and all(quote in want[i] for i in (3, 80))
 
 
+def test_shards_leave_no_shuffled_files_and_store_passages_once(spark, monkeypatch):
+    rnd = random.Random(7)
+    words = lambda k: " ".join(f"w{rnd.randrange(9000)}" for _ in range(k))
+    articles, rows = [words(150) for _ in range(20)], []
+    for i in range(400):  # every article in twenty versions, so that most passages repeat
+        near = articles[i % 20].split()
+        near[rnd.randrange(150)] = f"changed{i}"
+        rows.append((i, f"http://a.b/{i}", f"<p>{' '.join(near)}</p><p>{words(20)}</p>", "", ""))
+    pages = spark.createDataFrame(rows, PAGES)
+    local = [Path(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    shuffled = lambda: {f: f.stat().st_size for d in local for f in d.rglob("shuffle_*.data")}
+    before, paths, stored, left = shuffled(), [], [], []
+
+    def written(df, by=None):
+        out = common.written(df, by)
+        paths.append(Path(out._written_at))
+        stored.append(sum(f.stat().st_size for p in paths for f in p.rglob("*.parquet")))
+        left.append(sum(n for f, n in shuffled().items() if f not in before))
+        return out
+
+    monkeypatch.setattr(html, "written", written)
+    got = {r.page_id: r.text for r in html.extract(pages, shard_chars=20_000).collect()}
+    assert got == dict(enumerate(plain_extract([("http://a.b/", r[2]) for r in rows])))
+    read = sum(f.stat().st_size for f in paths[0].rglob("*.parquet"))  # the pages alone
+    assert max(left) < read / 4 and max(stored) < 5 * read, (stored, left, read)
+
+
 def test_the_suffix_arrays_are_in_the_plan(spark):
     plan = html.extract(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInPandas" in plan
