@@ -391,6 +391,21 @@ class Streams:
             out = mixed_bits(out * np.uint64(0x9E3779B97F4A7C15) + self.hashed[at + k])
         return out
 
+    def stretches(self, at: np.ndarray, body: np.ndarray) -> np.ndarray:
+        """For the passages that begin at the positions ``at`` the unbroken stretch of main text
+        they lie in, as a hash of the main text (``body``, by page) and the stretch's place in
+        it; 0 for those with other words. Pages that share the stretch have all its passages."""
+        edges = np.flatnonzero(np.diff(np.r_[False, self.main, False]))
+        begins, ends = edges[::2], edges[1::2]
+        if not len(begins):
+            return np.zeros(len(at), np.uint64)
+        before = np.r_[0, np.cumsum(self.main)]
+        first = np.r_[0, np.cumsum(self.size + 1)][self.page[begins]]  # where the page begins
+        place = (before[begins] - before[first]).astype(np.uint64) << np.uint64(32) | (ends - begins).astype(np.uint64)
+        unit = mixed_bits(body[self.page[begins]] + mixed_bits(place)) | np.uint64(1)
+        k = np.searchsorted(begins, at, side="right") - 1
+        return np.where((k >= 0) & (at + self.length <= ends[k]), unit[k], np.uint64(0))
+
     def anchors(self, words: int) -> np.ndarray:
         """For each passage, where it ``fits``, the least hash of ``words`` words in a row in
         it: equal passages have equal anchors, neighbours mostly share one."""
@@ -401,6 +416,26 @@ class Streams:
         return np.minimum.reduce([h[at + k] for k in range(steps)])
 
 
+def told_once(key: np.ndarray, page: np.ndarray, unit: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors of a shard's passages (by passage its anchor, page and unit, see
+    ``Streams.stretches``): the units, how many keys each has, and the keys (40 bits).
+
+    A key is told once a page, under 0 if any passage that has it is no part of a unit, and
+    once for pages that share the unit (under 0 the main text)."""
+    first = np.r_[True, (key[1:] != key[:-1]) | (page[1:] != page[:-1]) | (unit[1:] != unit[:-1])][: len(key)]
+    key, page, unit = key[first] & np.uint64((1 << 40) - 1), page[first], unit[first]
+    order = np.lexsort((unit, key, page))
+    key, page, unit = key[order], page[order], unit[order]
+    first = np.r_[True, (key[1:] != key[:-1]) | (page[1:] != page[:-1])][: len(key)]
+    key, page, unit = key[first], page[first], unit[first]
+    of = np.where(unit == 0, body[page], np.uint64(0))
+    order = np.lexsort((key, of, unit))
+    key, unit, of = key[order], unit[order], of[order]
+    first = np.r_[True, (key[1:] != key[:-1]) | (unit[1:] != unit[:-1]) | (of[1:] != of[:-1])][: len(key)]
+    units, numbers = np.unique(unit[first], return_counts=True)
+    return units, numbers.astype(np.uint32), key[first]
+
+
 def dealt(key: np.ndarray, body: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
     """Keys of one shard and the main texts that hold them, each pair once, by bucket of
     keys, and the buckets as (bucket, from, to). Two texts a key are enough to tell that it
@@ -442,14 +477,14 @@ def repeated_keys(rows: DataFrame) -> DataFrame:
 
 
 def repeated_field(rows: DataFrame, bits: int) -> np.ndarray:
-    """2^``bits`` bits, those at the last bits of the keys that two main texts or more hold;
-    the driver gets them in 64 compressed slices."""
+    """2^``bits`` bits, those at the last bits of the keys that are there twice or more; the
+    driver gets them in 64 compressed slices."""
     slices, low = 64, np.uint32((1 << bits) - 1)
     width = (1 << bits) // slices
 
     def repeated(group: pd.DataFrame) -> pd.DataFrame:
-        key, body = (np.concatenate([np.frombuffer(x, kind) for x in group[c]]) for c, kind in (("keys", np.uint32), ("bodies", np.uint64)))
-        place = np.unique(of_two_texts(key, body) & low).astype(np.int64)
+        key = np.sort(np.concatenate([np.frombuffer(k, np.uint32) for k in group["keys"]]))
+        place = np.unique(key[1:][key[1:] == key[:-1]] & low).astype(np.int64)
         cuts = np.searchsorted(place, np.arange(slices + 1) * width).tolist()
         return pd.DataFrame({"slice": np.arange(slices), "places": [place[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]})
 
@@ -459,7 +494,7 @@ def repeated_field(rows: DataFrame, bits: int) -> np.ndarray:
             field[np.frombuffer(places, np.int64) % width] = True
         return pd.DataFrame({"slice": group["slice"].iloc[:1], "part": [zlib.compress(np.packbits(field, bitorder="little").tobytes(), 1)]})
 
-    places = rows.select("bucket", "keys", "bodies").groupBy("bucket").applyInPandas(repeated, "slice int, places binary")
+    places = rows.groupBy("bucket").applyInPandas(repeated, "slice int, places binary")
     field = np.zeros((slices, width // 32), np.uint32)
     for r in places.groupBy("slice").applyInPandas(drawn, "slice int, part binary").collect():
         field[r["slice"]] = np.frombuffer(zlib.decompress(r["part"]), np.uint32)
@@ -510,7 +545,8 @@ def restored(data: bytes) -> tuple[list[list], list[list[tuple[int, bool, str]]]
 
 
 DEALT = "page_id long, url string, host string, read string"
-SHARDS = "kind string, shard long, bucket int, keys binary, bodies binary, held array<long>, data binary"
+SHARDS = "kind string, shard long, units array<long>, held array<long>, data binary"
+GATHERED = "bucket int, keys binary"
 SEEN = "shard long, n long, data binary"
 TOLD = "shard long, bucket int, keys binary, bodies binary"
 
@@ -529,9 +565,10 @@ def over_shards(pages: DataFrame, length: int, share: float, most: float, unique
     and stored by shard. Three rounds over the shards find what one array would:
 
     1. Each shard tells the anchors of its passages (``Streams.anchors``, a fifth or so as
-       many) and the main texts that hold them. Only passages whose anchor is in two main
-       texts of the host can repeat (by a filter of at most 2^``filter_bits`` bits, which
-       misses none); of these each shard numbers the equal ones by a suffix array and tells
+       many), once for each main text; those of a stretch of main text that several shards
+       hold (``Streams.stretches``) are told by one of them. Only passages whose anchor is
+       told twice can be in two main texts of the host (by a filter of at most
+       2^``filter_bits`` bits, which misses none); of these each shard numbers the equal ones by a suffix array and tells
        the passages, again with main texts. Those of two are repeats.
     2. By all repeats of the host each page is evidence or not. How many main texts of
        pages that are carry a repeat, and how many there are, is summed over the shards;
@@ -556,17 +593,36 @@ def over_shards(pages: DataFrame, length: int, share: float, most: float, unique
                 s, salt = Streams(read, length), part["salt"].to_numpy(np.int64).view(np.uint64)
                 text = np.array([xxhash.xxh64_intdigest(t) for t in s.bodies], np.uint64)
                 body = salted(text[s.body], salt)
-                page = s.page[s.fits]
-                key = salted(s.anchors(anchor), salt[page])
-                first = np.r_[True, (key[1:] != key[:-1]) | (page[1:] != page[:-1])][: len(key)]
-                key, held, parts = dealt(key[first], body[page[first]], buckets)
-                rows = [{"kind": "anchors", "shard": shard, "bucket": k, "keys": key[a:b].astype(np.uint32).tobytes(), "bodies": held[a:b].tobytes()} for k, a, b in parts]
+                at = np.flatnonzero(s.fits)
+                page = s.page[at]
+                units, numbers, keys = told_once(salted(s.anchors(anchor), salt[page]), page, s.stretches(at, body), body)
                 about = zip(part["page_id"], part["url"], salt.tolist(), body.tolist(), strict=True)
                 data = stored([(None if i is None else int(i), u, h, b) for i, u, h, b in about], [packed(page) for page in read])
-                rows.append({"kind": "pages", "shard": shard, "held": np.unique(body).view(np.int64), "data": data})
-                yield frame(rows, SHARDS)
+                told = pickle.dumps((numbers, keys.astype(np.uint32), (keys >> np.uint64(32)).astype(np.uint8)))
+                yield frame([{"kind": "anchors", "shard": shard, "units": units.view(np.int64), "data": told}, {"kind": "pages", "shard": shard, "held": np.unique(body).view(np.int64), "data": data}], SHARDS)
                 shard += 1
 
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The anchors of many shards as a row for each bucket, without units that another shard tells."""
+        parts: list[np.ndarray] = []
+
+        def out() -> pd.DataFrame:
+            key = np.sort(np.concatenate(parts))
+            parts.clear()
+            key = key[np.r_[[True, True], key[2:] != key[:-2]][: len(key)]]
+            cuts = np.searchsorted(key, (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(40)) // np.uint64(buckets)).tolist()
+            return frame([{"bucket": k, "keys": key[a:b].astype(np.uint32).tobytes()} for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a], GATHERED)
+
+        for batch in batches:
+            for units, data, copies in zip(batch["units"], batch["data"], batch["copies"], strict=True):
+                numbers, low, high = pickle.loads(data)
+                told = np.repeat(~np.isin(unsigned(units), unsigned(copies)), numbers)
+                parts.append(low[told] | high[told].astype(np.uint64) << np.uint64(32))
+                if sum(map(len, parts)) >= 1 << 21:
+                    yield out()
+        if parts:
+            yield out()
+
     def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for shard, data in zip(batch["shard"], batch["data"], strict=True):
@@ -657,8 +713,13 @@ def over_shards(pages: DataFrame, length: int, share: float, most: float, unique
         both = written(pages.mapInPandas(parse, SHARDS), "kind")
         anchors, kept = (both.where(F.col("kind") == kind) for kind in ("anchors", "pages"))
         anchors._written_at = f"{both._written_at}/kind=anchors"
-        field = spark.sparkContext.broadcast(repeated_field(anchors, bits))
+        units = anchors.select("shard", F.explode("units").alias("unit")).where("unit <> 0")
+        homes = units.groupBy("unit").agg(F.min("shard").alias("home"), F.count("*").alias("n")).where("n > 1")
+        copies = written(units.join(homes, "unit").where("shard <> home").groupBy("shard").agg(F.collect_list("unit").alias("copies")))
+        gathered = anchors.select("shard", "units", "data").join(copies, "shard", "left").mapInPandas(gather, GATHERED)
+        field = spark.sparkContext.broadcast(repeated_field(gathered, bits))
         forget(anchors)
+        forget(copies)
         seen = written(kept.select("shard", "data").mapInPandas(passages, SEEN))
         field.unpersist()
         groups = -(-(seen.agg(F.sum("n")).first()[0] or 1) // (1 << 21))

@@ -353,6 +353,39 @@ def test_texts_do_not_depend_on_the_size_of_a_shard(spark, shard_chars):
     assert not any(line in want[i] for i in range(0, 120, 12)) and all(quote in want[i] for i in (3, 80))
 
 
+def test_shards_tell_what_two_main_texts_hold_and_copies_once():
+    rnd = random.Random(8)
+    words = lambda k: " ".join(f"w{rnd.randrange(400)}" for _ in range(k))
+    menus, articles, quote = [words(14) for _ in range(3)], [(words(40), words(30)) for _ in range(3)], words(13)
+    pages = []
+    for i in range(60):  # copies of a main text under and around other words, in one piece and in two
+        a, b = articles[i % 3]
+        between = f"<nav>{words(3) if i % 4 else menus[0]}</nav>" * (i % 5 < 3)
+        pages.append(f"<nav>{menus[i % 3] if i % 7 else words(13)}</nav><p>{a}</p>{between}<p>{b}</p><nav>{words(12)}</nav>")
+    pages += [f"<p>{quote} {words(rnd.randrange(20))}</p>" for _ in range(4)] + ["", "<nav>x</nav>", "<p>x"]
+    rnd.shuffle(pages)
+    copies = [f"<p>{articles[0][0]}</p>"] * 20
+    for pages, size in ((pages, 7), (pages, 1), (copies, 4)):  # noqa: B020
+        holders, shards, home = {}, [], {}
+        for k, a in enumerate(range(0, len(pages), size)):
+            s = html.Streams([html.blocks(page) for page in pages[a : a + size]], 12)
+            body = np.array([zlib.crc32(s.bodies[b].encode()) for b in s.body], np.uint64)
+            at = np.flatnonzero(s.fits)
+            key = s.anchors(5)
+            for x, p in zip(key.tolist(), s.page[at].tolist(), strict=True):
+                holders.setdefault(x & (1 << 40) - 1, set()).add(int(body[p]))
+            units, numbers, keys = html.told_once(key, s.page[at], s.stretches(at, body), body)
+            shards.append((k, np.repeat(units, numbers).tolist(), keys.tolist()))
+            for u in units.tolist():
+                home.setdefault(u, k)
+        told = Counter(x for k, of, keys in shards for u, x in zip(of, keys, strict=True) if not u or home[u] == k)
+        assert all(told[x] >= len(bodies) for x, bodies in holders.items()) and set(told) == set(holders)
+        if pages is copies:
+            assert set(told.values()) == {1}
+        else:
+            assert any(len(b) > 1 for b in holders.values()) and any(told[x] == 1 for x in holders)
+
+
 def test_shards_leave_no_shuffled_files_and_store_passages_once(spark, monkeypatch):
     rnd = random.Random(7)
     words = lambda k: " ".join(f"w{rnd.randrange(9000)}" for _ in range(k))
