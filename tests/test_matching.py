@@ -39,3 +39,14 @@ def test_named_documents(spark):
     assert {r.document_id for r in other} == {1, 2}
     plan = conversation.named_documents(q, d, 3)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan
+
+
+def test_named_documents_makes_no_pair_twice(spark):
+    """By title and by two subjects at once: one pair, and none of others' documents."""
+    docs = [(1, "操作系统与计算机网络", 4), (2, "操作系统", 4), (3, "计算机网络", 3), (4, "操作系统实践", 4)]
+    d = spark.createDataFrame(docs, "id long, title string, owner_id long")
+    q = spark.createDataFrame([("a", "操作系统与计算机网络的关系"), ("b", "操作系统"), ("b", "操作系统"), ("c", "操作系统实践")], "query_id string, query string")
+    got = sorted(map(tuple, conversation.named_documents(q, d, 3).collect()))
+    assert got == [("a", 3), ("b", 1), ("b", 2), ("b", 4), ("c", 1), ("c", 2), ("c", 4)]
+    plan = conversation.named_documents(q, d, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
