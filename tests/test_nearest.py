@@ -79,3 +79,36 @@ def test_fitted():
     assert c.shape == (12, 8) and np.allclose(np.linalg.norm(c, axis=1), 1)
     assert (x @ c.T).max(axis=1).min() > 0.99
     assert fitted(np.ones((5, 3)) / 3**0.5, 4).shape == (1, 3)
+
+
+def test_ties_past_the_limit_go(spark, tmp_path):
+    """Of many equal vectors a task returns as many as are asked for, those of the least ids."""
+    line, ids = np.full(5000, 0.87654), np.arange(5000)[::-1]
+    line[7] = 0.9
+    got = nearest.best(line, np.arange(5000), ids, 40)
+    assert sorted(ids[got]) == [*range(39), 4992]
+    half = np.array([0.5, 0.12345, 0.12345 - 1e-13, 0.1234, 0.1235])  # how the second is rounded is open
+    assert set(nearest.best(half, np.arange(5), np.array([0, 9, 8, 7, 6]), 2)) >= {0, 4}
+    copies = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(3000)], KIND)
+    index = VectorIndex(Store(spark, f"file://{tmp_path}/c")).build(copies)
+    assert {r[1] for r in rows(index.search(asked(copies, 500), 20))} == set(range(20))
+
+
+def test_scan(spark, vectors):
+    for limit, least in ((40, 0.35), (5, 0.9)):
+        assert rows(nearest.scan(vectors, asked(vectors), limit, least)) == rows(R.vector_channel(vectors, asked(vectors), limit, least))
+    kept = lambda hits: hits.where("chunk_id % 3 = 1")
+    assert rows(nearest.scan(vectors, asked(vectors), 10, keep=kept)) == rows(R.vector_channel(vectors.where("chunk_id % 3 = 1"), asked(vectors), 10))
+    assert "NestedLoop" not in nearest.scan(vectors, asked(vectors), 10)._jdf.queryExecution().executedPlan().toString()
+    assert nearest.scan(vectors, asked(vectors).limit(0), 10).count() == 0
+
+
+def test_queries_go_to_bins(spark, vectors, index, monkeypatch):
+    """A query is sent to a bin of lists once, and a few rows at a time."""
+    heads = [{"list": i, "n": n, "parts": p} for i, n, p in ((-1, 5, 1), (0, 60, 1), (1, 30, 1), (2, 200, 2), (3, 10, 1), (4, 1, 1))]
+    assert nearest.bins(heads, 100) == {-1: -1, 0: 0, 1: 0, 2: 2, 3: 0, 4: 4}
+    want = rows(R.vector_channel(vectors, asked(vectors), 10))
+    for limit in (1, 8192):
+        monkeypatch.setattr(nearest, "ROUTED", limit)
+        assert rows(index.search(asked(vectors), 10)) == want
+    assert len(set(nearest.bins(index._heads(index.at()), nearest.ROWS).values())) == 2  # all lists, and the rest
